@@ -106,3 +106,11 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM k
 """
+
+
+@register
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_blocks import extract_text
+
+    return extract_text(load(spark, sf_dir, "pages"))
