@@ -114,3 +114,13 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_blocks import extract_text
 
     return extract_text(load(spark, sf_dir, "pages"))
+
+
+@register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    from .language_spans import held_out, identify, train
+
+    docs = load(spark, sf_dir, "documents")
+    found = identify(docs, train(docs.filter(~held_out())), with_spans=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
