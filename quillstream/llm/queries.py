@@ -124,3 +124,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     found = identify(docs, train(docs.filter(~held_out())), with_spans=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in the place of personal data."""
+    from .surrogates import replace_entities
+
+    return replace_entities(load(spark, sf_dir, "documents"))
