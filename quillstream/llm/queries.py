@@ -132,3 +132,11 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import replace_entities
 
     return replace_entities(load(spark, sf_dir, "documents"))
+
+
+@register
+def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, five words and similarity 0.75."""
+    from .odd_sketch import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"))
