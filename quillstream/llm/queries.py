@@ -140,3 +140,11 @@ def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .odd_sketch import near_duplicates
 
     return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@register
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    from .imatch import edited_fingerprints
+
+    return edited_fingerprints(load(spark, sf_dir, "documents"))
