@@ -24,7 +24,7 @@ from .common import written
 LOW, HIGH = 0.002, 0.2
 SLOT_BITS = 20
 #: Each level keeps one term in so many of the level before, in as many subsets as WIDTH.
-LEVELS, WIDTH = (8, 4, 4, 4), 8
+LEVELS, WIDTH = (16, 4, 4, 4), 16
 PARTS = 1 + WIDTH * len(LEVELS)
 #: Document ids in a block, in which the next document is looked up.
 BLOCK = 1024
