@@ -148,3 +148,11 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import edited_fingerprints
 
     return edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+@register
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings at a cosine of 0.95."""
+    from .rp_forest import near_vectors
+
+    return near_vectors(load(spark, sf_dir, "embeddings"))
