@@ -1,13 +1,83 @@
-"""Corpus pipeline: stages over `documents`, each written and reread before the next."""
+"""Corpus pipeline: stages over `documents`, each written and reread before the next.
+
+Language ID drops documents without a language of their own, near-duplicate groups keep one document,
+personal data gets surrogates, the sources are mixed to their targets, and the mix is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstream.llm import common
+from quillstream.llm.cube_mixing import mix
+from quillstream.llm.language_spans import UNDETERMINED, held_out, identify, train
+from quillstream.llm.odd_sketch import near_duplicates
+from quillstream.llm.queries import model_file
+from quillstream.llm.sentencepiece_bpe import encode_texts
+from quillstream.llm.surrogates import replace_entities
 from quillstream.sources.tables import load
 
-STAGES: list = []
+#: A document in which no language has this share of the letters is rejected as a jumble.
+LEAST_SHARE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters, and those that are a jumble of languages."""
+    found = identify(docs, train(docs.filter(~held_out())), with_spans=False, keep=docs.columns)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("kept.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group, that with the smallest id.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    found = common.written(near_duplicates(docs), "near-duplicates")
+    docs = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = common.written(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    single = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put surrogates in the place of personal data; n_chars follows the new text."""
+    made = replace_entities(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    made = made.select("doc_id", "text", "n_entities", "kept.*")
+    length = F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return made.withColumn("n_chars", length).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix does: not at all, once or twice.
+
+    Rows that repeat an id, source and size are taken alike, so one row for each id, source and size is
+    joined.
+    """
+    keys = {"_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.col("size")}
+    taken = mix(docs).filter("copies > 0").select(*[c.alias(k) for k, c in keys.items()], F.col("copies").alias("_copies")).distinct()
+    sized = docs.withColumn("_words", common.word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return sized.join(taken, same).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text of the mix."""
+    return encode_texts(docs, model_file())
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("surrogates", surrogate_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
+#: The stages draw, learn and compare texts by hash; SQL cannot express them. tests/llm checks the run.
 ORACLE_SQL = None
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -349,17 +349,21 @@ def overrides(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
         todo = clash.withColumn("attempt", F.col("attempt") + 1)
 
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, keep: Sequence[str] = ()) -> DataFrame:
     """Texts with surrogates in the place of all detected entities.
 
     Returns id, text, n_entities and kinds (distinct, sorted, of what was replaced): one row per input
     row, repeated rows and null ids included.  A null text stays null and an empty one empty, with no
-    entities.  Texts are read whole and nothing else in them changes; other columns are left out.
+    entities.  Texts are read whole and nothing else in them changes.  Other columns are left out, but
+    for those in `keep`, which come along in a struct named kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(occurrences(docs, id_col, text_col), "entities")
     changed = overrides(found.select("kind", "value").distinct(), key)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    schema = f"`{id_col}` {kind}, `{text_col}` string, n_entities long, kinds array<string>"
+    schema += f", kept {chosen.schema['kept'].dataType.simpleString()}" if keep else ""
+    names = [id_col, text_col, "n_entities", "kinds", *(["kept"] if keep else [])]
     if changed is None:
         chosen = chosen.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
@@ -384,6 +388,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 counts.append(len(found))
                 kinds.append(sorted({e.kind for e in found}))
             columns = [batch.column("id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, text_col, "n_entities", "kinds"])
+            columns += [batch.column("kept")] if keep else []
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return chosen.mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, n_entities long, kinds array<string>")
+    return chosen.mapInArrow(run, schema)
