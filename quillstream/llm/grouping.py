@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 EDGES = "a long, b long"
+EDGES_PER_TASK = 200_000
 
 
 def map_groups(df: DataFrame, keys: Sequence[str], each: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -76,25 +77,26 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for every node of an edge list (a, b): root is the smallest node of its component.
 
     Large-star and small-star steps in turn: each hangs the neighbours of a node on the smallest one.  All
-    steps are joins and partial aggregates whose results are written to the shared folder, so no task
-    or driver holds a component and a lost executor costs one step.
+    steps are joins and partial aggregates, and each round is written to the shared folder, so no driver
+    holds a component and a lost executor costs one round.  The list is read in as many partitions as it
+    has EDGES_PER_TASK edges; a short list is one partition, which needs no shuffle.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, tag)
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), tag)
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = written(large, tag)
-        low = written(large.groupBy("a").agg(F.min("b").alias("low")), tag)
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("low").alias("b")).unionByName(joined.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")))
-        edges = written(small.distinct(), tag)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        edges = edges.coalesce(max(1, -(-state[0] // EDGES_PER_TASK)))
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        hung = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        small = large.join(low, "a").select(F.explode(hung).alias("e")).select("e.a", "e.b").filter("a <> b")
+        edges = written(small.distinct(), tag)
 
 
 def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarray], Forest], payload: Sequence[str], chunk_rows: int, chunk_bytes: int = 32 << 20, pivots: int = 64) -> DataFrame:
