@@ -21,3 +21,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return keep
+
+
+from . import library_queries  # noqa: E402, F401  the modules register their queries
