@@ -12,6 +12,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: White space as Unicode defines it; Java's own class holds ASCII only.
@@ -30,13 +31,13 @@ def none_if_blank(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     """HTML character references decoded, as HTML5 has them."""
     return values.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def casefolded(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
@@ -116,7 +117,7 @@ def _score(a: str, b: str) -> float:
     return round(0.65 * ratio + 0.35 * len(left & right) / len(left | right), 4)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _title_scores(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_score(a, b) for a, b in zip(left, right)], dtype="float64")
 
