@@ -26,3 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 from . import library_queries  # noqa: E402, F401  the modules register their queries
 from . import job_queries  # noqa: E402, F401
 from . import metadata_queries  # noqa: E402, F401
+from . import page_queries  # noqa: E402, F401
