@@ -103,10 +103,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
         def fold(lang: str) -> None:
             held = seen.pop(lang)
-            if held:
-                words = list(held)
-                times = np.fromiter(held.values(), dtype=np.float64, count=len(words))
-                bucket, owner, script = ngrams(words)
+            words = list(held)
+            for start in range(0, len(words), 20_000):  # n-grams take far more room than their words
+                part = words[start : start + 20_000]
+                times = np.fromiter(map(held.__getitem__, part), dtype=np.float64, count=len(part))
+                bucket, owner, script = ngrams(part)
                 table = tables.setdefault(lang, np.zeros((1 << BITS) + len(SCRIPT_NAMES)))
                 table[: 1 << BITS] += np.bincount(bucket, times[owner], 1 << BITS)
                 table[1 << BITS :] += np.bincount(script, times, len(SCRIPT_NAMES))
@@ -237,7 +238,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         scores = WordScores(shared.value)
         languages = shared.value.languages
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 words = [words_of(t) if languages else [] for t in texts]
                 rows = scores.of(words)

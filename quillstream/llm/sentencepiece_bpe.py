@@ -34,6 +34,8 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 #: Chunks whose ids are kept; about 40 MB. When full, the table starts anew.
 KEPT_CHUNKS = 250_000
+#: Pairs of pieces whose compatibility is kept; about 60 MB.
+KEPT_PAIRS = 300_000
 
 
 class PrefixTableEncoder:
@@ -95,7 +97,7 @@ class PrefixTableEncoder:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= 1_000_000:
+            if len(self._fits) >= KEPT_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._seam_holds(left, right)
         return known

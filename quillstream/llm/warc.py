@@ -28,7 +28,8 @@ from .common import written
 END = b"\r\n\r\n"
 #: Bytes of a header block that the reader accepts.
 MOST_HEADER = 1 << 20
-_START = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.")
+#: Where a member or a version line may start: anywhere, since a cut-off record need not end in a line break.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
