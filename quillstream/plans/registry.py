@@ -27,3 +27,4 @@ from . import library_queries  # noqa: E402, F401  the modules register their qu
 from . import job_queries  # noqa: E402, F401
 from . import metadata_queries  # noqa: E402, F401
 from . import page_queries  # noqa: E402, F401
+from . import stream_queries  # noqa: E402, F401
