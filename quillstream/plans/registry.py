@@ -28,3 +28,4 @@ from . import job_queries  # noqa: E402, F401
 from . import metadata_queries  # noqa: E402, F401
 from . import page_queries  # noqa: E402, F401
 from . import stream_queries  # noqa: E402, F401
+from . import flow_queries  # noqa: E402, F401
