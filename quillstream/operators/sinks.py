@@ -57,8 +57,8 @@ def move_members(members: DataFrame, moves: DataFrame, item: str = "itemID", gro
 
 def guarded_update(rows: DataFrame, changes: DataFrame, key: str, version: str, columns: Sequence[str]) -> DataFrame:
     """Rows with changes that name the version they were made from; others are left as they are."""
-    c = changes.select(key, F.col(version).alias("_v"), *[F.col(x).alias(f"_{x}") for x in columns])
+    c = changes.select(key, F.col(version).alias("_from"), *[F.col(x).alias(f"_new_{x}") for x in columns])
     joined = rows.join(c, key, "left")
-    hit = F.col("_v").eqNullSafe(F.col(version)) & F.col("_v").isNotNull()
-    out = {x: F.when(hit, F.col(f"_{x}")).otherwise(F.col(x)) for x in columns} | {version: F.when(hit, F.col(version) + 1).otherwise(F.col(version))}
+    hit = F.col("_from").eqNullSafe(F.col(version)) & F.col("_from").isNotNull()
+    out = {x: F.when(hit, F.col(f"_new_{x}")).otherwise(F.col(x)) for x in columns} | {version: F.when(hit, F.col(version) + 1).otherwise(F.col(version))}
     return joined.withColumns(out).select(rows.columns)

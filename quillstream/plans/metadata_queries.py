@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, providers, text, urls
@@ -10,18 +10,19 @@ from ..operators import candidates as cand
 from ..sources.tables import load
 from .registry import query
 
-K = F.col("p_partkey")
+def k() -> Column:
+    return F.col("p_partkey")
 
 
-def _s(c) -> F.Column:
+def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def identifier_text() -> F.Column:
+def identifier_text() -> Column:
     """A text that names identifiers of all kinds, by key."""
     return F.concat(
-        F.lit("See doi: https://doi.org/10."), _s(1000 + K % 9000), F.lit("/x."), _s(K), F.lit("). arXiv:"), _s(1000 + K % 9000), F.lit("."), _s(10000 + K % 90000), F.lit("v3; PMID: 00"), _s(100000 + K),
-        F.lit(", PMC"), _s(20000 + K), F.lit(" ISBN: 978-0-"), _s(100000000 + K % 899999999), F.when(K % 3 == 0, "").otherwise(" end"),
+        F.lit("See doi: https://doi.org/10."), _s(1000 + k() % 9000), F.lit("/x."), _s(k()), F.lit("). arXiv:"), _s(1000 + k() % 9000), F.lit("."), _s(10000 + k() % 90000), F.lit("v3; PMID: 00"), _s(100000 + k()),
+        F.lit(", PMC"), _s(20000 + k()), F.lit(" ISBN: 978-0-"), _s(100000000 + k() % 899999999), F.when(k() % 3 == 0, "").otherwise(" end"),
     )
 
 
@@ -59,9 +60,9 @@ def identifier_candidates_ordered(spark: SparkSession, sf_dir: str) -> DataFrame
 def identifier_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of identifiers written in several ways."""
     return load(spark, sf_dir, "part").select(
-        "p_partkey", identifiers.normalize_doi(F.concat(F.lit(" https://dx.doi.org/10.1000/ab"), _s(K), F.lit(".),"))).alias("doi"), identifiers.normalize_arxiv_id(F.concat(F.lit("arXiv: "), _s(1000 + K % 9000), F.lit(".01234v12"))).alias("arxiv_id"),
-        identifiers.normalize_pmid(F.concat(F.lit("PMID: 000"), _s(K), F.lit("."))).alias("pmid"), identifiers.normalize_pmcid(F.concat(F.lit("pmc "), _s(10000 + K))).alias("pmcid"),
-        identifiers.normalize_isbn(F.when(K % 2 == 0, "ISBN 12-34").otherwise(F.concat(F.lit("ISBN-10: 12345-"), _s(1000 + K % 9000), F.lit("-x")))).alias("isbn"),
+        "p_partkey", identifiers.normalize_doi(F.concat(F.lit(" https://dx.doi.org/10.1000/ab"), _s(k()), F.lit(".),"))).alias("doi"), identifiers.normalize_arxiv_id(F.concat(F.lit("arXiv: "), _s(1000 + k() % 9000), F.lit(".01234v12"))).alias("arxiv_id"),
+        identifiers.normalize_pmid(F.concat(F.lit("PMID: 000"), _s(k()), F.lit("."))).alias("pmid"), identifiers.normalize_pmcid(F.concat(F.lit("pmc "), _s(10000 + k()))).alias("pmcid"),
+        identifiers.normalize_isbn(F.when(k() % 2 == 0, "ISBN 12-34").otherwise(F.concat(F.lit("ISBN-10: 12345-"), _s(1000 + k() % 9000), F.lit("-x")))).alias("isbn"),
     )
 
 
@@ -70,9 +71,9 @@ def part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
-                F.lit(i).alias("ordinal"), F.lit(source).alias("source"), (((K * (i + 3)) % 4) / 4.0).alias("score"), F.concat(F.lit(f"{source}:"), _s(K)).alias("identifier"),
+                F.lit(i).alias("ordinal"), F.lit(source).alias("source"), (((k() * (i + 3)) % 4) / 4.0).alias("score"), F.concat(F.lit(f"{source}:"), _s(k())).alias("identifier"),
                 F.create_map(
-                    F.lit("title"), F.when(K % (i + 2) == 0, "  ").otherwise(F.concat(F.col("p_name"), F.lit(f"  {i}"))), F.lit("volume"), _s(K % 10 + i), F.lit(f"only{i}"), F.lit("x"),
+                    F.lit("title"), F.when(k() % (i + 2) == 0, "  ").otherwise(F.concat(F.col("p_name"), F.lit(f"  {i}"))), F.lit("volume"), _s(k() % 10 + i), F.lit(f"only{i}"), F.lit("x"),
                 ).alias("fields"),
             )
             for i, source in enumerate(("crossref", "pubmed", "biorxiv"))
@@ -122,8 +123,8 @@ def candidate_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidate = F.create_map(F.lit("title"), F.concat(F.col("p_name"), F.lit("  x")), F.lit("volume"), _s(F.col("p_size")), F.lit("issue"), F.when(K % 2 == 0, " ").otherwise("7"), F.lit("secret"), F.lit("s"))
-    current = F.create_map(F.lit("title"), F.when(K % 3 == 0, "").otherwise(F.col("p_name")), F.lit("volume"), F.when(K % 5 == 0, _s(F.col("p_size"))).otherwise(""))
+    candidate = F.create_map(F.lit("title"), F.concat(F.col("p_name"), F.lit("  x")), F.lit("volume"), _s(F.col("p_size")), F.lit("issue"), F.when(k() % 2 == 0, " ").otherwise("7"), F.lit("secret"), F.lit("s"))
+    current = F.create_map(F.lit("title"), F.when(k() % 3 == 0, "").otherwise(F.col("p_name")), F.lit("volume"), F.when(k() % 5 == 0, _s(F.col("p_size"))).otherwise(""))
     return load(spark, sf_dir, "part").select("p_partkey", "p_type", candidate.alias("candidate"), current.alias("current"))
 
 
@@ -196,10 +197,10 @@ def url_parts_and_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations of parts: preprint landing pages, journal views, PDFs and plain pages."""
     u = (
-        F.when(K % 4 == 0, F.concat(F.lit("https://arxiv.org/abs/2101."), _s(10000 + K % 90000), F.lit("v2"))).when(K % 4 == 1, F.concat(F.lit("https://j.example.org/index.php/article/view/"), _s(K)))
-        .when(K % 4 == 2, F.concat(F.lit("https://x.example.org/"), _s(K), F.lit(".pdf"))).otherwise(F.concat(F.lit("https://x.example.org/"), _s(K)))
+        F.when(k() % 4 == 0, F.concat(F.lit("https://arxiv.org/abs/2101."), _s(10000 + k() % 90000), F.lit("v2"))).when(k() % 4 == 1, F.concat(F.lit("https://j.example.org/index.php/article/view/"), _s(k())))
+        .when(k() % 4 == 2, F.concat(F.lit("https://x.example.org/"), _s(k()), F.lit(".pdf"))).otherwise(F.concat(F.lit("https://x.example.org/"), _s(k())))
     )
-    return load(spark, sf_dir, "part").select("p_partkey", "p_brand", K.alias("ordinal"), F.lit("core").alias("source"), u.alias("url"), F.when(K % 4 == 3, "html").otherwise("landing").alias("kind"))
+    return load(spark, sf_dir, "part").select("p_partkey", "p_brand", k().alias("ordinal"), F.lit("core").alias("source"), u.alias("url"), F.when(k() % 4 == 3, "html").otherwise("landing").alias("kind"))
 
 
 @query(
@@ -305,11 +306,11 @@ def inverted_index_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def provider_json_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry payloads as candidates."""
-    year, even = _s(2010 + F.col("p_size") % 80), K % 2 == 0
+    year, even = _s(2010 + F.col("p_size") % 80), k() % 2 == 0
     parts = F.when(even, F.array(F.array((2010 + F.col("p_size") % 80).cast("int"), (1 + F.col("p_size") % 9).cast("int")))).otherwise(F.array(F.array((2010 + F.col("p_size") % 80).cast("int"))))
-    link = F.when(even, F.array(F.struct(F.concat(F.lit("https://x.org/"), _s(K), F.lit(".pdf")).alias("URL"))))
+    link = F.when(even, F.array(F.struct(F.concat(F.lit("https://x.org/"), _s(k()), F.lit(".pdf")).alias("URL"))))
     work = F.struct(
-        F.concat(F.lit("10.1234/"), _s(K)).alias("DOI"), F.array(F.col("p_name")).alias("title"), F.concat(F.lit("https://x.org/"), _s(K)).alias("URL"), _s(F.col("p_size")).alias("volume"),
+        F.concat(F.lit("10.1234/"), _s(k())).alias("DOI"), F.array(F.col("p_name")).alias("title"), F.concat(F.lit("https://x.org/"), _s(k())).alias("URL"), _s(F.col("p_size")).alias("volume"),
         F.struct(parts.alias("date-parts")).alias("issued"), link.alias("link"), year.alias("ignored"),
     )
     c = load(spark, sf_dir, "part").select("p_partkey", providers.crossref(F.to_json(work)).alias("c"))
