@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text: maximal runs of anything but space and U+0009 to U+000D.
@@ -85,6 +85,6 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(start, step)
 
 
-def word_count(text) -> "F.Column":
+def word_count(text: Column) -> Column:
     """How many words a text has; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
