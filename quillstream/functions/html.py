@@ -49,17 +49,15 @@ def without_payloads(page: Column) -> Column:
     return F.regexp_replace(bare, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "")
 
 
-def markers(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
-    """Names of the patterns that a text shows, in the table's order."""
-    low = F.lower(blank(text))
+def markers(text: Column, table: tuple[tuple[str, str], ...], lowered: bool = False) -> Column:
+    """Names of the patterns that a text shows, in the table's order; `lowered` texts are in lower case already."""
+    low = text if lowered else F.lower(blank(text))
     return F.array_compact(F.array(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in table]))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    """Whether any of the words (plain letters and spaces) stands in a text: one pass for all."""
+    return text.rlike("|".join(words))
 
 
 def is_challenge(title: Column, text: Column) -> Column:
@@ -101,14 +99,16 @@ def has_body(found: Column, sections: Column, profile: Column) -> Column:
 
 def with_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add title, text, text_chars, markers, section_markers, image_count and link_count."""
-    low = F.lower(blank(F.col(html_col)))
-    out = pages.withColumns({"title": page_title(F.col(html_col)), "text": visible_text(F.col(html_col)), "markers": markers(F.col(html_col), ARTICLE_MARKERS)})
+    # Each step is a projection of its own: lower-casing and tag stripping run once for all patterns.
+    out = pages.withColumns({"_low": F.lower(blank(F.col(html_col))), "title": page_title(F.col(html_col)), "text": visible_text(F.col(html_col))})
+    out = out.withColumn("_low_text", F.lower("text"))
+    low = F.col("_low")
     return out.withColumns(
         {
-            "text_chars": F.length("text").cast("long"), "section_markers": markers(F.col("text"), SECTION_MARKERS),
+            "text_chars": F.length("text").cast("long"), "markers": markers(low, ARTICLE_MARKERS, True), "section_markers": markers(F.col("_low_text"), SECTION_MARKERS, True),
             "image_count": F.regexp_count(low, F.lit(r"<img\b")).cast("long"), "link_count": F.regexp_count(low, F.lit(r"\bhref\s*=")).cast("long"),
         }
-    )
+    ).drop("_low", "_low_text")
 
 
 def article_reason(title_ok: Column, profile: Column, least: Column | None = None) -> Column:

@@ -313,7 +313,7 @@ def provider_json_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("10.1234/"), _s(k())).alias("DOI"), F.array(F.col("p_name")).alias("title"), F.concat(F.lit("https://x.org/"), _s(k())).alias("URL"), _s(F.col("p_size")).alias("volume"),
         F.struct(parts.alias("date-parts")).alias("issued"), link.alias("link"), year.alias("ignored"),
     )
-    c = load(spark, sf_dir, "part").select("p_partkey", providers.crossref(F.to_json(work)).alias("c"))
+    c = providers.with_candidate(load(spark, sf_dir, "part").select("p_partkey", F.to_json(work).alias("payload")), "crossref", "payload", "c")
     field = lambda f: F.element_at("c.fields", f)
     return c.select("p_partkey", "c.identifier", field("title").alias("title"), field("date").alias("date"), field("volume").alias("volume"), F.size("c.locations").alias("n_locations"), F.get("c.locations", F.lit(0))["kind"].alias("first_kind"))
 

@@ -80,15 +80,44 @@ def test_verdict_ladder(spark):
     assert all(r["want"] == r["got"] for r in rows)
 
 
+def provided(spark, provider, payload):
+    return providers.with_candidate(spark.createDataFrame([(json.dumps(payload),)], "p string"), provider, "p").first()["candidate"]
+
+
 def test_provider_payloads(spark):
     work = {"DOI": "https://doi.org/10.1/X.", "title": [" ", "A  title"], "URL": "https://x.org/a", "published-online": {"date-parts": [[2020, 3]]}, "issued": {"date-parts": [[2019]]}, "ISSN": ["1", "2"], "abstract": "<p>t</p>", "link": [{"URL": "https://x.org/a.pdf"}, {"URL": "https://x.org/a.pdf"}, {"URL": "https://x.org/a"}]}
-    got = one(spark, providers.crossref(F.lit(json.dumps(work)), 0.9))
-    assert got["identifier"] == "10.1/X" and got["score"] == 0.9 and got["fields"]["date"] == "2020-03" and got["fields"]["ISSN"] == "1, 2" and got["fields"]["abstractNote"] == "t" and "volume" not in got["fields"]
+    got = provided(spark, "crossref", work)
+    assert got["identifier"] == "10.1/X" and got["score"] == 1.0 and got["fields"]["date"] == "2020-03" and got["fields"]["ISSN"] == "1, 2" and got["fields"]["abstractNote"] == "t" and "volume" not in got["fields"]
     assert [(x["url"], x["kind"]) for x in got["locations"]] == [("https://x.org/a.pdf", "pdf"), ("https://x.org/a", "landing")]
-    assert one(spark, providers.crossref(F.lit("{}"))) is None
+    assert all(provided(spark, name, {}) is None for name in providers.MAPPERS)
     alex = {"display_name": "T", "abstract_inverted_index": {"b": [1, 3], "a": [0, 2]}, "biblio": {"first_page": "1", "last_page": "9"}, "publication_year": 2001}
-    got = one(spark, providers.openalex(F.lit(json.dumps(alex))))
+    got = provided(spark, "openalex", alex)
     assert got["fields"]["abstractNote"] == "a b a b" and got["fields"]["pages"] == "1-9" and got["fields"]["date"] == "2001" and got["identifier"] == "T"
+    assert provided(spark, "unpaywall", {"title": "T"})["score"] == 0.85
+    got = provided(spark, "unpaywall", {"doi": "10.1/a", "best_oa_location": {"url": "u", "url_for_pdf": "p"}, "oa_locations": [{"url": "u"}, {"url": "v"}]})
+    assert [(x["url"], x["kind"]) for x in got["locations"]] == [("p", "pdf"), ("u", "landing"), ("v", "landing")] and got["score"] == 1.0
+    got = provided(spark, "europe_pmc", {"title": "T", "pmcid": "PMC12345", "pmid": "0777", "fullTextUrlList": {"fullTextUrl": [{"url": "z", "documentStyle": "PDF"}]}})
+    assert [x["kind"] for x in got["locations"]] == ["html", "xml", "landing", "pdf"] and got["identifier"] == "777"
+    got = provided(spark, "datacite", {"id": "10.5/d", "attributes": {"titles": [{"title": "D"}], "descriptions": [{"description": "m", "descriptionType": "Methods"}, {"description": "a", "descriptionType": "Abstract"}], "contentUrl": ["f.pdf"]}})
+    assert got["fields"]["abstractNote"] == "a" and got["identifier"] == "10.5/d" and got["locations"][0]["kind"] == "pdf"
+    got = provided(spark, "biorxiv", {"doi": "10.1101/1", "title": "B", "server": "medrxiv", "published": "10.9/p"})
+    assert got["source"] == "medrxiv" and got["fields"]["extra"] == "Published DOI: 10.9/p" and got["locations"][1]["url"] == "https://www.medrxiv.org/content/10.1101/1.full.pdf"
+    got = provided(spark, "semantic_scholar", {"title": "S", "externalIds": {"PubMed": "12"}, "venue": "V", "openAccessPdf": {"url": "p"}})
+    assert got["fields"]["publicationTitle"] == "V" and got["fields"]["PMID"] == "12" and got["locations"][0]["kind"] == "pdf"
+    got = provided(spark, "doaj", {"title": "J", "identifier": [{"type": "eissn", "id": "1"}, {"type": "DOI", "id": "10.1/j"}], "link": [{"url": "https://x/a.html"}]})
+    assert got["identifier"] == "10.1/j" and got["locations"][0]["kind"] == "html"
+    assert provided(spark, "core", {"title": "C", "sourceFulltextUrls": ["https://x/a.pdf"]})["fields"]["url"] == "https://x/a.pdf"
+    got = provided(spark, "translator", {"title": "Z", "extra": "arXiv:2101.00001v2 PMID: 12345", "url": "https://x.org/1", "attachments": [{"url": "ftp://x"}, {"url": "https://x.org/1.pdf"}]})
+    assert got["fields"]["archiveLocation"] == "2101.00001" and got["fields"]["PMID"] == "12345" and [x["kind"] for x in got["locations"]] == ["landing", "pdf"]
+    oa = {"response": {"results": {"result": {"metadata": {"oaf:entity": {"oaf:result": {"title": {"$": "O"}, "pid": [{"$": "10.1/o"}], "publisher": {"$": "P"}}}}}}}}
+    got = one(spark, providers.openaire(F.lit(json.dumps(oa))))
+    assert got["identifier"] == "10.1/o" and got["fields"]["title"] == "O" and got["fields"]["publisher"] == "P"
+    article = """<PubmedArticle><MedlineCitation><PMID>00123</PMID><Article><Journal><Title>J</Title><JournalIssue><Volume>2</Volume><PubDate><MedlineDate>1999 Spring</MedlineDate></PubDate></JournalIssue></Journal>
+    <ArticleTitle>A title</ArticleTitle><Abstract><AbstractText Label="AIM">one</AbstractText><AbstractText Label="END">two</AbstractText></Abstract><AuthorList><Author><LastName>L</LastName><Initials>I</Initials></Author></AuthorList></Article></MedlineCitation>
+    <PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/p</ArticleId><ArticleId IdType="pmc">PMC98765</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"""
+    got = one(spark, providers.pubmed(F.lit(article)))
+    assert got["identifier"] == "123" and got["fields"]["date"] == "1999" and got["fields"]["PMCID"] == "PMC98765" and got["fields"]["abstractNote"] == "AIM: one END: two" and got["fields"]["DOI"] == "10.1/p"
+    assert one(spark, providers.pubmed_authors(F.lit(article)))[0]["lastName"] == "L"
     feed = '<feed><entry><id>http://arxiv.org/abs/2101.00001v2</id><title>A b</title><summary>s</summary><published>2021-01-01T00:00:00Z</published></entry></feed>'
     (entry,) = one(spark, providers.atom_entries(F.lit(feed)))
     assert entry["identifier"] == "2101.00001" and entry["fields"]["date"] == "2021-01-01"
