@@ -172,3 +172,24 @@ def document_title(page: Column) -> Column:
     """The citation or social title of a page, else its title element."""
     meta = lambda key: F.regexp_extract(blank(page), rf"(?is)<meta\b[^>]*(?:name|property)\s*=\s*[\"']{key}[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']", 1)
     return F.coalesce(*[F.nullif(collapse(c), F.lit("")) for c in (meta("citation_title"), meta("og:title"), page_title(page))], F.lit(""))
+
+
+def citation_pdf_urls(page: Column, base: Column) -> Column:
+    """PDF URLs that a page's citation fields name, on its base, without supplements and repeats."""
+    from . import urls
+    from .documents import join_url
+
+    named = F.regexp_extract_all(blank(page), F.lit(r"(?is)<meta\b[^>]*name\s*=\s*[\"']citation_pdf_url[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']"), F.lit(1))
+    first = F.get(F.filter(F.array_distinct(named), lambda u: ~urls.is_supplement_url(u)), F.lit(0))
+    # Few pages name more than one; each further one is a row of an exploded array in `citation_pdf_rows`.
+    return F.when(first.rlike("^https?://"), first).when(first.isNotNull(), join_url(base, first))
+
+
+def citation_pdf_rows(pages: DataFrame, page: str, base: str) -> DataFrame:
+    """One row for each PDF that a page's citation fields name: the page's columns, ordinal and pdf_url."""
+    from . import urls
+    from .documents import join_url
+
+    named = F.regexp_extract_all(blank(F.col(page)), F.lit(r"(?is)<meta\b[^>]*name\s*=\s*[\"']citation_pdf_url[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']"), F.lit(1))
+    rows = pages.select("*", F.posexplode(F.array_distinct(named)).alias("ordinal", "_u")).withColumn("pdf_url", join_url(F.col(base), F.col("_u"))).drop("_u")
+    return rows.filter(~urls.is_supplement_url(F.col("pdf_url")))

@@ -114,3 +114,17 @@ def chosen_keys(value: Column, keys: tuple[str, ...]) -> Column:
 def is_strict_json(value: Column) -> Column:
     """Whether a text is JSON without repeated keys."""
     return F.try_parse_json(value).isNotNull()
+
+
+def project_json(payload: Column, paths: dict[str, str]) -> list[Column]:
+    """Columns of nested JSON values as text: name to path; missing ones and wrong types are null."""
+    value = F.try_parse_json(payload)
+    return [F.try_variant_get(value, path, "string").alias(name) for name, path in paths.items()]
+
+
+def patch_json(payload: Column, changes: dict[str, Column]) -> Column:
+    """A flat JSON object of texts with some values set; null if it is no object."""
+    fields = F.from_json(payload, "map<string,string>")
+    new = F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v.cast("string"))])
+    kept = F.map_filter(fields, lambda k, v: ~k.isin(*changes))
+    return F.when(fields.isNotNull(), F.to_json(F.map_concat(kept, new)))

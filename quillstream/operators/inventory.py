@@ -79,3 +79,10 @@ def match_files(files: DataFrame, rows: DataFrame, path: str = "path") -> DataFr
     a, b = files.withColumn("_f", F.lit(True)), rows.withColumn("_r", F.lit(True))
     found = F.when(F.col("_f").isNull(), "row_only").when(F.col("_r").isNull(), "file_only").otherwise("both")
     return a.join(b, path, "full_outer").withColumn("found", found).drop("_f", "_r")
+
+
+def unique_records(records: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
+    """The last version of each record, at the place of its first."""
+    by = Window.partitionBy(*keys)
+    rows = records.withColumns({"_place": F.min(ordinal).over(by), "_n": F.row_number().over(by.orderBy(F.col(ordinal).desc()))})
+    return rows.filter("_n = 1").withColumn(ordinal, F.col("_place")).drop("_n", "_place")
