@@ -22,10 +22,16 @@ from quillstream.sources.tables import load
 LEAST_SHARE = 0.5
 
 
+def _rest(docs: DataFrame) -> list[str]:
+    """The columns besides id and text, which operators carry along."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and those that are a jumble of languages."""
-    found = identify(docs, train(docs.filter(~held_out())), with_spans=False, keep=docs.columns)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("kept.*")
+    found = identify(docs, train(docs.filter(~held_out())), with_spans=False, keep=_rest(docs))
+    good = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return good.select("doc_id", "text", "kept.*").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates in the place of personal data; n_chars follows the new text."""
-    made = replace_entities(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    made = replace_entities(docs, keep=_rest(docs))
     made = made.select("doc_id", "text", "n_entities", "kept.*")
     length = F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return made.withColumn("n_chars", length).select(docs.columns)

@@ -3,43 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import scratch
+
 #: Words of a text: maximal runs of anything but space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder; a cluster without it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    global _local
-    try:
-        return _local
-    except NameError:
-        _local = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        return _local
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    """A fresh path in the folder that driver and executors share; what is written there goes with the driver."""
     if not _written:
         atexit.register(_remove_written)
-    path = f"{shared_dir(spark)}/quillstream/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, f"quillstream-{tag}")
     _written.append((spark, path))
     return path
 
@@ -66,6 +49,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers give memory back behind each batch that they send."""
+
+    def sparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            give_back()
+
+    return df.mapInArrow(sparing, schema)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function from Arrow batch to Arrow batch, keeping memory to one batch."""
 
@@ -74,7 +77,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if batch.num_rows:
                 yield rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -227,8 +227,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Returns id, lang_pred, score and (if `with_spans`) spans, an array of start, end, lang: one row per
     input row, repeated rows and null ids included.  A text that is null, empty or without letters, and
     any text under a model without languages, is `und` with score 0 and no spans.  Of languages with
-    equal letters the first by name holds.  Texts are read whole.  Other columns are left out, but for
-    those in `keep`, which come along in a struct named kept.
+    equal letters the first by name holds.  Texts are read whole.  Other columns are left out; with
+    `keep`, the text and a struct named kept, with the columns in `keep`, come along.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets for each language
@@ -258,13 +258,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                         spans.append([{"start": s, "end": e, "lang": x} for s, e, x in spans_of(text, label, languages)])
                 columns = [part.column("id"), pa.array(predicted, pa.string()), pa.array(share, pa.float64())]
                 columns += [pa.array(spans, span_type)] if with_spans else []
-                columns += [part.column("kept")] if keep else []
+                columns += [part.column("text"), part.column("kept")] if keep else []
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + (", spans array<struct<start:bigint,end:bigint,lang:string>>" if with_spans else "")
-    schema += f", kept {chosen.schema['kept'].dataType.simpleString()}" if keep else ""
-    names = [id_col, "lang_pred", "score", *(["spans"] if with_spans else []), *(["kept"] if keep else [])]
+    schema += f", `{text_col}` string, kept {chosen.schema['kept'].dataType.simpleString()}" if keep else ""
+    names = [id_col, "lang_pred", "score", *(["spans"] if with_spans else []), *([text_col, "kept"] if keep else [])]
     return chosen.mapInArrow(run, schema)
 
 

@@ -156,10 +156,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     components, link with nothing, as do vectors of unlike length.  Repeated rows count as other vectors.
     A null id keeps its links, and its component is that of its vector.  Other columns are left out.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    element = "float" if table.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = F.coalesce(F.col("vector").isNotNull() & (F.size("vector") > 0) & finite, F.lit(False))
-    clean = F.transform("vector", lambda x: x + F.lit(0).cast("float"))  # -0.0 becomes 0.0
+    clean = F.transform("vector", lambda x: x + F.lit(0).cast(element))  # -0.0 becomes 0.0
     rows = rows.select("id", F.when(usable, F.xxhash64(clean)).alias("k1"), F.when(usable, F.xxhash64(clean, F.lit(1))).alias("k2"), F.when(usable, clean).alias("vector"))
     members = written(rows.select("id", "k1", "k2"), "vector-keys")
     classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"), F.any_value("vector").alias("vector"))
@@ -188,6 +189,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id, n) counts of linked others and (a, b) edges among classes of one vector length."""
     spark = classes.sparkSession
+    kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
     picked = classes
     if rows > SAMPLE:
         scale = 1 << 20
@@ -201,7 +203,8 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = unit(_matrix(batch.column("vector"), size))
+            given = _matrix(batch.column("vector"), size)
+            vectors = unit(given)
             ball = np.full(len(vectors), -1)
             if len(balls):
                 cosine = vectors @ balls.T
@@ -213,7 +216,7 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
             order = np.lexsort((key, tree, row))  # one order of leaves for all rows
             ends = np.cumsum(np.bincount(row, minlength=len(vectors)))
             all_leaves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(key[order], pa.int64()))
-            raw = pa.array([v.tobytes() for v in vectors], pa.binary())
+            raw = pa.array([v.tobytes() for v in given], pa.binary())  # in its own precision, to keep the shuffle small
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("weight"), pa.array(ball, pa.int32()), raw, all_leaves],
                 names=["id", "weight", "ball", "raw", "leaves"],
@@ -231,7 +234,7 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
         ids, weight, ball = (table.column(c).to_numpy() for c in ("id", "weight", "ball"))
         across = "across" in table.column_names and table.column("across")[0].as_py()  # a pair of blocks
         block = table.column("block").to_numpy() if across else None
-        vectors = np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype=np.float64).reshape(-1, size)
+        vectors = unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype=kind).reshape(-1, size))
         earlier = _earlier(table.column("leaves"), leaf)
         n = np.zeros(len(ids), dtype=np.int64)
         label, a, b = np.arange(len(ids)), [], []
