@@ -43,7 +43,7 @@ _SYLLABLES = [c + v for c in "bdfgklmnprstvwz" for v in ("a", "e", "i", "o", "u"
 _ENDINGS = ["son", "man", "ley", "ton", "er", "ard", "ins", "well"]
 
 #: A text without any of these characters and without a name holds no entity.
-_HINT = re.compile(r"[@\d=]")
+_HINT = re.compile(r"[@\d=:]|A(?:KIA|SIA|GPA|IDA|ROA|Iza)|gh[pousr]_|sk-|xox[abprs]-")
 _UPPER, _REST = "A-ZÀ-ÖØ-ÞЀ-Я", "a-zß-öø-ÿа-ёA-ZÀ-ÖØ-ÞЀ-Я'’"
 _NAME_WORD = f"[{_UPPER}][{_REST}]+(?:-[{_UPPER}][{_REST}]+)?"
 _NAME = re.compile(

@@ -305,6 +305,16 @@ def test_clean_texts_stay():
         assert find_entities(text) == [], text
 
 
+@pytest.mark.parametrize("kind, value, text", [
+    ("secret", "correct-horse-battery", "password: {}"), ("secret", "ABCDEFGHIJKL", "api_key: {} it was"), ("secret", "correct-horse-battery", "password = {}"),
+    ("vendor", "ghp_" + "abcdeFGHIJ" * 3, "use {} here"), ("vendor", "sk-" + "abcdeFGHIJ" * 3, "use {} here"), ("vendor", "xoxb-abcdefghijkl", "use {} here"),
+    ("vendor", "AIza" + "abcdeFGHIJ" * 4, "use {} here"), ("aws", "AKIA" + "ABCDEFGH" * 2, "use {} here"), ("ipv6", "fe:dc:ba:ab:cd:ef:fa:ce", "at {} now"), ("email", "bo@example.com", "to {} now"),
+])
+def test_secrets_in_texts_without_digits(kind, value, text):
+    for more in ("", " and 7"):
+        assert [(e.kind, e.value) for e in find_entities(text.format(value) + more)] == [(kind, value)]
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     names = [("surname", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
     df = spark.createDataFrame(names, "kind string, value string")
