@@ -47,6 +47,10 @@ CLASS_WORDS = frozenset(
     "newsletter subscribe subscription signup sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist disqus respond "
     "replies share sharing social related recommended recommendations popup modal overlay toolbar widget pagination pager login search skip copyright".split()
 )
+#: Parts of a class or id that make it tell the state of a container, not what it is ("has-sidebar").
+STATE_WORDS = frozenset("has have had no not non with without is are open opened closed enabled disabled allowed active inactive on off hide show fixed sticky".split())
+#: Class words of containers that may hold more text than the article; length does not spare them.
+DISCUSSION_WORDS = frozenset("comment comments commentlist disqus respond replies related recommended recommendations".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 ARTICLE_WORDS = frozenset("articlebody".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -55,6 +59,8 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CLASS_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+#: More than this share of the article's text (of all text, where no article is marked) is its bulk.
+BULK = 0.5
 _BREAK = "\n"  # in a block's parts: one <br>; a second one ends the block
 
 SHORT_LENGTH, LONG_LENGTH = 70, 200
@@ -78,6 +84,8 @@ class _Element(NamedTuple):
     in_article: bool
     link: bool
     heading: bool
+    hard: bool  # dropped whatever it holds
+    at: int  # place of a start tag that class or id mark, else -1
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -104,25 +112,51 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _marks(name: str, raw: str) -> tuple[bool, bool, bool]:
-    """Whether a start tag marks a dropped container, a page header, or the article."""
+def _class_words(names: str) -> set[str]:
+    """First and last words of the class tokens that tell what a container is."""
+    words: set[str] = set()
+    for token in names.split():
+        parts = [w.lower() for w in _CLASS_SPLIT.split(token) if w]
+        if parts and STATE_WORDS.isdisjoint(parts):
+            words |= {parts[0], parts[-1], token.lower()}
+    return words
+
+
+def _marks(name: str, raw: str) -> tuple[bool, bool, bool, set[str]]:
+    """Whether a start tag marks a dropped container, a page header, or the article; and its class words."""
     drop, header, article = name in DROPPED, name == "header", name in ("article", "main")
-    if raw and not raw.isspace():
+    words: set[str] = set()
+    if raw and not raw.isspace() and name not in ("body", "html"):
         attrs = _attributes(raw)
-        words = {w.lower() for key in ("class", "id") if key in attrs for w in _CLASS_SPLIT.split(attrs[key]) if w}
-        if name not in ("body", "html"):
-            role = attrs.get("role", "").lower()
-            drop = drop or bool(words & CLASS_WORDS) or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
-            drop = drop or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            header = header or bool(words & HEADER_WORDS)
-            article = article or role in ("main", "article") or attrs.get("itemprop", "").lower() in ARTICLE_WORDS
-    return drop, header, article
+        words = _class_words(f"{attrs.get('class', '')} {attrs.get('id', '')}") & (CLASS_WORDS | HEADER_WORDS)
+        role = attrs.get("role", "").lower()
+        drop = drop or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+        drop = drop or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        article = article or role in ("main", "article") or attrs.get("itemprop", "").lower() in ARTICLE_WORDS
+    return drop, header, article, words
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page outside dropped containers, in page order."""
+    """The blocks of a page outside dropped containers, in page order.
+
+    A container that its class or id marks is kept all the same if it holds the bulk of the article (of
+    the page, where no article is marked): then the page is read once more without these marks.
+    """
+    out, spared = _blocks(page, frozenset())
+    return _blocks(page, spared)[0] if spared else out
+
+
+def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """The blocks, and the places of marked start tags whose elements hold the bulk of the text.
+
+    Marks at the places in `spare` do not count.
+    """
     out: list[Block] = []
-    stack: list[_Element] = [_Element("", False, False, False, False, False)]
+    stack: list[_Element] = [_Element("", False, False, False, False, False, False, -1)]
+    # Characters outside hard-dropped elements, of these in an article, and unmarked articles, so far.
+    seen, in_article, articles = 0, 0, 0
+    opened: dict[int, tuple[int, int, int, bool]] = {}
+    held: list[tuple[int, int, int]] = []
     parts: list[str] = []
     linked = 0
     state = {"heading": False}
@@ -136,7 +170,15 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def measure(depth: int) -> None:
+        for e in stack[depth:]:
+            if e.at in opened:
+                text, article, count, must_hold = opened.pop(e.at)
+                if articles > count or not must_hold:
+                    held.append((e.at, seen - text, in_article - article))
+
     def close(depth: int) -> None:
+        measure(depth)
         if any(e.name in BLOCK for e in stack[depth:]):
             flush()
         del stack[depth:]
@@ -146,6 +188,9 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         lt = page.find("<", at)
         text = page[at:] if lt < 0 else page[at:lt]
+        if not top.hard and text and not text.isspace():
+            seen += len(text)
+            in_article += len(text) if top.in_article else 0
         if text and not top.dropped:
             if not top.headings_only or top.heading:
                 if not text.isspace():
@@ -238,11 +283,22 @@ def blocks(page: str) -> list[Block]:
         if page[at - 2 : at] == "/>" and name not in BLOCK and name != "a":
             continue
         top = stack[-1]
-        drop, header, article = _marks(name, page[named.end() : at - 1])
-        inside = top.in_article or article
-        stack.append(_Element(name, top.dropped or drop or header and not top.in_article, top.headings_only or header and top.in_article, inside, top.link or name == "a", top.heading or name in HEADINGS))
+        drop, header, article, words = _marks(name, page[named.end() : at - 1])
+        inside, hard = top.in_article or article, top.hard or drop or header and not top.in_article
+        marked = bool(words) and not hard
+        if marked:
+            opened[lt] = seen, in_article, articles, not article and not words.isdisjoint(DISCUSSION_WORDS)
+        elif article and not hard:
+            articles += 1
+        if marked and lt not in spare:
+            drop = drop or not words.isdisjoint(CLASS_WORDS)
+            header = header or not words.isdisjoint(HEADER_WORDS)
+        dropped = top.dropped or drop or header and not top.in_article
+        stack.append(_Element(name, dropped, top.headings_only or header and top.in_article, inside, top.link or name == "a", top.heading or name in HEADINGS, hard, lt if marked else -1))
     flush()
-    return out
+    measure(0)
+    bulk = BULK * (in_article or seen)
+    return out, frozenset(place for place, text, article in held if (article if in_article else text) > bulk)
 
 
 def first_labels(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[str]:

@@ -129,6 +129,24 @@ def test_blocks_without_article_element():
     assert main_text(page) == "\n".join([good.strip(), "Short one.", good.strip()])
 
 
+@pytest.mark.parametrize("head, tail", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div class='page no-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"), ("<div id='content-with-ads'>", "</div>"),
+    ("<div class='widget'>", "</div>"), ("<article class='post share'>", "</article>"), ("<div class='sidebar'><article>", "</article></div>"), ("<main><div class='page-header'>", "</div></main>"),
+])
+def test_class_words_do_not_drop_the_article(head, tail):
+    good = "This is the text of a page that was written for people and it has many of the words that are in the list of stop words. " * 3
+    page = f"<body>{head}<p>{good}</p><div class='ad'>Buy</div><div class='share-buttons'>Share it</div><p>{good}</p>{tail}<div class='site-footer'>foot</div></body>"
+    assert main_text(page) == "\n".join([good.strip()] * 2)
+
+
+def test_discussions_longer_than_the_article_are_dropped():
+    good = "This is the text of a page that was written for people and it has many of the words that are in the list of stop words. "
+    talk = "".join(f"<article class='comment-body'><p>{good * 3}</p></article>" for _ in range(5))
+    for head, tail in (("<main>", "</main>"), ("<article>", "</article>")):
+        page = f"<body>{head}<p>{good * 3}</p><div id='comments' class='comments-area'>{talk}</div>{tail}</body>"
+        assert main_text(page) == (good * 3).strip()
+
+
 @pytest.mark.parametrize("page", ['<a title="' * 20000, "<b>" * 20000 + "x" + "</i>" * 20000, "<" * 50000, "<script>" * 20000, "<!--" * 20000, "&amp" * 20000])
 def test_hostile_pages_end(page):
     assert isinstance(main_text(page), str)
