@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-# Frequent function words of four languages.
+# Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in is that for with on as by it was are be this from an or which not have at but they his her had were been their has "
     "der die das und in von zu den mit ist im nicht ein eine auf für dem sich des als auch es an werden aus er hat dass sie nach wird bei "
@@ -66,6 +66,11 @@ _BREAK = "\n"  # in a block's parts: one <br>; a second one ends the block
 SHORT_LENGTH, LONG_LENGTH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINK_MOST, LINK_MOST_IN_ARTICLE = 0.2, 0.5
+#: A page is in a language of STOP_WORDS if blocks with so many of them hold this share of its long blocks' text.
+COVERED = 0.1
+#: Characters of scripts without spaces, which count as three each, and letters of the scripts of STOP_WORDS.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
 
 class Block(NamedTuple):
@@ -301,12 +306,30 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
     return out, frozenset(place for place, text, article in held if (article if in_article else text) > bulk)
 
 
+def _length(text: str) -> int:
+    """Characters of a text; those of scripts without spaces count more, as they say more."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _density(text: str, stop_words: frozenset[str]) -> float:
+    """Share of stop words; -1 for a text of which most letters are of other scripts."""
+    if not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text)):
+        return -1.0
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in stop_words for w in words) / len(words)
+
+
 def first_labels(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[str]:
-    """Pass one: good, bad, near or short for each block, by itself."""
+    """Pass one: good, bad, near or short for each block, by itself.
+
+    Stop words say nothing about other scripts and languages: blocks in another script, and all blocks of
+    a page where hardly any reaches the density, go by length and link density alone.
+    """
     has_article = any(b.in_article for b in found)
     labels = []
-    for b in found:
-        length, links = len(b.text), b.link_chars / len(b.text)
+    densities: dict[int, float] = {}
+    for i, b in enumerate(found):
+        length, links = _length(b.text), b.link_chars / len(b.text)
         if has_article and not b.in_article or "©" in b.text and length < LONG_LENGTH:
             labels.append("bad")
         elif links > (LINK_MOST_IN_ARTICLE if b.in_article else LINK_MOST):
@@ -314,14 +337,20 @@ def first_labels(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) ->
         elif b.heading or length < SHORT_LENGTH:
             labels.append("bad" if b.link_chars and not b.in_article else "short")
         else:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?()\"'") in stop_words for w in words) / len(words)
-            if density >= STOP_HIGH:
-                labels.append("good" if length > LONG_LENGTH or b.in_article else "near")
-            elif density >= STOP_LOW:
-                labels.append("near")
-            else:
-                labels.append("near" if b.in_article else "bad")
+            densities[i] = _density(b.text, stop_words)
+            labels.append("")
+    total = sum(len(found[i].text) for i, d in densities.items() if d >= 0)
+    covered = sum(len(found[i].text) for i, d in densities.items() if d >= STOP_LOW) >= COVERED * total
+    for i, density in densities.items():
+        b, length = found[i], _length(found[i].text)
+        if density >= STOP_HIGH:
+            labels[i] = "good" if length > LONG_LENGTH or b.in_article else "near"
+        elif density >= STOP_LOW or b.in_article:
+            labels[i] = "near"
+        elif density < 0 or not covered:
+            labels[i] = "good" if length > LONG_LENGTH else "near"
+        else:
+            labels[i] = "bad"
     return labels
 
 

@@ -139,6 +139,19 @@ def test_class_words_do_not_drop_the_article(head, tail):
     assert main_text(page) == "\n".join([good.strip()] * 2)
 
 
+@pytest.mark.parametrize("sentence", [
+    "Вчера вечером жители небольшого города собрались возле старой библиотеки, чтобы обсудить будущее этого здания. ",
+    "昨天晚上，这座小城的居民聚集在旧图书馆附近，讨论这座建筑的未来，许多人希望保留它。",
+    "昨日の夜、この小さな町の住民は古い図書館の近くに集まり、建物の将来について話し合いました。",
+    "Wczoraj wieczorem mieszkańcy małego miasta zebrali się obok starej biblioteki, aby omówić przyszłość tego budynku. ",
+    "Ieri sera gli abitanti della piccola città hanno discusso a lungo il futuro della vecchia biblioteca comunale. ",
+])
+def test_blocks_in_other_languages(sentence):
+    good = (sentence * 4).strip()
+    page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div>{good}</div><div>{good}</div><div><a href=3>{good}</a></div><p>Copyright © 2020</p></body>"
+    assert main_text(page) == "\n".join([good, good])
+
+
 def test_discussions_longer_than_the_article_are_dropped():
     good = "This is the text of a page that was written for people and it has many of the words that are in the list of stop words. "
     talk = "".join(f"<article class='comment-body'><p>{good * 3}</p></article>" for _ in range(5))
