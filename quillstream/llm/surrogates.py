@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -64,6 +65,8 @@ _NUMBERS = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?|\+\d{1,3}[ .-]?|\(\d{2,4}\)[ .-]?|\d{2,4}[.-]|0\d{2,4}[ /])\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-]))"
 )
+_CAPITAL = re.compile(rf"(?<!\w)[{_UPPER}]\w*(?:[-'’]\w+)*")
+_PART = re.compile(r"\w+")
 _DATE = re.compile(r"\d{4}[.-]\d{1,2}[.-]\d{1,2}|\d{1,2}[.-]\d{1,2}[.-]\d{4}")
 
 
@@ -102,7 +105,7 @@ def find_entities(text: str) -> list[Entity]:
             else:
                 value = raw
             found.append(Entity(start, end, kind, value))
-    taken = [(e.start, e.end) for e in found]
+    taken, names = [(e.start, e.end) for e in found], []
     for m in _NAME.finditer(text) if _NAME_HEAD.search(text) else ():
         if any(s < m.end() and m.start() < e for s, e in taken):
             continue
@@ -113,12 +116,45 @@ def find_entities(text: str) -> list[Entity]:
         else:
             gender, first, last = TITLES[m["title"]], None, m.span("first")
         if first:
-            name = text[slice(*first)]
-            found.append(Entity(*first, f"given-{_GENDER_OF.get(name, gender) or 'm'}", name))
-        found.append(Entity(*last, "surname", text[slice(*last)]))
+            name, place = _without_genitive(text, *first)
+            names.append(Entity(*place, f"given-{_GENDER_OF.get(name, gender) or 'm'}", name))
+        name, place = _without_genitive(text, *last)
+        names.append(Entity(*place, "surname", name))
+    if names:
+        found += names + _mentions(text, names, taken + [(e.start, e.end) for e in names])
     return sorted(found)
 
 
+def _without_genitive(text: str, start: int, end: int) -> tuple[str, tuple[int, int]]:
+    """A name and its place, without the ending of its genitive ("Smith's", "Jones'")."""
+    name = re.sub(r"['’]s?$", "", text[start:end])
+    return name, (start, start + len(name))
+
+
+def _mentions(text: str, names: list[Entity], spans: list[tuple[int, int]]) -> list[Entity]:
+    """Bare mentions of the names of a text outside `spans`: whole words, as found or in capitals."""
+    forms: dict[str, tuple[str, str]] = {}
+    for e in names:
+        forms.setdefault(e.value, (e.kind, e.value))
+    for kind, value in list(forms.values()):
+        forms.setdefault(value.upper(), (kind, value))
+    longest = max(len(_PART.findall(form)) for form in forms)
+    spans, found = sorted(spans), []
+    for m in _CAPITAL.finditer(text):
+        parts, i = [p.span() for p in _PART.finditer(m[0])], 0
+        while i < len(parts):
+            for j in range(min(i + longest, len(parts)), i, -1):
+                start, end = m.start() + parts[i][0], m.start() + parts[j - 1][1]
+                known = forms.get(text[start:end])
+                before = bisect_left(spans, (end,))
+                if known and not (before and spans[before - 1][1] > start):
+                    found.append(Entity(start, end, *known))
+                    i = j - 1
+                    break
+            i += 1
+    return found
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -272,7 +308,7 @@ class Surrogates:
         if entity.kind in ("phone", "card", "ssn", "iban"):
             chars = iter(made.lstrip("+"))
             return "".join(next(chars) if c.isalnum() else c for c in raw)
-        if entity.kind in ("email", "ipv6") and raw.isupper():
+        if raw.isupper() and (entity.kind in ("email", "ipv6") or raw != entity.value and entity.kind.startswith(("given-", "surname"))):
             return made.upper()
         return made
 

@@ -325,6 +325,18 @@ def test_surrogates_are_consistent(spark):
     assert row["n_entities"] == len(found) and not any(TEXT[e.start : e.end] in row["text"] for e in found)
 
 
+def test_later_mentions_of_a_name_are_replaced(spark):
+    text = "Smith came. Mr. John Smith said it; Smith's dog, SMITH, John-Smith and John left. Mrs Mary Jones' house and Jones. Smithson and Johnny stay, bo.Smith@x.example.org too. Frau Anna-Lena Müller-Lüdenscheidt; Müller-Lüdenscheidt."
+    row = replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    import re
+
+    assert not re.search(r"\b(Smith|SMITH|John|Mary|Jones|Müller|Lüdenscheidt)\b", row["text"]), row["text"]
+    made = Surrogates("quillstream-surrogate-key")
+    john, smith, jones = made.surrogate("given-m", "John"), made.surrogate("surname", "Smith"), made.surrogate("surname", "Jones")
+    assert row["text"].startswith(f"{smith} came. Mr. {john} {smith} said it; {smith}'s dog, {smith.upper()}, {john}-{smith} and {john} left.")
+    assert f" {jones}' house and {jones}. Smithson and Johnny stay, " in row["text"]
+
+
 def test_shapes_are_permuted_one_to_one():
     made = Surrogates("k")
     images = [made.shaped(f"{i:03d}", "t") for i in range(1000)]
