@@ -1,7 +1,7 @@
 """I-Match fingerprints with randomised lexicon subsets, in DataFrame operations only.
 
 The lexicon holds the terms whose document frequency lies in a band (`low` to `high` as shares of all
-documents, that is a band of inverse document frequency).  A text keeps its distinct terms of the lexicon,
+distinct texts, that is a band of inverse document frequency; copies do not push their words out of it).  A text keeps its distinct terms of the lexicon,
 sorted; their hash is its first fingerprint part, and the hashes of what randomised lexicon subsets
 leave of them are the other parts, nested from large subsets to small ones.  Texts with a few differing
 terms still agree in the subsets without them, so the share of agreeing parts is their likeness.
@@ -22,6 +22,8 @@ from pyspark.sql import Window
 from .common import written
 
 LOW, HIGH = 0.002, 0.2
+#: A text with fewer terms of the lexicon uses all of its terms.
+FEWEST = 4
 SLOT_BITS = 20
 #: Each level keeps one term in so many of the level before, in as many subsets as WIDTH.
 LEVELS, WIDTH = (16, 4, 4, 4), 16
@@ -42,8 +44,11 @@ def slot(term: Column) -> Column:
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
     """The lexicon's slot bitmap, in 64-bit words: a fixed number of rows comes to the driver."""
-    total = docs.count()
-    frequency = docs.select(F.explode(term_hashes(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    distinct = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), term_hashes(text).alias("terms"))
+    distinct = written(distinct.groupBy("k1", "k2").agg(F.any_value("terms").alias("terms")).select("terms"), "distinct-terms")
+    total = distinct.count()
+    frequency = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     banded = frequency.filter((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total))
     place = slot(F.col("term"))
     words = banded.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - SLOT_BITS}) & 63 as int))")).alias("bits"))
@@ -66,14 +71,14 @@ def _thinned(before: str, level: int) -> Column:
 def with_parts(df: DataFrame, text: Column, bitmap: list[int], out: str) -> DataFrame:
     """Add the fingerprint parts of a text as an array of 32-bit numbers in longs; 0 stands for no terms.
 
-    A text without a term of the lexicon uses all of its terms.
+    A text with fewer than FEWEST terms of the lexicon uses all of its terms.
     """
     bits = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
     keep = lambda t: F.getbit(F.get(bits, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
     digest = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_in", F.filter("_all", keep))
-    df = df.withColumn("_s", F.array_sort(F.when(F.size("_in") == 0, F.col("_all")).otherwise(F.col("_in")))).drop("_all", "_in")
+    df = df.withColumn("_s", F.array_sort(F.when(F.size("_in") < FEWEST, F.col("_all")).otherwise(F.col("_in")))).drop("_all", "_in")
     df = df.withColumn("_0", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: _subset(F.col("_s"), j, 0)))
     for level in range(1, len(LEVELS)):
         df = df.withColumn(f"_{level}", _thinned(f"_{level - 1}", level))

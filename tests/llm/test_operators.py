@@ -13,6 +13,7 @@ from quillstream.llm import common
 from quillstream.llm.cube_mixing import flight, landing, mix, source_targets
 from quillstream.llm.grouping import components, link_groups
 from quillstream.llm.html_blocks import main_text
+from quillstream.llm.imatch import edited_fingerprints
 from quillstream.llm.language_spans import held_out, identify, train
 from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
 from quillstream.llm.queries import QUERIES, model_file
@@ -412,6 +413,19 @@ def test_imatch_edited_texts(spark, sf_dir):
     assert closer > 0.85 * len(got)
 
 
+def test_imatch_copies_keep_their_words_in_the_band(spark):
+    rng = random.Random(3)
+    words = lambda k: [f"w{rng.randrange(120)}" for _ in range(k)]
+    copied = " ".join(f"c{i}" for i in range(24))
+    texts = [copied if i % 3 == 0 else " ".join(words(24)) for i in range(300)]
+    texts[3] = copied.replace("c5 ", "w7 ")  # a near copy: one changed word, inside the band
+    got = {r["doc_id"]: r for r in edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    copies = [got[i]["near_edited"] for i in range(0, 300, 3)]
+    assert min(copies) > 0.05 and sum(copies) / len(copies) > 0.15
+    parts = [[got[i]["fingerprint"][k : k + 8] for k in range(0, 8 * 65, 8)] for i in (0, 3)]
+    assert sum(a == b for a, b in zip(*parts)) > 0.5 * 65
+
+
 # --- vectors -------------------------------------------------------------------------------------
 
 
