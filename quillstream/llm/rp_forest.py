@@ -12,6 +12,11 @@ depth follows the table and not the sample.
 A dense ball (many vectors within half the linking angle of a centre) cannot be told apart by splits.
 By the triangle inequality on angles all its members link with each other, so these links are counted
 without comparing, and leaves only compare pairs that are not in one ball.
+
+A loose group (many vectors that link, but lie further apart than a ball) has no such shortcut, and each
+split would cut linked pairs of it. It is not split: every pair of it is compared, in blocks, and the
+trees are for its links with other vectors. This takes time in proportion to the square of its size, as
+its links do.
 """
 
 from __future__ import annotations
@@ -35,6 +40,12 @@ LEAF = 256
 SPILL = 0.012
 #: Sample vectors that make a dense ball, at least.
 BALL = 32
+#: A vector is in a loose group if its cosine to the centre is at least the threshold to this power.
+LOOSE = 0.75
+#: Share of linked pairs that makes a loose group, at least.
+LINKED = 0.05
+#: Rows of a loose group that are compared at a time.
+GROUP_CHUNK = 8192
 #: Rows of a leaf that are compared at a time; larger leaves are worked in blocks of so many.
 CHUNK = 2048
 
@@ -135,6 +146,35 @@ def fit_balls(sample: np.ndarray, half_angle: float, least: int = BALL) -> np.nd
     return np.array(centres).reshape(-1, sample.shape[1])
 
 
+def fit_groups(sample: np.ndarray, threshold: float, free: np.ndarray, least: int = BALL) -> np.ndarray:
+    """Centres of loose groups of the `free` sample vectors: most links first, until none has `least`."""
+    single, near = sample.astype(np.float32), np.zeros(len(sample), dtype=np.int64)
+    for start in range(0, len(sample), 1000):
+        near[start : start + 1000] = (single[start : start + 1000] @ single[free].T >= threshold).sum(axis=1)
+    free, centres = free.copy(), []
+    for i in np.argsort(-near, kind="stable"):
+        if near[i] < least:
+            break
+        if not free[i]:
+            continue
+        members = free & (sample @ sample[i] >= threshold)
+        if members.sum() < least // 2:
+            continue
+        centre = sample[members].mean(axis=0)
+        centre /= np.linalg.norm(centre)
+        members = free & (sample @ centre >= threshold**LOOSE)
+        some = sample[np.flatnonzero(members)[:512]]
+        if members.sum() >= least and (some @ some.T >= threshold).mean() >= LINKED + 1 / len(some):
+            centres.append(centre)
+            free &= ~members
+    return np.array(centres).reshape(-1, sample.shape[1])
+
+
+def group_key(group: int) -> int:
+    """The leaf key of a loose group."""
+    return xxhash.xxh64_intdigest(f"group/{group}") >> 2
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     # Scaling by the largest component first keeps squares of very large or small numbers in range.
@@ -196,10 +236,12 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
         picked = classes.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(scale)) < int(scale * SAMPLE / rows) + 1)
     sample = unit(_matrix(picked.select("vector").toArrow().column(0), size))
     half = np.arccos(threshold) / 2 - 1e-7  # two members of a ball are within the linking angle, rounding included
-    fitted = spark.sparkContext.broadcast(([fit_tree(sample, rows, seed * 1000 + t) for t in range(trees)], fit_balls(sample, half)))
+    centres = fit_balls(sample, half)
+    loose = fit_groups(sample, threshold, (sample @ centres.T).max(axis=1, initial=-1.0) < np.cos(half))
+    fitted = spark.sparkContext.broadcast(([fit_tree(sample, rows, seed * 1000 + t) for t in range(trees)], centres, loose))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, balls = fitted.value
+        forest, balls, groups = fitted.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -209,7 +251,14 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
             if len(balls):
                 cosine = vectors @ balls.T
                 ball = np.where(cosine.max(axis=1) >= np.cos(half), cosine.argmax(axis=1), -1)
-            found = [leaves(tree, t, vectors, SPILL) for t, tree in enumerate(forest)]
+            group = np.full(len(vectors), -1)
+            if len(groups):
+                cosine = vectors @ groups.T
+                group = np.where((cosine.max(axis=1) >= threshold**LOOSE) & (ball < 0), cosine.argmax(axis=1), -1)
+            inside = np.flatnonzero(group >= 0)
+            keys = np.array([group_key(g) for g in range(len(groups))], dtype=np.int64)
+            found = [(inside, keys[group[inside]])]  # before all trees
+            found += [leaves(tree, t, vectors, SPILL) for t, tree in enumerate(forest)]
             row = np.concatenate([r for r, _ in found])
             key = np.concatenate([k for _, k in found])
             tree = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
@@ -218,11 +267,11 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
             all_leaves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(key[order], pa.int64()))
             raw = pa.array([v.tobytes() for v in given], pa.binary())  # in its own precision, to keep the shuffle small
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("weight"), pa.array(ball, pa.int32()), raw, all_leaves],
-                names=["id", "weight", "ball", "raw", "leaves"],
+                [batch.column("id"), batch.column("weight"), pa.array(ball, pa.int32()), pa.array(group, pa.int32()), raw, all_leaves],
+                names=["id", "weight", "ball", "loose", "raw", "leaves"],
             )
 
-    placed = classes.select("id", "weight", "vector").mapInArrow(place, "id long, weight long, ball int, raw binary, leaves array<long>")
+    placed = classes.select("id", "weight", "vector").mapInArrow(place, "id long, weight long, ball int, loose int, raw binary, leaves array<long>")
     placed = written(placed, "placed")
     in_ball = placed.filter("ball >= 0").groupBy("ball").agg(F.sum("weight").alias("total"), F.min("id").alias("lead"))
     in_ball = placed.filter("ball >= 0").select("id", "weight", "ball").join(written(in_ball, "balls"), "ball")
@@ -231,44 +280,53 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         leaf = table.column("leaf")[0].as_py()
-        ids, weight, ball = (table.column(c).to_numpy() for c in ("id", "weight", "ball"))
+        ids, weight, ball, group = (table.column(c).to_numpy() for c in ("id", "weight", "ball", "loose"))
+        whole_group = group[0] >= 0 and group_key(int(group[0])) == leaf
         across = "across" in table.column_names and table.column("across")[0].as_py()  # a pair of blocks
         block = table.column("block").to_numpy() if across else None
         vectors = unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype=kind).reshape(-1, size))
-        earlier = _earlier(table.column("leaves"), leaf)
+        earlier = None if whole_group else _earlier(table.column("leaves"), leaf)
         n = np.zeros(len(ids), dtype=np.int64)
         label, a, b = np.arange(len(ids)), [], []
-        for start in range(0, len(ids), 512):
-            part = slice(start, start + 512)
+        step = 512 if len(ids) <= 2 * CHUNK else 128
+        for start in range(0, len(ids), step):
+            part = slice(start, start + step)
             near = vectors[part] @ vectors.T >= threshold
             near &= np.arange(len(ids))[None, :] > np.arange(len(ids))[part, None]
             near &= (ball[part, None] != ball[None, :]) | (ball[part, None] < 0)
+            if not whole_group:
+                near &= (group[part, None] != group[None, :]) | (group[part, None] < 0)
             if block is not None:
                 near &= block[part, None] != block[None, :]
             i, j = np.nonzero(near)
             if len(i) and earlier is not None:
                 fresh = ~_share(earlier, i + start, j)
                 i, j = i[fresh], j[fresh]
+            if not len(i):
+                continue
             i += start
-            np.add.at(n, i, weight[j])
-            np.add.at(n, j, weight[i])
-            for x, y in zip(i, j):
-                if label[x] != label[y]:
-                    a.append(int(ids[x])), b.append(int(ids[y]))
-                    label[label == label[y]] = label[x]
+            n += np.rint(np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
+            rows, firsts = np.unique(i, return_index=True)
+            for x, others in zip(rows, np.split(j, firsts[1:])):
+                apart = others[label[others] != label[x]]
+                if len(apart):
+                    merged, at = np.unique(label[apart], return_index=True)
+                    a += [int(ids[x])] * len(at)
+                    b += ids[apart[at]].tolist()
+                    label[np.isin(label, merged)] = label[x]
         some = np.flatnonzero(n)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(n[some], pa.int64()), pa.nulls(len(some), pa.int64())], names=["id", "n", "b"])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b, pa.int64())], names=["id", "n", "b"])
 
-    at_leaf = placed.select("id", "weight", "ball", "raw", "leaves", F.explode("leaves").alias("leaf"))
+    at_leaf = placed.select("id", "weight", "ball", "loose", "raw", "leaves", F.explode("leaves").alias("leaf"))
     sizes = written(placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter("count > 1"), "leaves")
     small = at_leaf.join(sizes.filter(F.col("count") <= CHUNK).select("leaf"), "leaf")
     compared = map_groups(small, ["leaf"], compare, "id long, n long, b long")
     large = sizes.filter(F.col("count") > CHUNK)
     if not large.isEmpty():  # every pair of blocks meets once
-        blocks = at_leaf.join(large, "leaf").withColumn("blocks", F.ceil(F.col("count") / CHUNK).cast("int"))
+        blocks = at_leaf.join(large, "leaf").withColumn("blocks", F.ceil(F.col("count") / F.when(F.col("leaf") == F.get("leaves", F.lit(0)), F.when(F.col("loose") >= 0, GROUP_CHUNK).otherwise(CHUNK)).otherwise(CHUNK)).cast("int"))
         blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         blocks = blocks.withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))

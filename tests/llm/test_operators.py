@@ -450,6 +450,22 @@ def test_vectors_equal_brute_force(spark):
     assert np.mean([r["component_id"] == k for r, k in zip(got, label)]) > 0.99
 
 
+def test_links_of_a_loose_group_are_whole(spark):
+    rng = np.random.default_rng(11)
+    side = rng.standard_normal((5000, 64))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    group = 0.2 * side
+    group[:, 0] = np.sqrt(1 - 0.2**2)  # cosine to the centre 0.98, of pairs about 0.96
+    vectors = np.concatenate([group, rng.standard_normal((10000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = near_vectors(df).orderBy("vec_id").collect()
+    n = (group @ group.T >= 0.95).sum(axis=1) - 1
+    assert n.min() > 1000
+    assert [r["n_links"] for r in got[:5000]] == n.tolist()
+    assert {r["component_id"] for r in got[:5000]} == {0} and not any(r["n_links"] for r in got[5000:])
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
