@@ -4,12 +4,14 @@ Detected entities (e-mail and IP addresses, phone, card and account numbers, nat
 secrets, person names) get surrogates of the same kind and shape.  Numbers, addresses and secrets go
 through a keyed permutation of all strings of their shape: each character keeps its class (digit, or
 letter of the same script and case), check digits are made valid again, and no value maps to itself.
-Names keep gender and script: given names come from lists, surnames are put together from syllables.
+Names keep gender and script: listed given names are permuted among themselves, all others are put
+together from syllables, with the endings of their gender.
 
 A surrogate depends on the key and the entity alone, so an entity has the same surrogate wherever it
-occurs.  Distinctness is checked over the corpus: where two entities share a surrogate, or a surrogate is
-itself an entity that occurs, all but the first get another attempt, until no collision is left.  These
-rare overrides reach the documents by a join.
+occurs.  Permutations are one to one by themselves.  Names from syllables are checked over the corpus:
+of names with one surrogate all but the first, in their order, get syllables that spell their rank.  Such
+names are longer than any name without a rank and tell rank and stem apart, so they cannot collide again:
+one round is enough, however many names there are.  These rare ranks reach the documents by a join.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import written
 
@@ -33,26 +36,40 @@ DEFAULT_KEY = "quillstream-surrogate-key"
 
 # Titles with the gender that they tell, and given names.
 TITLES = {"Mr": "m", "Mister": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
-MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth George Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Hans Klaus Jürgen Wolfgang Dieter Pierre Jacques Philippe François Carlos José Miguel Antonio Javier".split()
-FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Ursula Ingrid Sabine Monika Renate Nathalie Isabelle Sylvie Françoise Carmen Josefa Dolores Pilar Lucía".split()
+MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth George Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Hans Klaus Jürgen Wolfgang Dieter Pierre Jacques Philippe François Carlos José Miguel Antonio Javier Mohammed Ahmed Ali Omar Hassan Ivan Dmitri Sergei Vladimir Rajesh Sanjay Amit Arjun Vikram Wei Jun Hiroshi Kenji Takashi Minh Giovanni Giuseppe Luigi Marco Lars Erik Olaf Piotr Pawel João Pedro Luis Diego".split()
+FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Sharon Cynthia Kathleen Ursula Ingrid Sabine Monika Renate Nathalie Isabelle Sylvie Françoise Carmen Josefa Dolores Pilar Lucía Jane Alice Emma Olivia Sophia Hannah Fatima Aisha Zainab Layla Olga Svetlana Natasha Tatiana Priya Anjali Deepa Sunita Mei Yuki Keiko Sakura Giulia Francesca Chiara Astrid Ingeborg Agnieszka Katarzyna Ana Beatriz Inês".split()
 MALE_CYRILLIC = "Александр Сергей Владимир Андрей Алексей Дмитрий Николай Иван Михаил Евгений".split()
 FEMALE_CYRILLIC = "Елена Ольга Наталья Татьяна Ирина Анна Светлана Мария Людмила Екатерина".split()
 GIVEN = {("m", "latin"): MALE, ("f", "latin"): FEMALE, ("m", "cyrillic"): MALE_CYRILLIC, ("f", "cyrillic"): FEMALE_CYRILLIC}
 _GENDER_OF = {name: gender for (gender, _), names in GIVEN.items() for name in names}
+#: Words before a colon that announce a person, and words that show an office there instead.
+CUES = "Contact Author Attn Patient Signed Kontakt Ansprechpartner Autor Auteur Contacto Контакт Автор".split()
+OFFICES = frozenset("Customer Sales Support Technical Press Media Human Public Staff Us The Our Information Service General Help Data Legal Privacy Web Site Home Phone Email".split())
 SPECIAL_NETWORKS = [ipaddress.IPv4Network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "224.0.0.0/4", "240.0.0.0/4")]
-_SYLLABLES = [c + v for c in "bdfgklmnprstvwz" for v in ("a", "e", "i", "o", "u", "an", "er", "in")]
-_ENDINGS = ["son", "man", "ley", "ton", "er", "ard", "ins", "well"]
+#: Parts of made names: open syllables, and endings of which none ends in another.
+SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"]}
+ENDINGS = {
+    ("surname", "latin"): "son man ley ton ner bard lins well".split(), ("given-m", "latin"): "bert mund rick nald".split(),
+    ("given-f", "latin"): "lina rine dora beth".split(), ("given-u", "latin"): "ryn kis lex den".split(),
+    ("given-m", "cyrillic"): "мир слав дан".split(), ("given-f", "cyrillic"): "лина мила рида".split(), ("given-u", "cyrillic"): "ким рус нат".split(),
+}
+# Endings of Cyrillic surnames, which tell the gender; a surname keeps its own.
+SURNAME_ENDINGS = "ская ский ова ева ёва ина ына ов ев ёв ин ын ко ук юк ых".split()
+#: Syllables of a made name without a rank.
+STEM = 3
 
 #: A text without any of these characters and without a name holds no entity.
 _HINT = re.compile(r"[@\d=:]|A(?:KIA|SIA|GPA|IDA|ROA|Iza)|gh[pousr]_|sk-|xox[abprs]-")
 _UPPER, _REST = "A-ZÀ-ÖØ-ÞЀ-Я", "a-zß-öø-ÿа-ёA-ZÀ-ÖØ-ÞЀ-Я'’"
 _NAME_WORD = f"[{_UPPER}][{_REST}]+(?:-[{_UPPER}][{_REST}]+)?"
+_BETWEEN = f"(?:[ \u00a0][{_UPPER}]\\.)*(?:[ \u00a0](?:van der|van den|van|von der|von|de la|del|de|da|di|du|bin|al|el))?[ \u00a0]"
 _NAME = re.compile(
-    rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \u00a0](?P<first>{_NAME_WORD})(?:[ \u00a0](?P<last>{_NAME_WORD}))?"
-    rf"|\b(?P<given>{'|'.join(sorted(_GENDER_OF))})[ \u00a0](?P<family>{_NAME_WORD})"
+    rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \u00a0](?P<first>{_NAME_WORD})(?:{_BETWEEN}(?P<last>{_NAME_WORD}))?"
+    rf"|\b(?P<given>{'|'.join(sorted(_GENDER_OF))}){_BETWEEN}(?P<family>{_NAME_WORD})"
+    rf"|\b(?:{'|'.join(CUES)}): ?(?P<cued>{_NAME_WORD}){_BETWEEN}(?P<own>{_NAME_WORD})"
 )
 #: Where a name may start; a first scan that passes over nearly all texts.
-_NAME_HEAD = re.compile(f"(?:{'|'.join(sorted([*TITLES, *_GENDER_OF]))})[. \u00a0]")
+_NAME_HEAD = re.compile(f"(?:{'|'.join(sorted([*TITLES, *_GENDER_OF]))})[. \u00a0]|(?:{'|'.join(CUES)}):")
 _NUMBERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w](?:[\w.+%'-]*[\w+])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
@@ -60,7 +77,7 @@ _NUMBERS = re.compile(
     r"|(?P<vendor>\b(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}))"
     r"|(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?token|client[_-]?secret)[\"']?\s{0,3}(?:=|:)\s{0,3})(?P<quote>[\"']?)(?P<secret>[A-Za-z0-9_\-+/.~$!#%^&*]{6,}[A-Za-z0-9_\-+/])"
     r"|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d))"
-    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[23][0-9A-Fa-f]{3}|[Ff][C-Fc-f][0-9A-Fa-f]{2})(?=[0-9A-Fa-f:]*::)(?::{1,2}[0-9A-Fa-f]{1,4})*(?:::)?)(?![\w:]))"
     r"|(?P<card>(?<![\w.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.,-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?|\+\d{1,3}[ .-]?|\(\d{2,4}\)[ .-]?|\d{2,4}[.-]|0\d{2,4}[ /])\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-]))"
@@ -94,14 +111,21 @@ def find_entities(text: str) -> list[Entity]:
                 value = ("+" if raw[0] == "+" else "") + digits
             elif kind == "iban":
                 value = raw.replace(" ", "")
-                if not 15 <= len(value) <= 34 or _mod97(value) != 1:
+                if not 15 <= len(value) <= 34 or _mod97(value) != 1 or not 2 <= int(value[2:4]) <= 98:
                     continue
             elif kind in ("card", "ssn"):
                 value = re.sub(r"\D", "", raw)
                 if kind == "card" and _luhn(value):
                     continue
-            elif kind in ("email", "ipv6"):
+            elif kind == "email":
                 value = raw.lower()
+            elif kind == "ipv6":
+                try:
+                    value = str(ipaddress.IPv6Address(raw))
+                except ValueError:
+                    continue
+            elif kind == "secret" and not any(map(str.isalnum, raw)):  # a mask, not a secret
+                continue
             else:
                 value = raw
             found.append(Entity(start, end, kind, value))
@@ -111,15 +135,21 @@ def find_entities(text: str) -> list[Entity]:
             continue
         if m["given"]:
             gender, first, last = _GENDER_OF[m["given"]], m.span("given"), m.span("family")
+        elif m["cued"]:
+            if not OFFICES.isdisjoint((m["cued"], m["own"])):
+                continue
+            gender, first, last = "", m.span("cued"), m.span("own")
         elif m["last"]:
             gender, first, last = TITLES[m["title"]], m.span("first"), m.span("last")
         else:
             gender, first, last = TITLES[m["title"]], None, m.span("first")
         if first:
             name, place = _without_genitive(text, *first)
-            names.append(Entity(*place, f"given-{_GENDER_OF.get(name, gender) or 'm'}", name))
+            names.append(Entity(*place, f"given-{_GENDER_OF.get(name, gender) or 'u'}", name))
         name, place = _without_genitive(text, *last)
         names.append(Entity(*place, "surname", name))
+    told = {e.value: e.kind for e in names if e.kind in ("given-m", "given-f")}  # one gender for a name in a text
+    names = [e._replace(kind=told.get(e.value, e.kind)) if e.kind == "given-u" else e for e in names]
     if names:
         found += names + _mentions(text, names, taken + [(e.start, e.end) for e in names])
     return sorted(found)
@@ -225,94 +255,124 @@ class Surrogates:
             out.append(c)
         return "".join(reversed(out))
 
-    def _walk(self, value: str, tweak: str, fits) -> str:
-        """`shaped` again and again until the result fits as the value did."""
-        out = self.shaped(value, tweak)
-        while not fits(out):
-            out = self.shaped(out, tweak)
+    def _walk(self, value: str, tweak: str, of_class, alphabet: str = "") -> str:
+        """`shaped` again and again until the result is in the value's class: one to one within each class."""
+        own, out = of_class(value), self.shaped(value, tweak, alphabet)
+        while of_class(out) != own:
+            out = self.shaped(out, tweak, alphabet)
         return out
 
-    def surrogate(self, kind: str, value: str, attempt: int = 0) -> str:
-        """The canonical surrogate of a canonical entity."""
-        tweak = f"{kind}/{attempt}"
+    def surrogate(self, kind: str, value: str, ranks: dict[tuple[str, str], int] | None = None) -> str:
+        """The canonical surrogate of a canonical entity; `ranks` holds those of names, where there is one."""
         if kind == "email":
             local, _, domain = value.rpartition("@")
             host, _, top = domain.rpartition(".")
-            return f"{self.shaped(local, tweak + '/' + domain)}@{self.shaped(host, 'domain')}.{top}"
+            return f"{self.shaped(local, f'email/{domain}')}@{self.shaped(host, 'domain')}.{top}"
         if kind == "phone":
             plus = value[0] == "+"
             code = 1 + (1 if value[1] in "17" else 2) if plus else 0
             head, rest = value[:code], value[code:]
-            north = head == "+1" and len(rest) == 10 or not plus and len(rest) == 10 and rest[0] > "1"
-            if north and rest[0] > "1" and rest[3] > "1":
-                return head + self._walk(rest, tweak, lambda x: x[0] > "1" and x[3] > "1")
-            return head + self._walk(rest, tweak, lambda x: (x[0] == "0") == (rest[0] == "0"))
+            north = head in ("", "+1") and len(rest) == 10
+            return head + self._walk(rest, f"phone/{head}", lambda x: (x[0] == "0", north and x[0] > "1" and x[3] > "1"))
         if kind == "card":
-            made = value[0] + self.shaped(value[1:-1], f"{tweak}/{value[0]}")
+            made = value[0] + self.shaped(value[1:-1], f"card/{value[0]}")
             return made + next(d for d in "0123456789" if _luhn(made + d) == 0)
         if kind == "iban":
-            body = self.shaped(value[4:], f"{tweak}/{value[:2]}")
+            body = self.shaped(value[4:], f"iban/{value[:2]}")
             return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
         if kind == "ssn":
-            return self._walk(value, tweak, lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000") if value[0] != "9" else "9" + self.shaped(value[1:], tweak)
+            return self._walk(value, kind, lambda x: (x[0] == "9", x[:3] in ("000", "666") or x[3:5] == "00" or x[5:] == "0000"))
         if kind == "ipv4":
             address = ipaddress.IPv4Address(value)
             for net in SPECIAL_NETWORKS:
                 if address in net:  # stays in its network
                     base = int(net.network_address)
-                    return str(ipaddress.IPv4Address(base + self._moved(int(address) - base, net.num_addresses, f"{tweak}/{net}")))
+                    return str(ipaddress.IPv4Address(base + self._moved(int(address) - base, net.num_addresses, f"ipv4/{net}")))
             while True:
-                address = ipaddress.IPv4Address(self._moved(int(address), 1 << 32, tweak))
+                address = ipaddress.IPv4Address(self._moved(int(address), 1 << 32, kind))
                 if not any(address in net for net in SPECIAL_NETWORKS):
                     return str(address)
         if kind == "ipv6":
-            number = self._moved(int(ipaddress.IPv6Address(value)), 1 << 128, tweak)
-            return ":".join(f"{number >> 16 * (7 - i) & 0xFFFF:x}" for i in range(8))
+            return self._ipv6(value)
         if kind == "aws":
-            return value[:4] + self.shaped(value[4:], tweak + value[:4])
+            return value[:4] + self.shaped(value[4:], kind + value[:4])
         if kind == "vendor":
             head = re.match(r"[A-Za-z]+[_-]|AIza", value)[0]
-            return head + self.shaped(value[len(head) :], tweak + head)
+            return head + self.shaped(value[len(head) :], kind + head)
         if kind == "secret":
-            low = re.fullmatch(r"[0-9a-f]+", value)
-            return self.shaped(value, tweak, "0123456789abcdef") if low else self.shaped(value, tweak)
-        if kind.startswith("given-"):
-            return self._given(kind[-1], value, attempt)
-        return self._surname(value, attempt)
-
-    def _given(self, gender: str, value: str, attempt: int) -> str:
-        pool = GIVEN.get((gender, _script(value)))
-        if pool is None:
-            return self.shaped(value, f"given/{attempt}")
-        if attempt == 0 and value in pool:
-            return pool[self._moved(pool.index(value), len(pool), f"given-{gender}")]
-        pick = self._hash("given", gender, value, attempt)
-        first = pool[pick % len(pool)]
-        if attempt < 3:
-            return first if first != value else pool[(pick + 1) % len(pool)]
-        second = pool[pick // len(pool) % len(pool)]
-        return f"{first}-{second}" if attempt < 8 else f"{first}-{second}-{pool[pick // len(pool) ** 2 % len(pool)]}"
-
-    def _surname(self, value: str, attempt: int) -> str:
-        if _script(value) != "latin":
-            return self.shaped(value, f"surname/{attempt}")
-        pick, out = self._hash("surname", value, attempt), ""
-        for _ in range(2 + attempt // 2):
-            pick, i = divmod(pick, len(_SYLLABLES))
-            out += _SYLLABLES[i]
-        return (out + _ENDINGS[pick % len(_ENDINGS)]).capitalize()
-
-    def render(self, entity: Entity, raw: str, attempt: int = 0) -> str:
+            form = _secret_form(value)
+            return self._walk(value, f"{kind}/{form}", _secret_form, "0123456789abcdef" if form == "hex" else "")
+        return "-".join(self.name(k, v, (ranks or {}).get((k, v), 0)) for k, v in units(kind, value))
+
+    def _ipv6(self, value: str) -> str:
+        """Keeps the first group and the groups that are zero; moves the others together."""
+        number = int(ipaddress.IPv6Address(value))
+        groups = [number >> 16 * (7 - i) & 0xFFFF for i in range(8)]
+        at = [i for i in range(1, 8) if groups[i]] or [0] * (groups[0] > 0)
+        x = 0
+        for i in at:
+            x = x * 0xFFFF + groups[i] - 1
+        x = self._moved(x, 0xFFFF ** len(at), f"ipv6/{at}/{groups[0] if at != [0] else ''}")
+        for i in reversed(at):
+            x, rest = divmod(x, 0xFFFF)
+            groups[i] = rest + 1
+        return str(ipaddress.IPv6Address(sum(g << 16 * (7 - i) for i, g in enumerate(groups))))
+
+    def name(self, kind: str, value: str, rank: int = 0) -> str:
+        """The surrogate of one name without hyphens."""
+        script = _script(value)
+        pool = GIVEN.get((kind[-1], script), ()) if kind != "surname" else ()
+        if value in pool:
+            return pool[self._moved(pool.index(value), len(pool), kind)]
+        if script == "other":
+            return self.shaped(value, kind)
+        root, ending, letters = value, "", SYLLABLES[script]
+        if (kind, script) == ("surname", "cyrillic"):
+            ending = next((e for e in SURNAME_ENDINGS if value.endswith(e) and len(value) > len(e) + 1), "")
+            root = value[: len(value) - len(ending)] + ("" if ending else "-")
+        for salt in range(3):  # a made name that is the name itself is made anew
+            pick, made = self._hash(kind, root, salt), ""
+            for _ in range(STEM):
+                pick, i = divmod(pick, len(letters))
+                made += letters[i]
+            left, spelt = rank, ""
+            while left:
+                left, i = divmod(left, len(letters))
+                spelt = letters[i] + spelt
+            made += spelt
+            if (kind, script) == ("surname", "cyrillic"):
+                made += letters[pick % len(letters)][0] + (ending or "ук")
+            else:
+                made += ENDINGS[kind, script][pick % len(ENDINGS[kind, script])]
+            if made != value.lower():
+                break
+        return made.capitalize()
+
+    def render(self, entity: Entity, raw: str, ranks: dict[tuple[str, str], int] | None = None) -> str:
         """The surrogate in the format in which the entity was written."""
-        made = self.surrogate(entity.kind, entity.value, attempt)
+        made = self.surrogate(entity.kind, entity.value, ranks)
         if entity.kind in ("phone", "card", "ssn", "iban"):
             chars = iter(made.lstrip("+"))
             return "".join(next(chars) if c.isalnum() else c for c in raw)
+        if entity.kind == "ipv6" and "::" not in raw:
+            made = ":".join(f"{int(g, 16):x}" for g in ipaddress.IPv6Address(made).exploded.split(":"))
         if raw.isupper() and (entity.kind in ("email", "ipv6") or raw != entity.value and entity.kind.startswith(("given-", "surname"))):
             return made.upper()
         return made
 
 
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """The parts of a hyphenated name, each of which has a surrogate of its own."""
+    if not kind.startswith(("given-", "surname")):
+        return [(kind, value)]
+    parts = value.split("-")
+    return [(f"given-{_GENDER_OF.get(p, kind[-1])}" if kind != "surname" else kind, p) for p in parts]
+
+
+def _secret_form(value: str) -> str:
+    return "digits" if value.isdigit() else "hex" if re.fullmatch(r"[0-9a-f]+", value) else "mixed"
+
+
 @lru_cache(maxsize=4096)
 def _pool(c: str) -> str:
     """The letters of a character's script and case, or the digits; empty for anything else."""
@@ -320,6 +380,8 @@ def _pool(c: str) -> str:
         return "0123456789"
     if "a" <= c <= "z" or "A" <= c <= "Z":
         return "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    if c.isdecimal():
+        return "".join(chr(ord(c) - int(c) + i) for i in range(10))
     if not c.isalpha():
         return ""
     start = ord(c) & ~31 if not 0x410 <= ord(c) < 0x450 else 0x410 + (ord(c) - 0x410) // 32 * 32
@@ -340,14 +402,18 @@ def _maker(key: str) -> Surrogates:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, value) of the distinct entities of each text."""
+    """(id, kind, value) of the distinct entities of each text, hyphenated names as their parts.
+
+    Null and empty texts have none; repeated rows and null ids count like others.  Other columns are left
+    out, whatever their names.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, kinds, values = [], [], []
             for i, text in enumerate(batch.column("text")):
-                for k, v in {(e.kind, e.value) for e in find_entities(text.as_py() or "")}:
+                for k, v in {u for e in find_entities(text.as_py() or "") for u in units(e.kind, e.value)}:
                     at.append(i)
                     kinds.append(k)
                     values.append(v)
@@ -357,32 +423,26 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, kind string, value string")
 
 
-def overrides(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
-    """(kind, value, attempt) of the entities whose first surrogate collides; None if there are none.
+def name_ranks(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    """(kind, value, rank) of the names that are not the first of those with their surrogate.
 
-    `entities` holds distinct (kind, value).  Each round gives the colliding entities a further attempt and
-    checks all surrogates again; shuffles hold entities only, aggregated before they move.
+    `entities` holds (kind, value), repeated or not, null or not; entities that are no names and null
+    values have no rank, and an empty table gives no rows.  Only names are shuffled, after partial
+    aggregation, and those with one surrogate stand in one window: a few millionths of all names.
     """
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _maker(key)
         for batch in batches:
-            made = [maker.surrogate(k, v, a) for k, v, a in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "value", "attempt", "made"])
-
-    real = entities.select("kind", F.col("value").alias("made"))
-    todo = entities.select("kind", "value", F.lit(0).alias("attempt"))
-    fixed = None
-    while True:
-        made = todo.mapInArrow(make, "kind string, value string, attempt int, made string")
-        made = written(made if fixed is None else fixed.unionByName(made), "surrogates")
-        first = made.groupBy("kind", "made").agg(F.min_by("value", F.struct("attempt", "value")).alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        clash = made.join(first, ["kind", "made"]).filter("value <> keeper").select("kind", "value", "attempt")
-        clash = written(clash.unionByName(made.join(real, ["kind", "made"], "left_semi").select("kind", "value", "attempt")).distinct(), "clashes")
-        if clash.isEmpty():
-            changed = made.filter("attempt > 0").select("kind", "value", "attempt")
-            return None if changed.isEmpty() else changed
-        fixed = made.join(clash, ["kind", "value"], "left_anti")
-        todo = clash.withColumn("attempt", F.col("attempt") + 1)
+            made = [maker.name(k, v) for k, v in zip(*(batch.column(i).to_pylist() for i in range(2)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "value", "made"])
+
+    names = entities.filter("kind = 'surname' or kind like 'given-%'").filter("value <> ''").select("kind", "value").distinct()
+    made = written(names.mapInArrow(make, "kind string, value string, made string"), "names")
+    shared = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    order = Window.partitionBy("kind", "made").orderBy("value")
+    ranked = made.join(shared, ["kind", "made"]).select("kind", "value", (F.row_number().over(order) - 1).alias("rank"))
+    return written(ranked.filter("rank > 0"), "ranks")
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, keep: Sequence[str] = ()) -> DataFrame:
@@ -395,29 +455,29 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(occurrences(docs, id_col, text_col), "entities")
-    changed = overrides(found.select("kind", "value").distinct(), key)
+    ranked = name_ranks(found, key)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
     schema = f"`{id_col}` {kind}, `{text_col}` string, n_entities long, kinds array<string>"
     schema += f", kept {chosen.schema['kept'].dataType.simpleString()}" if keep else ""
     names = [id_col, text_col, "n_entities", "kinds", *(["kept"] if keep else [])]
-    if changed is None:
-        chosen = chosen.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+    if ranked.isEmpty():
+        chosen = chosen.withColumn("ranks", F.lit(None).cast("array<struct<kind:string,value:string,rank:int>>"))
     else:
-        again = found.join(changed, ["kind", "value"]).groupBy(F.col("id").alias("at")).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("again"))
-        chosen = chosen.join(written(again, "overrides"), F.col("id").eqNullSafe(F.col("at")), "left").drop("at")
+        own = found.join(ranked, ["kind", "value"]).groupBy(F.col("id").alias("at")).agg(F.collect_set(F.struct("kind", "value", "rank")).alias("ranks"))
+        chosen = chosen.join(written(own, "own-ranks"), F.col("id").eqNullSafe(F.col("at")), "left").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _maker(key)
         for batch in batches:
             texts, counts, kinds = [], [], []
-            for text, again in zip(batch.column("text"), batch.column("again")):
+            for text, ranks in zip(batch.column("text"), batch.column("ranks")):
                 text = text.as_py()
                 found = find_entities(text) if text else []
                 if found:
-                    attempts = {(x["kind"], x["value"]): x["attempt"] for x in again.as_py() or ()}
+                    known = {(x["kind"], x["value"]): x["rank"] for x in ranks.as_py() or ()}
                     parts, at = [], 0
                     for e in found:
-                        parts += [text[at : e.start], maker.render(e, text[e.start : e.end], attempts.get((e.kind, e.value), 0))]
+                        parts += [text[at : e.start], maker.render(e, text[e.start : e.end], known)]
                         at = e.end
                     text = "".join([*parts, text[at:]])
                 texts.append(text)

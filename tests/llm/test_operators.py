@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differi
 from quillstream.llm.queries import QUERIES, model_file
 from quillstream.llm.rp_forest import near_vectors
 from quillstream.llm.sentencepiece_bpe import PrefixTableEncoder, encoder
-from quillstream.llm.surrogates import Surrogates, _luhn, find_entities, overrides, replace_entities
+from quillstream.llm.surrogates import GIVEN, STEM, SYLLABLES, Surrogates, _luhn, find_entities, name_ranks, replace_entities
 from quillstream.llm.url_automaton import GlobAutomaton, Rule, UrlFilter
 from quillstream.llm.warc import Gap, Record, encode_record, read_warc, salvage
 from quillstream.sources.tables import load
@@ -329,8 +330,6 @@ def test_surrogates_are_consistent(spark):
 def test_later_mentions_of_a_name_are_replaced(spark):
     text = "Smith came. Mr. John Smith said it; Smith's dog, SMITH, John-Smith and John left. Mrs Mary Jones' house and Jones. Smithson and Johnny stay, bo.Smith@x.example.org too. Frau Anna-Lena Müller-Lüdenscheidt; Müller-Lüdenscheidt."
     row = replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    import re
-
     assert not re.search(r"\b(Smith|SMITH|John|Mary|Jones|Müller|Lüdenscheidt)\b", row["text"]), row["text"]
     made = Surrogates("quillstream-surrogate-key")
     john, smith, jones = made.surrogate("given-m", "John"), made.surrogate("surname", "Smith"), made.surrogate("surname", "Jones")
@@ -359,23 +358,75 @@ def test_secrets_in_texts_without_digits(kind, value, text):
         assert [(e.kind, e.value) for e in find_entities(text.format(value) + more)] == [(kind, value)]
 
 
-def test_collisions_are_resolved(spark, monkeypatch):
-    names = [("surname", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
-    df = spark.createDataFrame(names, "kind string, value string")
+def ranks_of(rows):
+    return {(r["kind"], r["value"]): r["rank"] for r in rows}
+
+
+@pytest.mark.parametrize("kind, names", [
+    ("given-m", ["Имя" + chr(0x430 + i // 32) + chr(0x430 + i % 32) for i in range(1000)] + GIVEN["m", "cyrillic"]), ("given-m", GIVEN["m", "latin"]),
+    ("surname", [f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)] + [f"Фам{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}{e}" for i in range(300) for e in ("ов", "ова", "", "ук")]),
+])
+@pytest.mark.parametrize("stem", [1, 3])
+def test_names_stay_distinct(spark, monkeypatch, kind, names, stem):
+    """Also with far more names than stems, and with all names of a list."""
+    monkeypatch.setattr("quillstream.llm.surrogates.STEM", stem)
     made = Surrogates("k")
-    clashes = len(names) - len({made.surrogate(*n) for n in names})
-    changed = overrides(df, "k")
-    attempts = {(r["kind"], r["value"]): r["attempt"] for r in changed.collect()} if changed is not None else {}
-    final = {made.surrogate(k, v, attempts.get((k, v), 0)) for k, v in names}
-    assert len(final) == len(names) and len(attempts) >= clashes
+    frame = spark.createDataFrame([(kind, n) for n in names] + [("email", "a@b.example"), ("surname", None), (None, "x")], "kind string, value string")
+    # The ranks by brute force, as executors do not see the patched stem.
+    groups = collections.defaultdict(list)
+    for n in sorted(names):
+        groups[made.name(kind, n)].append(n)
+    ranks = {n: i for same in groups.values() for i, n in enumerate(same)}
+    final = {n: made.name(kind, n, ranks[n]) for n in names}
+    assert len(set(final.values())) == len(names) and all(n.lower() not in re.split("-", x.lower()) for n, x in final.items())
+    if stem == STEM:
+        assert ranks_of(name_ranks(frame, "k").collect()) == {(kind, n): r for n, r in ranks.items() if r}
+    if kind == "surname":
+        for n, x in final.items():
+            assert next((x.endswith(e) for e in ("ова", "ов") if n.endswith(e)), True)
+
+
+def test_listed_names_are_no_made_names():
+    for (gender, script), pool in GIVEN.items():
+        letters = "|".join(SYLLABLES[script])
+        assert not any(re.fullmatch(f"(?:{letters}){{{STEM},}}.*", n.lower()) and len(n) >= 2 * STEM + 3 for n in pool)
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("ipv4", [f"169.254.{i}.{j}" for i in range(16) for j in range(256)]), ("ipv4", [f"{i}.7.8.9" for i in range(256)]),
+    ("ssn", [f"{i:03d}{j:02d}0007" for i in range(0, 1000, 9) for j in range(0, 100, 7)]), ("phone", [f"+1{i:04d}555123" for i in range(0, 10000, 3)]), ("phone", [f"0{i:03d}55512" for i in range(1000)]),
+    ("secret", [f"{i:08d}" for i in range(500)] + [f"{i:08x}" for i in range(0xABC00000, 0xABC00000 + 500)] + [f"zz{i:06d}" for i in range(500)]),
+    ("ipv6", [f"2001:db8::{i:x}" for i in range(1, 700)] + [f"fe80::{i:x}:1" for i in range(1, 300)] + ["2001:db8::", "fe80::"]), ("email", [f"{a}{i}@m{j}.example.com" for a in "ab" for i in range(30) for j in range(10)]),
+])
+def test_numbers_map_one_to_one(kind, values):
+    made = Surrogates("k")
+    images = [made.surrogate(kind, v) for v in values]
+    assert len(set(images)) == len(set(values)) and all(x != v for x, v in zip(images, values))
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Jane Doe met Wei Zhang.", "given-f surname given-m surname"), ("Contact: Priya Patel", "given-f surname"), ("Contact: Qadir Okonkwo, now", "given-u surname"), ("Contact: Customer Service", ""),
+    ("Dr. Oluchi Khan came. Mrs Oluchi Khan left.", "given-f surname given-f surname"), ("John F. Kennedy and Hans van der Berg", "given-m surname given-m surname"), ("at fe80::1ff:fe23:4567:890a or 2001:db8::1 or std::vector a::b 10:30:45", "ipv6 ipv6"),
+])
+def test_names_and_addresses_that_are_found(text, names):
+    assert [e.kind for e in find_entities(text)] == names.split()
+
+
+def test_formats_are_kept():
+    made = Surrogates("k")
+    parts = made.surrogate("surname", "Müller-Lüdenscheidt").split("-")
+    assert parts == [made.surrogate("surname", "Müller"), made.surrogate("surname", "Lüdenscheidt")]
+    assert made.surrogate("given-f", "Anna-Maria").split("-")[1] == made.name("given-f", "Maria")
+    long, short = "2001:0DB8:0:0:0:0:0:1", "2001:db8::1"
+    (a,), (b,) = find_entities(long), find_entities(short)
+    assert a.value == b.value and made.render(b, short).count(":") == 3 and made.render(a, long).count(":") == 7
+    assert made.surrogate("email", "٣٤x@m1.example.com")[0] in "٠١٢٣٤٥٦٧٨٩"
 
 
 # --- URLs ----------------------------------------------------------------------------------------
 
 
 def glob_fits(glob, text):
-    import re
-
     return re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob), text, re.DOTALL) is not None
 
 
