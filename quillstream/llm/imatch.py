@@ -1,14 +1,17 @@
 """I-Match fingerprints with randomised lexicon subsets, in DataFrame operations only.
 
 The lexicon holds the terms whose document frequency lies in a band (`low` to `high` as shares of all
-distinct texts, that is a band of inverse document frequency; copies do not push their words out of it).  A text keeps its distinct terms of the lexicon,
-sorted; their hash is its first fingerprint part, and the hashes of what randomised lexicon subsets
-leave of them are the other parts, nested from large subsets to small ones.  Texts with a few differing
-terms still agree in the subsets without them, so the share of agreeing parts is their likeness.
+distinct texts, that is a band of inverse document frequency; copies do not push their words out of it).
+A text keeps its distinct terms of the lexicon, sorted; their hash is its first fingerprint part, and the
+hashes of what randomised lexicon subsets leave of them are the other parts, nested from large subsets to
+small ones.  Texts with a few differing terms still agree in the subsets without them, so the share of
+agreeing parts is their likeness.
+
+A text with fewer than FEWEST terms of the lexicon keeps all of its terms, as so few say too little.
 
 There are at most (mean distinct terms of a text) / low terms in the band, whatever the corpus size.
-The lexicon goes to the tasks as a bitmap over 2^20 hash slots, 16,384 numbers of a query literal; a term
-outside the lexicon that falls on a taken slot counts as inside, in all texts alike.
+The lexicon goes to the tasks as a bitmap in a query literal, with at least 32 slots a term; a term is
+inside if both of its slots are taken, which holds for under one in 200 of the others, in all texts alike.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from .common import written
 LOW, HIGH = 0.002, 0.2
 #: A text with fewer terms of the lexicon uses all of its terms.
 FEWEST = 4
-SLOT_BITS = 20
+#: Slots of the lexicon's bitmap, as powers of two: the fewest, the most, and how many a term at least.
+FEWEST_BITS, MOST_BITS, SPARE_BITS = 16, 24, 5
 #: Each level keeps one term in so many of the level before, in as many subsets as WIDTH.
 LEVELS, WIDTH = (16, 4, 4, 4), 16
 PARTS = 1 + WIDTH * len(LEVELS)
@@ -38,22 +42,28 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def slot(term: Column) -> Column:
-    return F.shiftrightunsigned(term, 64 - SLOT_BITS)
+def slots(term: Column, bits: int) -> tuple[Column, Column]:
+    """The two slots of a term, from unlike bits of its hash."""
+    return F.shiftrightunsigned(term, 64 - bits), term.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """The lexicon's slot bitmap, in 64-bit words: a fixed number of rows comes to the driver."""
+    """The lexicon's bitmap, in 64-bit words; its size follows the lexicon, and so what comes to the driver.
+
+    Null texts count as empty; a table without texts has an empty lexicon.  Equal texts count once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    distinct = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), term_hashes(text).alias("terms"))
+    # The constant comes first: behind the text, it would only hash the first key again.
+    distinct = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), term_hashes(text).alias("terms"))
     distinct = written(distinct.groupBy("k1", "k2").agg(F.any_value("terms").alias("terms")).select("terms"), "distinct-terms")
     total = distinct.count()
     frequency = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    banded = frequency.filter((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total))
-    place = slot(F.col("term"))
-    words = banded.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - SLOT_BITS}) & 63 as int))")).alias("bits"))
-    out = [0] * (1 << SLOT_BITS - 6)
-    for r in words.collect():
+    banded = written(frequency.filter((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("term"), "lexicon")
+    bits = min(MOST_BITS, max(FEWEST_BITS, banded.count().bit_length() + SPARE_BITS))
+    place = F.explode(F.array(*slots(F.col("term"), bits)))
+    words = banded.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = [0] * (1 << bits - 6)
+    for r in words.collect():  # a row for each of 2^18 words at most
         out[r["word"]] = r["bits"]
     return out
 
@@ -74,7 +84,9 @@ def with_parts(df: DataFrame, text: Column, bitmap: list[int], out: str) -> Data
     A text with fewer than FEWEST terms of the lexicon uses all of its terms.
     """
     bits = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
-    keep = lambda t: F.getbit(F.get(bits, F.shiftright(slot(t), 6).cast("int")), slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+    size = (64 * len(bitmap)).bit_length() - 1
+    taken = lambda at: F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    keep = lambda t: taken(slots(t, size)[0]) & taken(slots(t, size)[1])
     digest = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_in", F.filter("_all", keep))
@@ -99,27 +111,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(known) == 0, F.lit(1.0)).otherwise(total.cast("double") / F.size(known))
 
 
+def blocks_before(blocks: DataFrame) -> DataFrame:
+    """(block, before): the block that precedes each of the distinct blocks; the first follows the last.
+
+    The blocks are dealt out by range.  Only one row for each of these ranges is ordered in a single task.
+    """
+    dealt = written(blocks.repartitionByRange(F.col("block")).select("block", F.spark_partition_id().alias("range")), "block-ranges")
+    ends = dealt.groupBy("range").agg(F.max("block").alias("last"))
+    everywhere = Window.orderBy("range")
+    all_ranges = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = written(ends.select("range", F.coalesce(F.lag("last").over(everywhere), F.max("last").over(all_ranges)).alias("end_before")), "range-ends")
+    within = Window.partitionBy("range").orderBy("block")
+    return dealt.join(ends, "range").select("block", F.coalesce(F.lag("block").over(within), "end_before").alias("before"))
+
+
 def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """Add next_<column> of the document with the next larger id; after the last comes the first.
 
     Ids are cut into blocks.  The first document of each block also stands, as a guest, at the end of the
-    block before it, so one shuffle by block and a window within blocks find all successors.  Ordering
-    the blocks takes one row a block.  Documents with equal ids follow each other; of those with null ids
-    the last has no next.
+    block before it, so one shuffle by block and a window within blocks find all successors.  Of rows that
+    repeat an id the one with the smallest hash is the next of the document before, and all of them have
+    the same next.  Rows with a null id have none, and are nobody's next.
     """
+    ids = written(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")), "ids")
     block = F.floor(F.col(id_col) / BLOCK)
-    firsts = docs.filter(F.col(id_col).isNotNull()).groupBy(block.alias("block")).agg(F.min(id_col).alias("first"))
-    firsts = written(firsts, "blocks")
-    everywhere = Window.orderBy("block")
-    guests = firsts.select("first", F.lag("block").over(everywhere).alias("before"), F.max("block").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
-    guests = written(guests.select("first", F.coalesce("before", "last").alias("host")), "guests")
+    firsts = written(ids.groupBy(block.alias("block")).agg(F.min(id_col).alias("first")), "blocks")
+    guests = written(firsts.join(blocks_before(firsts.select("block")), "block").select("first", F.col("before").alias("host")), "guests")
+    repeated = ids.filter("n > 1").select(id_col)
+    some_repeated = not repeated.isEmpty()
+    rows = docs.filter(F.col(id_col).isNotNull())
+    if some_repeated:
+        repeated = written(repeated, "repeated-ids")
+        again = rows.join(repeated, id_col, "left_semi")
+        least = again.groupBy(id_col).agg(F.min_by(F.struct(*carried), F.xxhash64(*carried)).alias("_row")).select(id_col, "_row.*")
+        rows = rows.join(repeated, id_col, "left_anti").select(id_col, *carried).unionByName(least)
     own = F.struct(block.alias("block"), F.lit(False).alias("guest"))
-    rows = docs.join(guests, F.col(id_col) == F.col("first"), "left").drop("first")
+    rows = rows.join(guests, F.col(id_col) == F.col("first"), "left").drop("first")
     places = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("block"), F.lit(True).alias("guest"))))
     rows = rows.withColumn("place", F.explode(places)).select("*", "place.block", "place.guest").drop("place", "host")
-    order = Window.partitionBy("block").orderBy("guest", id_col, *[F.xxhash64(c) for c in carried])
+    order = Window.partitionBy("block").orderBy("guest", id_col)
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
-    return rows.filter(~F.col("guest")).drop("block", "guest")
+    rows = rows.filter(~F.col("guest")).select(id_col, *carried, *[f"next_{c}" for c in carried])
+    if some_repeated:
+        nexts = rows.join(repeated, id_col, "left_semi").select(id_col, *[f"next_{c}" for c in carried])
+        rows = rows.join(repeated, id_col, "left_anti").unionByName(again.select(id_col, *carried).join(nexts, id_col).select(rows.columns))
+    none = docs.filter(F.col(id_col).isNull()).select(id_col, *carried, *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in carried])
+    return rows.unionByName(none)
 
 
 def fingerprints(docs: DataFrame, bitmap: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,8 +173,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edited text, whose second half is the next text's beginning.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Null
-    texts are taken as empty; an empty table gives no rows; the only document is its own next.  Repeated
-    rows stay and are each other's next.  Texts are read whole; other columns are left out.
+    texts are taken as empty; an empty table gives no rows; the only document is its own next.  Rows that
+    repeat an id all stay and have one next (see `with_next`); a row with a null id has none, and its
+    edited text ends with its first half.  Texts are read whole; other columns are left out.
     """
     bitmap = lexicon(docs, text_col, low, high)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

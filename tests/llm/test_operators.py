@@ -8,13 +8,15 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
 from quillstream.llm.cube_mixing import flight, landing, mix, source_targets
 from quillstream.llm.grouping import components, link_groups
 from quillstream.llm.html_blocks import main_text
-from quillstream.llm.imatch import edited_fingerprints
+from quillstream.llm import imatch
+from quillstream.llm.imatch import edited_fingerprints, lexicon
 from quillstream.llm.language_spans import held_out, identify, train
 from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
 from quillstream.llm.queries import QUERIES, model_file
@@ -464,6 +466,74 @@ def test_imatch_edited_texts(spark, sf_dir):
     assert closer > 0.85 * len(got)
 
 
+def hashed(value, seed=42):
+    """Spark's xxhash64 of a text, a long, an int (a pair with its width) or a list of longs."""
+    if isinstance(value, list):
+        for x in value:
+            seed = hashed(x, seed) % 2**64
+        return seed - 2**64 * (seed >= 2**63)
+    raw = value.encode() if isinstance(value, str) else value[0].to_bytes(4, "little") if isinstance(value, tuple) else value.to_bytes(8, "little", signed=True)
+    out = xxhash.xxh64_intdigest(raw, seed)
+    return out - 2**64 * (out >= 2**63)
+
+
+def brute_terms(text):
+    return {hashed(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())}
+
+
+def brute_parts(text, inside):
+    """Fingerprint parts by the definition, one subset after the other."""
+    terms = brute_terms(text)
+    kept = sorted(t for t in terms if inside(t))
+    levels = [kept if len(kept) >= imatch.FEWEST else sorted(terms)]
+    parts = [levels[0]]
+    before = [levels[0]] * imatch.WIDTH
+    for level, share in enumerate(imatch.LEVELS):
+        before = [[t for t in ts if hashed((level,), hashed((j,), hashed(t) % 2**64) % 2**64) % share == 0] for j, ts in enumerate(before)]
+        parts += before
+    return [hashed(p) & 0xFFFFFFFF if p else 0 for p in parts]
+
+
+def test_imatch_equals_brute_force(spark, sf_dir):
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").collect()
+    frame = spark.createDataFrame([(r["doc_id"] * 700, r["text"]) for r in rows], "doc_id long, text string")
+    seen = collections.Counter(t for text in {r["text"] for r in rows} for t in brute_terms(text))
+    total = len({r["text"] for r in rows})
+    band = {t for t, n in seen.items() if max(2, imatch.LOW * total) <= n <= imatch.HIGH * total}
+    bitmap = [w % 2**64 for w in lexicon(frame)]
+    size = (64 * len(bitmap)).bit_length() - 1
+    taken = lambda at: bitmap[at >> 6] >> (at & 63) & 1
+    inside = lambda t: taken(t % 2**64 >> 64 - size) and taken(t % 2**size)
+    assert all(map(inside, band)) and sum(map(inside, seen)) <= len(band) + 0.005 * len(seen)
+    got = {r["doc_id"]: r for r in edited_fingerprints(frame).collect()}
+    text_of = lambda parts: "".join(f"{x:08x}" for x in parts)
+
+    def alike(a, b):
+        known = [x == y for x, y in zip(a, b) if x or y]
+        return sum(known) / len(known) if known else 1.0
+
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        text, half, mine = r["text"], len(r["text"]) // 2, got[r["doc_id"] * 700]
+        edited = brute_parts(text[: len(text) - half] + after["text"][:half], inside)
+        own = brute_parts(text, inside)
+        assert mine["fingerprint"] == text_of(own) and mine["edited_fingerprint"] == text_of(edited)
+        assert mine["near_edited"] == alike(own, edited) and mine["near_next"] == alike(own, brute_parts(after["text"], inside))
+
+
+@pytest.mark.parametrize("ids", [list(range(1, 60)), [i * 10**12 for i in range(-30, 30)], [5], [3, 3, 3], [1, 4000, 4000, 4001, 10**9, None, None], []])
+def test_the_next_document(spark, ids):
+    rows = [(i, f"{n}") for n, i in enumerate(ids)]
+    got = imatch.with_next(spark.createDataFrame(rows, "id long, text string"), "id", ["text"]).collect()
+    assert sorted(map(str, ids)) == sorted(str(r["id"]) for r in got) and {r["text"] for r in got} == {t for _, t in rows}
+    order = sorted({i for i in ids if i is not None})
+    after = dict(zip(order, [*order[1:], *order[:1]]))
+    nexts = collections.defaultdict(set)
+    for r in got:
+        assert r["next_text"] is None if r["id"] is None else ids[int(r["next_text"])] == after[r["id"]]
+        nexts[r["id"]].add(r["next_text"])
+    assert all(len(x) == 1 for x in nexts.values())
+
+
 def test_imatch_copies_keep_their_words_in_the_band(spark):
     rng = random.Random(3)
     words = lambda k: [f"w{rng.randrange(120)}" for _ in range(k)]
