@@ -86,12 +86,13 @@ FROM fits
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into archives, read them back with the salvage reader."""
     from . import common
-    from .warc import read_warc, write_warc
+    from .warc import read_warc, resolve_revisits, write_warc
 
     path = common.new_path(spark, "warc")
     write_warc(load(spark, sf_dir, "pages"), path)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d*)$", 1), F.lit("")).cast("long")
-    records = read_warc(spark, path, with_payload=False).filter("kind = 'record'")
+    found = read_warc(spark, path, with_payload=False).filter("kind = 'record'")
+    records = resolve_revisits(common.written(found.drop("headers"), "warc-records"))
     return records.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
         number("refers_to").alias("refers_to"),

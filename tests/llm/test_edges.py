@@ -8,11 +8,13 @@ from quillstream.llm.html_blocks import extract_text
 from quillstream.llm.imatch import PARTS, edited_fingerprints
 from quillstream.llm.language_spans import Model, identify, train
 from quillstream.llm.odd_sketch import near_duplicates
+from quillstream.llm import common
 from quillstream.llm.queries import model_file, url_rules
 from quillstream.llm.rp_forest import near_vectors
 from quillstream.llm.sentencepiece_bpe import encode_texts
 from quillstream.llm.surrogates import replace_entities
 from quillstream.llm.url_automaton import filter_urls
+from quillstream.llm.warc import read_warc, write_warc
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 ROWS = [
@@ -146,3 +148,23 @@ def test_vector_edges(spark):
         assert got[k] == [(0, k, True)], k
     assert got[None][0][0] == 0
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_warc_edges(spark, pages):
+    path = common.new_path(spark, "edge-warc")
+    write_warc(pages, path)
+    got = sorted((r["record_id"], r["warc_type"], r["payload_bytes"], r["target_uri"]) for r in read_warc(spark, path).collect())
+    page = len(PAGES[4][2])
+    assert got == [("urn:page:", "response", page, "no scheme"), ("urn:page:1", "response", 8, "https://a.example.org/en/12"), ("urn:page:2", "response", 0, None), ("urn:page:3", "response", 0, ""), ("urn:page:3", "response", 0, "")]
+    empty_path = common.new_path(spark, "edge-warc")
+    write_warc(pages.limit(0), empty_path)
+    assert read_warc(spark, empty_path).collect() == []
+
+
+def test_long_and_tied_urls(spark):
+    long = "https://a.example.org/en/1" + "x" * 200_000
+    df = spark.createDataFrame([(1, long), (2, "http://a.com/fr/de/"), (2, "http://a.com/fr/de/"), (3, "://"), (4, "a://?x"), (5, "x://h#/p")], "page_id long, url string")
+    rows = [tuple(r) for r in filter_urls(df, url_rules()).collect()]
+    assert rows[0][3:] == ("example.org/en/1", "block") and len(rows[0][2]) == len(long) - len("https://a.example.org")
+    assert rows[1] == rows[2] == (2, "a.com", "/fr/de/", "com/fr/", "allow")
+    assert [r[1:3] for r in rows[3:]] == [("", ""), ("", ""), ("h", "")]

@@ -91,6 +91,53 @@ def test_salvage_of_odd_archives():
     assert len(list(salvage(pair))) == 2
 
 
+def packed(data):
+    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return member.compress(data) + member.flush()
+
+
+def ids_of(items):
+    return [int(r.headers["warc-record-id"][7:-1]) for r in items if isinstance(r, Record)]
+
+
+def test_salvage_inside_members():
+    parts = [record(i, random.Random(i).randbytes(4000)) for i in range(9)]
+    damaged = bytearray(parts[4])
+    damaged[2000] ^= 1
+    items = list(salvage(packed(b"".join(parts[:4]) + bytes(damaged) + b"".join(parts[5:])) + packed(parts[0])))
+    assert ids_of(items) == [0, 1, 2, 3, 5, 6, 7, 8, 0]
+    (gap,) = [g for g in items if isinstance(g, Gap)]
+    assert (gap.inner, gap.inner_length) == (sum(map(len, parts[:4])), len(parts[4])) and gap.offset == 0
+    whole = packed(b"".join(parts))
+    cut = list(salvage(whole[: len(whole) // 2] + packed(parts[8])))  # a member that breaks off
+    assert ids_of(cut) == [0, 1, 2, 3, 8] and cut[-1].offset == len(whole) // 2 == cut[0].length
+    wrong = bytearray(whole)
+    wrong[len(whole) // 2 : len(whole) // 2 + 300] = b"\xff" * 300  # broken data
+    assert ids_of(salvage(bytes(wrong)))[:4] == [0, 1, 2, 3]
+    bare = b"".join(encode_record({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:x:{i}>"}, random.Random(i).randbytes(4000)) for i in range(9))
+    crc = bytearray(packed(bare))
+    crc[-5] ^= 1  # records without digests in a member whose CRC differs prove nothing
+    assert ids_of(salvage(bytes(crc))) == []
+
+
+def test_salvage_of_long_headers_and_hostile_archives():
+    long = encode_record({"WARC-Type": "resource", "WARC-Record-ID": "<urn:x:1>", "X": "y" * (3 << 20)}, b"a")
+    assert ids_of(salvage(long)) == [1]
+    assert [type(x) for x in salvage(b"WARC/1.0\r\n" * 200_000)] == [Gap]
+
+
+def test_revisits_take_what_was_read_back(spark, tmp_path):
+    from quillstream.llm.warc import resolve_revisits
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    answer = encode_record({"WARC-Type": "response", "WARC-Record-ID": "<urn:x:1>", "Content-Type": "application/http"}, http + b"body")
+    again = lambda i, to: encode_record({"WARC-Type": "revisit", "WARC-Record-ID": f"<urn:x:{i}>", "WARC-Refers-To": f"<urn:x:{to}>", "WARC-Payload-Digest": "sha1:00"}, b"")
+    (tmp_path / "a.warc").write_bytes(answer + again(2, 1) + again(3, 99))
+    got = {r["record_id"]: r for r in resolve_revisits(read_warc(spark, f"file://{tmp_path}", with_payload=False)).collect()}
+    assert (got["urn:x:2"]["payload_digest"], got["urn:x:2"]["payload_bytes"]) == (hashlib.sha1(b"body").hexdigest(), 4)
+    assert (got["urn:x:3"]["payload_digest"], got["urn:x:3"]["payload_bytes"]) == ("00", None)
+
+
 def test_read_warc_reports_gaps(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"one") + b"#####" + record(2, b"two"))
     (tmp_path / "b.warc.gz").write_bytes(record(3, b"three", True))
