@@ -1,6 +1,6 @@
 """Language of texts, with spans of mixed-language texts.
 
-Words are runs of letters.  The script of a word narrows the languages to those that the training words
+Words are runs of letters, with the marks behind them.  The script of a word narrows the languages to those that the training words
 of that script showed; the rest get a score from hashed character n-grams (with word ends), learned from
 labelled documents.  A Viterbi pass over the word scores, with a penalty for each switch, labels every
 word; runs of equal labels are the spans.  The language of a text is that with the most letters in its
@@ -12,13 +12,13 @@ for each language and n-gram bucket, so what comes to the driver does not grow w
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +34,13 @@ FLOOR = 2e-6
 SWITCH = 12.0
 #: A language is a candidate for a script that holds this share of its training words.
 SCRIPT_SHARE = 0.002
-KEPT_WORDS = 300_000
+#: Words whose scores or counts a task keeps, and their scores in all; then it starts anew.
+KEPT_WORDS, KEPT_SCORES = 300_000, 4_000_000
+#: Bytes of a model, which goes to every task; it has 2^BITS weights for each language.
+MOST_MODEL = 1 << 30
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # First code points of script ranges (Unicode blocks, coarsely), each up to the next.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
@@ -58,8 +61,14 @@ class Model(NamedTuple):
     candidates: np.ndarray
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character by character where whole texts would change their length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
 
 
 def ngrams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +98,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Learn from labelled documents; rows with null text or label are left out.
 
     Of more than `sample_docs` documents a sample by hash of the id is taken.  Nothing to learn from
-    gives a model without languages.
+    gives a model without languages.  Raises ValueError for so many languages that the model would be
+    larger than MOST_MODEL bytes (4,096 languages).
     """
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     total = labelled.select(id_col).count()
@@ -124,6 +134,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.float64())], names=["lang", "bucket", "n"])
 
+    names = labelled.select(F.col(lang_col).cast("string").alias("lang")).distinct()
+    most = MOST_MODEL // (4 << BITS)
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages")
     counted = labelled.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, bucket int, n double")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(table["lang"].unique()))
@@ -144,16 +158,17 @@ class WordScores:
 
     def start(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, len(self.model.languages)), dtype=np.float32)
+        self.table = np.zeros((1 << 10, len(self.model.languages)), dtype=np.float32)
 
     def of(self, texts: Sequence[list[str]]) -> list[np.ndarray]:
         """Rows of `table` for the words of each text."""
-        if len(self.place) > KEPT_WORDS:
+        if len(self.place) > min(KEPT_WORDS, KEPT_SCORES // max(1, len(self.model.languages))):
             self.start()
         place = self.place
         new = list(dict.fromkeys(w for words in texts for w in words if w not in place))
-        for start in range(0, len(new), 20_000):
-            self._add(new[start : start + 20_000])
+        step = max(500, min(20_000, KEPT_SCORES // (100 * max(1, len(self.model.languages)))))
+        for start in range(0, len(new), step):
+            self._add(new[start : start + step])
         return [np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
 
     def _add(self, words: list[str]) -> None:
@@ -175,11 +190,15 @@ class WordScores:
 
 
 def viterbi(rows: Sequence[np.ndarray], table: np.ndarray, switch: float = SWITCH, most_cells: int = 1 << 21) -> list[np.ndarray]:
-    """Best language of every word of each text; texts of like length go side by side."""
+    """Best language of every word of each text; texts of like length go side by side.
+
+    Of equally good paths, one that stays goes before one that switches, and then the first language.
+    """
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(rows)
     at, k = 0, table.shape[1]
+    kind = np.int8 if k < 128 else np.int32
+    out: list[np.ndarray] = [np.zeros(0, dtype=kind)] * len(rows)
     while at < len(order) and lengths[order[at]]:
         steps = int(lengths[order[at]])
         group = order[at : at + max(1, most_cells // (steps * k))]
@@ -189,9 +208,9 @@ def viterbi(rows: Sequence[np.ndarray], table: np.ndarray, switch: float = SWITC
         ids = np.zeros((steps, len(group)), dtype=np.int64)
         for j, i in enumerate(group):
             ids[: lengths[i], j] = rows[i]
-        back = np.empty((steps, len(group), k), dtype=np.int8)
+        back = np.empty((steps, len(group), k), dtype=kind)
         value = np.zeros((len(group), k), dtype=np.float64)
-        own = np.arange(k, dtype=np.int8)
+        own = np.arange(k, dtype=kind)
         for t in range(steps):
             n = longer[t]
             v = value[:n]
@@ -200,7 +219,7 @@ def viterbi(rows: Sequence[np.ndarray], table: np.ndarray, switch: float = SWITC
             back[t, :n] = np.where(stay, own, v.argmax(axis=1)[:, None])
             value[:n] = np.where(stay, v, best - switch) - best + table[ids[t, :n]]
         state = value.argmax(axis=1)
-        labels = np.zeros((steps, len(group)), dtype=np.int8)
+        labels = np.zeros((steps, len(group)), dtype=kind)
         for t in range(steps - 1, -1, -1):
             n = longer[t]
             labels[t, :n] = state[:n]
@@ -211,9 +230,9 @@ def viterbi(rows: Sequence[np.ndarray], table: np.ndarray, switch: float = SWITC
 
 
 def spans_of(text: str, labels: np.ndarray, languages: Sequence[str]) -> list[tuple[int, int, str]]:
-    """(start, end, language) of the runs of equal labels, in code points of the lower-cased text."""
+    """(start, end, language) of the runs of equal labels, in code points of the text."""
     spans: list[list] = []
-    for word, label in zip(_WORD.finditer(text.lower()), labels):
+    for word, label in zip(_WORD.finditer(lowered(text)), labels):
         if spans and spans[-1][2] == label:
             spans[-1][1] = word.end()
         else:

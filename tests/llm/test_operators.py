@@ -17,7 +17,7 @@ from quillstream.llm.grouping import components, link_groups
 from quillstream.llm.html_blocks import main_text
 from quillstream.llm import imatch
 from quillstream.llm.imatch import edited_fingerprints, lexicon
-from quillstream.llm.language_spans import held_out, identify, train
+from quillstream.llm.language_spans import SWITCH, Model, WordScores, held_out, identify, lowered, train, viterbi, words_of
 from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
 from quillstream.llm.queries import QUERIES, model_file
 from quillstream.llm.rp_forest import near_vectors
@@ -311,6 +311,47 @@ def test_spans_of_a_mixed_text(spark):
     assert abs(spans[1]["start"] - len(one)) < 40
 
 
+def test_words_are_letters_with_their_marks():
+    assert words_of("½ ② Ⅷ ³ 12 __ ́") == [] and words_of("हिन्दी और don't İstanbul") == ["हिन्दी", "और", "don", "t", "İstanbul"]
+    assert len(lowered("İx")) == 2 and lowered("ÀB") == "àb"
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    rng = np.random.default_rng(8)
+    for k in (1, 2, 3, 200):
+        table = (rng.random((40, k)) * -9).astype(np.float32)
+        rows = [rng.integers(0, 40, n) for n in ([0, 1, 5, 7, 6] if k < 100 else [2, 0, 9])]
+        for row, labels in zip(rows, viterbi(rows, table, 4.0)):
+            value, paths = np.zeros(k), [[] for _ in range(k)]
+            for t, w in enumerate(row):  # all ways to get to each language
+                if t:
+                    ways = value[:, None] - 4.0 * (1 - np.eye(k))
+                    best = ways.argmax(axis=0)
+                    value, paths = ways[best, np.arange(k)], [paths[b] for b in best]
+                value, paths = value + table[w].astype(float), [p + [i] for i, p in enumerate(paths)]
+            score = lambda p: sum(float(table[w, x]) for w, x in zip(row, p)) - 4.0 * sum(a != b for a, b in zip(p, p[1:]))
+            assert len(labels) == len(row) and (not len(row) or score(labels.tolist()) == pytest.approx(value.max(), abs=1e-4))
+
+
+def test_many_languages(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("um", "or", "ash", "eti")) + " " + chr(0x4E00 + i), f"l{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify(docs, train(docs)).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id']:03d}" for r in found]) > 0.95
+    assert {(s["start"], s["end"]) for r in found for s in r["spans"] if len(r["spans"]) == 1} == {(0, len(rows[0][1]))}
+
+
+def test_scripts_narrow_the_candidates(spark):
+    rows = [(1, "and the word is here", "en"), (2, "это слово здесь", "ru"), (3, "и тази дума е тук", "bg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert isinstance(model, Model) and model.languages == ("bg", "en", "ru") and SWITCH > 0
+    scores = WordScores(model)
+    (at,) = scores.of([["zzz", "ыыы"]])
+    one, two = scores.table[at[0]], scores.table[at[1]]
+    assert one[0] == one[2] == two[1] == -50.0 and min(one[1], two[0], two[2]) > -20
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
