@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .grouping import components, map_groups
 
-SAMPLE = 20_000
+#: Vectors that the splits are fitted on, and their bytes in double precision at most (20,000 up to 800
+#: dimensions); the forest that goes to every task is about twice as large.
+SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 TREES = 12
 LEAF = 256
 #: Half-width of the spill zone around a split, in units of vectors of length 1.
@@ -87,7 +89,7 @@ def fit_tree(sample: np.ndarray, rows: int, seed: int) -> Tree:
     size = sample.shape[1]
     if root < 0:
         directions, thresholds, children = [np.zeros(size)], [0.0], [(root, root)]
-    return Tree(np.array(directions), np.array(thresholds), np.array(children), np.array(centres), np.array(extra))
+    return Tree(np.array(directions, dtype=np.float32), np.array(thresholds), np.array(children), np.array(centres, dtype=np.float32), np.array(extra))
 
 
 def leaves(tree: Tree, number: int, vectors: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +203,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = F.coalesce(F.col("vector").isNotNull() & (F.size("vector") > 0) & finite, F.lit(False))
     clean = F.transform("vector", lambda x: x + F.lit(0).cast(element))  # -0.0 becomes 0.0
-    rows = rows.select("id", F.when(usable, F.xxhash64(clean)).alias("k1"), F.when(usable, F.xxhash64(clean, F.lit(1))).alias("k2"), F.when(usable, clean).alias("vector"))
+    # Two hashes from unlike starts: the constant comes first, as behind the vector it would only hash k1 again.
+    rows = rows.select("id", F.when(usable, F.xxhash64(clean)).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), clean)).alias("k2"), F.when(usable, clean).alias("vector"))
     members = written(rows.select("id", "k1", "k2"), "vector-keys")
     classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"), F.any_value("vector").alias("vector"))
-    classes = classes.withColumn("id", F.xxhash64("k1", "k2"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())  # written, so it stays
     classes = written(classes.withColumn("size", F.size("vector")), "vector-classes")
     counts, edges = None, None
     for r in classes.groupBy("size").count().collect():  # one pass for each vector length
@@ -231,9 +234,10 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
     spark = classes.sparkSession
     kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
     picked = classes
-    if rows > SAMPLE:
-        scale = 1 << 20
-        picked = classes.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(scale)) < int(scale * SAMPLE / rows) + 1)
+    most = min(SAMPLE, max(512, SAMPLE_BYTES // (8 * size)))
+    if rows > most:
+        scale = 1 << 30
+        picked = classes.filter(F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(scale)) < int(scale * most / rows) + 1).orderBy("k1", "k2")
     sample = unit(_matrix(picked.select("vector").toArrow().column(0), size))
     half = np.arccos(threshold) / 2 - 1e-7  # two members of a ball are within the linking angle, rounding included
     centres = fit_balls(sample, half)

@@ -20,7 +20,7 @@ from quillstream.llm.imatch import edited_fingerprints, lexicon
 from quillstream.llm.language_spans import SWITCH, Model, WordScores, held_out, identify, lowered, train, viterbi, words_of
 from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
 from quillstream.llm.queries import QUERIES, model_file
-from quillstream.llm.rp_forest import near_vectors
+from quillstream.llm.rp_forest import SPILL, TREES, fit_tree, leaves, near_vectors, unit
 from quillstream.llm.sentencepiece_bpe import PrefixTableEncoder, encoder
 from quillstream.llm.surrogates import GIVEN, STEM, SYLLABLES, Surrogates, _luhn, find_entities, name_ranks, replace_entities
 from quillstream.llm.url_automaton import GlobAutomaton, Rule, UrlFilter
@@ -675,6 +675,28 @@ def test_links_of_a_loose_group_are_whole(spark):
     assert {r["component_id"] for r in got[:5000]} == {0} and not any(r["n_links"] for r in got[5000:])
 
 
+@pytest.mark.parametrize("rows", [10**5, 10**8])
+def test_linked_pairs_share_a_leaf_in_large_tables(rows):
+    """Share of pairs at the threshold that meet in a leaf of a forest fitted for so many rows."""
+    rng = np.random.default_rng(13)
+    size, pairs = 64, 400
+    sample = unit(rng.standard_normal((20_000, size)))
+    a = unit(rng.standard_normal((pairs, size)))
+    side = rng.standard_normal((pairs, size))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = 0.955 * a + np.sqrt(1 - 0.955**2) * unit(side)
+    met, copies = np.zeros(pairs, dtype=bool), 0
+    for t in range(TREES):
+        row, key = leaves(fit_tree(sample, rows, 5000 + t), t, np.concatenate([a, b]), SPILL)
+        copies += len(row)
+        held = collections.defaultdict(set)
+        for r, k in zip(row, key):
+            held[r].add(k)
+        met |= np.array([not held[i].isdisjoint(held[i + pairs]) for i in range(pairs)])
+    print(rows, met.mean(), copies / (2 * pairs))
+    assert met.mean() >= (0.99 if rows < 10**6 else 0.9)
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
