@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,8 @@ from ..workspace import scratch
 #: Words of a text: maximal runs of anything but space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and thread of what has been written.
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -23,20 +25,37 @@ def new_path(spark: SparkSession, tag: str) -> str:
     if not _written:
         atexit.register(_remove_written)
     path = scratch(spark, f"quillstream-{tag}")
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_written() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already
             return
 
 
+def mark() -> int:
+    """Where the list of written tables stands, for `release`."""
+    return len(_written)
+
+
+def release(since: int) -> None:
+    """Remove the tables that this thread has written since a mark, but for the last; nothing may need them."""
+    own = [entry for entry in _written[since:] if entry[2] == threading.get_ident()]
+    for entry in own[:-1]:
+        _remove(*entry[:2])
+        _written.remove(entry)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

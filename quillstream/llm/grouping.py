@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mark, release, written
 
 EDGES = "a long, b long"
 EDGES_PER_TASK = 200_000
@@ -82,6 +82,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     has EDGES_PER_TASK edges; a short list is one partition, which needs no shuffle.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    start = mark()
     edges = written(edges, tag)
     before = None
     while True:
@@ -97,6 +98,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         hung = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
         small = large.join(low, "a").select(F.explode(hung).alias("e")).select("e.a", "e.b").filter("a <> b")
         edges = written(small.distinct(), tag)
+        release(start)  # the round before
 
 
 def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarray], Forest], payload: Sequence[str], chunk_rows: int, chunk_bytes: int = 32 << 20, pivots: int = 64) -> DataFrame:
