@@ -8,6 +8,7 @@ from quillstream.llm.html_blocks import extract_text
 from quillstream.llm.imatch import PARTS, edited_fingerprints
 from quillstream.llm.language_spans import Model, identify, train
 from quillstream.llm.odd_sketch import near_duplicates
+import corpus_pipeline
 from quillstream.llm import common
 from quillstream.llm.queries import model_file, url_rules
 from quillstream.llm.rp_forest import near_vectors
@@ -168,3 +169,64 @@ def test_long_and_tied_urls(spark):
     assert rows[0][3:] == ("example.org/en/1", "block") and len(rows[0][2]) == len(long) - len("https://a.example.org")
     assert rows[1] == rows[2] == (2, "a.com", "/fr/de/", "com/fr/", "allow")
     assert [r[1:3] for r in rows[3:]] == [("", ""), ("", ""), ("h", "")]
+
+
+# --- stages of the pipeline ------------------------------------------------------------------------
+
+STAGE_ROWS = [
+    (1, "the cat sat on the mat and the dog was with it in the house", "en", "a", 1), (2, None, None, None, 2), (3, "", "en", "a", 3), (4, " \t\n", "fr", "b", 4), (5, LONG, "en", "b", 5),
+    (6, "der Hund und die Katze", "de", None, 6), (6, "der Hund und die Katze", "de", None, 6), (6, "quite another text of the same id", "en", "a", 7),
+    (7, "the cat sat on the mat and the dog was with it in the house", "en", "a", 8), (8, "12345 !!!", "en", "a", 9), (None, "null id text here now", "en", "c", 10), (None, "null id text here now", "en", "c", 10),
+]
+CLASHES = ("id", "score", "kept", "kinds", "n_entities", "lang_pred", "component_id", "copies", "taken", "row", "nth", "source_size", "_n", "_kept", "again", "held_out")
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    df = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        df = df.withColumn(name, F.lit("clash"))
+    return common.written(df, "staged")
+
+
+def ids(df):
+    return sorted((r["doc_id"] for r in df.collect()), key=lambda x: (x is None, x))
+
+
+def run_stage(spark, name, df):
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, "")
+    assert name == "encoding" or out.columns == df.columns
+    return out
+
+
+def test_stages_on_edges(spark, staged):
+    assert ids(run_stage(spark, "language", staged)) == [1, 5, 6, 6, 6, 7, None, None]
+    assert ids(run_stage(spark, "near_duplicates", staged)) == [1, 2, 3, 4, 5, 6, 6, 8, None, None]
+    assert ids(run_stage(spark, "surrogates", staged)) == ids(staged)
+    assert run_stage(spark, "surrogates", staged).filter("n_chars > 10 or n_entities <> 'clash'").count() == 0
+    mixed = run_stage(spark, "mixing", staged)
+    taken = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mix(staged).collect()}
+    got = {}
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n * (2 if k[0] == 6 and k[1] is None or k[0] is None else 1) for k, n in taken.items() if n}
+    assert mixed.filter("copies <> 'clash'").count() == 0
+    assert ids(run_stage(spark, "encoding", staged)) == ids(staged)
+
+
+def test_surrogate_stage_follows_the_length(spark, staged):
+    df = staged.limit(1).withColumn("text", F.lit("mail bo@x.example.com now"))
+    row = run_stage(spark, "surrogates", df).first()
+    assert row["text"] != "mail bo@x.example.com now" and row["n_chars"] == len(row["text"])
+
+
+def test_repeated_ids_agree_between_runs(spark, staged):
+    rows = lambda df: sorted(map(str, run_stage(spark, "near_duplicates", df).collect()))
+    other = staged.filter("doc_id = 6").withColumn("source", F.lit("z"))
+    assert rows(staged.unionByName(other)) == rows(other.unionByName(staged).repartition(5))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, staged, name):
+    assert run_stage(spark, name, staged.limit(0)).collect() == []
