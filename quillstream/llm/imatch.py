@@ -11,7 +11,8 @@ A text with fewer than FEWEST terms of the lexicon keeps all of its terms, as so
 
 There are at most (mean distinct terms of a text) / low terms in the band, whatever the corpus size.
 The lexicon goes to the tasks as a bitmap in a query literal, with at least 32 slots a term; a term is
-inside if both of its slots are taken, which holds for under one in 200 of the others, in all texts alike.
+inside if both of its slots, which lie in one word, are taken: this holds for about one in 200 of the others,
+in all texts alike.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ LOW, HIGH = 0.002, 0.2
 FEWEST = 4
 #: Slots of the lexicon's bitmap, as powers of two: the fewest, the most, and how many a term at least.
 FEWEST_BITS, MOST_BITS, SPARE_BITS = 16, 24, 5
-#: Each level keeps one term in so many of the level before, in as many subsets as WIDTH.
-LEVELS, WIDTH = (16, 4, 4, 4), 16
+#: Each level keeps one term in so many (a power of two) of the level before, in as many subsets as WIDTH; the
+#: hash bits that decide this start at FIRST_BIT, above those that the bitmap reads.
+LEVELS, WIDTH, FIRST_BIT = (16, 4, 4, 4), 16, 12
 PARTS = 1 + WIDTH * len(LEVELS)
 #: Document ids in a block, in which the next document is looked up.
 BLOCK = 1024
@@ -42,60 +44,64 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def slots(term: Column, bits: int) -> tuple[Column, Column]:
-    """The two slots of a term, from unlike bits of its hash."""
-    return F.shiftrightunsigned(term, 64 - bits), term.bitwiseAND(F.lit((1 << bits) - 1))
+def slot(term: Column, bits: int) -> tuple[Column, Column]:
+    """The word of a term in a bitmap of 2^bits slots, and the mask of its two slots there."""
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(term, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftrightunsigned(term, 64 - bits + 6), one(0).bitwiseOR(one(6))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
     """The lexicon's bitmap, in 64-bit words; its size follows the lexicon, and so what comes to the driver.
 
-    Null texts count as empty; a table without texts has an empty lexicon.  Equal texts count once.
+    Null texts count as empty; a table without texts has an empty lexicon.  Each of n equal texts counts
+    for one n-th, so copies together count once; only hashes of texts are shuffled to find them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # The constant comes first: behind the text, it would only hash the first key again.
-    distinct = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), term_hashes(text).alias("terms"))
-    distinct = written(distinct.groupBy("k1", "k2").agg(F.any_value("terms").alias("terms")).select("terms"), "distinct-terms")
-    total = distinct.count()
-    frequency = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    keys = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+    hashes = written(docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), "text-hashes")
+    total = hashes.count()
+    copies = written(hashes.filter("n > 1"), "copies")
+    terms = docs.select(*[c.alias(k) for k, c in keys.items()], term_hashes(text).alias("terms")).join(copies, ["k1", "k2"], "left")
+    weighed = terms.select(F.explode("terms").alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("w"))
+    frequency = weighed.groupBy("term").agg(F.round(F.sum("w")).alias("n"))
     banded = written(frequency.filter((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("term"), "lexicon")
     bits = min(MOST_BITS, max(FEWEST_BITS, banded.count().bit_length() + SPARE_BITS))
-    place = F.explode(F.array(*slots(F.col("term"), bits)))
-    words = banded.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    word, mask = slot(F.col("term"), bits)
     out = [0] * (1 << bits - 6)
-    for r in words.collect():  # a row for each of 2^18 words at most
-        out[r["word"]] = r["bits"]
+    for r in banded.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask")).collect():  # a row for each of 2^18 words at most
+        out[r["word"]] = r["mask"]
     return out
 
 
-def _subset(terms: Column, number: Column, level: int) -> Column:
-    """The terms that randomised subset `number` of a level keeps."""
-    return F.filter(terms, lambda t: F.pmod(F.xxhash64(t, number, F.lit(level)), F.lit(LEVELS[level])) == 0)
-
-
 def _thinned(before: str, level: int) -> Column:
-    """The subsets of a level: each subset of the level before, thinned."""
-    return F.transform(before, lambda terms, number: _subset(terms, number, level))
+    """The subsets of a level: of each subset of the level before, one term in LEVELS[level], by bits of its hash."""
+    step = LEVELS[level].bit_length() - 1
+    shift = FIRST_BIT + sum(n.bit_length() - 1 for n in LEVELS[:level])
+    return F.transform(before, lambda terms, j: F.filter(terms, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << step) - 1)) == F.pmod(j, F.lit(1 << step))))
 
 
 def with_parts(df: DataFrame, text: Column, bitmap: list[int], out: str) -> DataFrame:
     """Add the fingerprint parts of a text as an array of 32-bit numbers in longs; 0 stands for no terms.
 
-    A text with fewer than FEWEST terms of the lexicon uses all of its terms.
+    A text with fewer than FEWEST terms of the lexicon uses all of its terms.  Membership in the randomised
+    subsets is read from bits of a term's hash, so each term is hashed once.
     """
     bits = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
-    size = (64 * len(bitmap)).bit_length() - 1
-    taken = lambda at: F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-    keep = lambda t: taken(slots(t, size)[0]) & taken(slots(t, size)[1])
+
+    def keep(t: Column) -> Column:
+        word, mask = slot(t, (64 * len(bitmap)).bit_length() - 1)
+        return F.get(bits, word.cast("int")).bitwiseAND(mask) == mask
+
     digest = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))
     df = df.withColumn("_all", term_hashes(text))
     df = df.withColumn("_in", F.filter("_all", keep))
     df = df.withColumn("_s", F.array_sort(F.when(F.size("_in") < FEWEST, F.col("_all")).otherwise(F.col("_in")))).drop("_all", "_in")
-    df = df.withColumn("_0", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: _subset(F.col("_s"), j, 0)))
-    for level in range(1, len(LEVELS)):
-        df = df.withColumn(f"_{level}", _thinned(f"_{level - 1}", level))
-    parts = F.concat(F.array(digest(F.col("_s"))), *[F.transform(f"_{level}", digest) for level in range(len(LEVELS))])
-    return df.withColumn(out, parts).drop("_s", *[f"_{level}" for level in range(len(LEVELS))])
+    df = df.withColumn("_0", F.array_repeat("_s", WIDTH))
+    for level in range(len(LEVELS)):
+        df = df.withColumn(f"_{level + 1}", _thinned(f"_{level}", level))
+    parts = F.concat(F.array(digest(F.col("_s"))), *[F.transform(f"_{level + 1}", digest) for level in range(len(LEVELS))])
+    return df.withColumn(out, parts).drop("_s", *[f"_{level}" for level in range(len(LEVELS) + 1)])
 
 
 def as_text(parts: Column) -> Column:
