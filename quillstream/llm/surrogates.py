@@ -68,8 +68,9 @@ _NAME = re.compile(
     rf"|\b(?P<given>{'|'.join(sorted(_GENDER_OF))}){_BETWEEN}(?P<family>{_NAME_WORD})"
     rf"|\b(?:{'|'.join(CUES)}): ?(?P<cued>{_NAME_WORD}){_BETWEEN}(?P<own>{_NAME_WORD})"
 )
-#: Where a name may start; a first scan that passes over nearly all texts.
-_NAME_HEAD = re.compile(f"(?:{'|'.join(sorted([*TITLES, *_GENDER_OF]))})[. \u00a0]|(?:{'|'.join(CUES)}):")
+#: Words that a name may start with; a first look for them passes over nearly all texts.
+_HEADS = frozenset([*TITLES, *_GENDER_OF, *CUES])
+_HEAD = re.compile(rf"[{_UPPER}]\w+")
 _NUMBERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w](?:[\w.+%'-]*[\w+])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
@@ -130,7 +131,7 @@ def find_entities(text: str) -> list[Entity]:
                 value = raw
             found.append(Entity(start, end, kind, value))
     taken, names = [(e.start, e.end) for e in found], []
-    for m in _NAME.finditer(text) if _NAME_HEAD.search(text) else ():
+    for m in () if _HEADS.isdisjoint(_HEAD.findall(text)) else _NAME.finditer(text):
         if any(s < m.end() and m.start() < e for s, e in taken):
             continue
         if m["given"]:
