@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank, collapse, strip_tags
+from .text import blank, normalize_space, strip_html
 
 # Marker names with their patterns, over lower-cased HTML or text.
 ARTICLE_MARKERS = (
@@ -33,14 +33,14 @@ LEAST_CHARS_ELSE = 8000
 
 
 def page_title(page: Column) -> Column:
-    """Text of the first title element; character references stay."""
-    return strip_tags(F.regexp_extract(blank(page), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """Text of the first title element."""
+    return strip_html(F.regexp_extract(blank(page), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def visible_text(page: Column) -> Column:
-    """Text outside tags, scripts, styles and comments; character references stay."""
+    """Text outside tags, scripts, styles and comments."""
     bare = F.regexp_replace(blank(page), r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    return strip_tags(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "))
+    return strip_html(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "))
 
 
 def without_payloads(page: Column) -> Column:
@@ -171,7 +171,7 @@ def math_strategy(page: Column) -> Column:
 def document_title(page: Column) -> Column:
     """The citation or social title of a page, else its title element."""
     meta = lambda key: F.regexp_extract(blank(page), rf"(?is)<meta\b[^>]*(?:name|property)\s*=\s*[\"']{key}[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']", 1)
-    return F.coalesce(*[F.nullif(collapse(c), F.lit("")) for c in (meta("citation_title"), meta("og:title"), page_title(page))], F.lit(""))
+    return F.coalesce(*[F.nullif(normalize_space(c), F.lit("")) for c in (meta("citation_title"), meta("og:title"), page_title(page))], F.lit(""))
 
 
 def citation_pdf_urls(page: Column, base: Column) -> Column:

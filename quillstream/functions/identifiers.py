@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, none_if_blank
+from .text import blank, none_if_blank, unescape
 
 # Patterns of the identifiers.
 DOI = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b"
@@ -29,7 +29,7 @@ def _first(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def _cut(value: Column, *prefixes: str) -> Column:
-    out = F.trim(blank(value))
+    out = F.trim(unescape(blank(value)))
     for prefix in prefixes:
         out = F.regexp_replace(out, prefix, "")
     return F.regexp_replace(F.trim(out), TRAILING, "")
@@ -65,7 +65,7 @@ def extract_pmid(text: Column) -> Column:
 
 
 def normalize_pmcid(value: Column) -> Column:
-    digits = F.regexp_extract(blank(value), r"(?i)PMC\s*(\d{5,10})", 1)
+    digits = F.regexp_extract(unescape(blank(value)), r"(?i)PMC\s*(\d{5,10})", 1)
     return F.when(digits == "", F.lit("")).otherwise(F.concat(F.lit("PMC"), digits))
 
 
@@ -75,7 +75,7 @@ def extract_pmcid(text: Column) -> Column:
 
 
 def normalize_isbn(value: Column) -> Column:
-    bare = F.regexp_replace(F.trim(blank(value)), r"(?i)^ISBN(?:-1[03])?\s*[:#]?\s*", "")
+    bare = F.regexp_replace(F.trim(unescape(blank(value))), r"(?i)^ISBN(?:-1[03])?\s*[:#]?\s*", "")
     kept = F.regexp_replace(bare, "[^0-9Xx]", "")
     # Only the check character at the end is put in upper case.
     upper = F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), F.upper(F.substring(kept, -1, 1)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import urls
 from .identifiers import extract_arxiv_id, extract_pmcid, extract_pmid, normalize_arxiv_id, normalize_doi, normalize_pmcid, normalize_pmid
-from .text import blank, collapse, first_text, none_if_blank, strip_tags
+from .text import blank, first_text, none_if_blank, normalize_space, strip_html
 
 #: Schema of each provider's payload; only these paths are parsed.
 SCHEMAS = {
@@ -52,7 +52,7 @@ def partial_date(*parts: Column) -> Column:
 
 
 def compact_pages(first: Column, last: Column) -> Column:
-    a, b = collapse(first), collapse(last)
+    a, b = normalize_space(first), normalize_space(last)
     return F.when((a != "") & (b != "") & (a != b), F.concat(a, F.lit("-"), b)).otherwise(F.coalesce(none_if_blank(a), b))
 
 
@@ -75,8 +75,8 @@ def inverted_text(index: Column) -> Column:
 
 
 def not_blank(fields: Column) -> Column:
-    """A map of fields without the blank ones, white space collapsed."""
-    return F.map_filter(F.transform_values(fields, lambda k, v: collapse(v)), lambda k, v: v != "")
+    """A map of fields without the blank ones, references decoded and white space collapsed."""
+    return F.map_filter(F.transform_values(fields, lambda k, v: normalize_space(v)), lambda k, v: v != "")
 
 
 def field_map(**fields: Column) -> Column:
@@ -126,14 +126,14 @@ def crossref(w: Column, score: float = 1.0) -> Column:
     doi, title = normalize_doi(w["DOI"]), first_text(w["title"])
     fields = field_map(
         title=title, DOI=doi, url=w["URL"], date=crossref_date(w), publicationTitle=first_text(w["container-title"]), ISSN=F.array_join(w["ISSN"], ", "), volume=w["volume"], issue=w["issue"],
-        pages=w["page"], journalAbbreviation=first_text(w["short-container-title"]), libraryCatalog=F.lit("Crossref"), abstractNote=strip_tags(w["abstract"]),
+        pages=w["page"], journalAbbreviation=first_text(w["short-container-title"]), libraryCatalog=F.lit("Crossref"), abstractNote=strip_html(w["abstract"]),
     )
     links = F.transform(w["link"], lambda x: _location("crossref", x["URL"], urls.link_kind(x["URL"], x["content-type"]), x["content-type"]))
     return candidate("crossref", F.coalesce(none_if_blank(doi), title), score, fields, _joined(links, F.array(_location("crossref", w["URL"], "landing"))), (doi != "") | (title != ""))
 
 
 def openalex(w: Column, score: float = 1.0) -> Column:
-    doi, title, biblio, place = normalize_doi(F.coalesce(w["ids"]["doi"], w["doi"])), collapse(w["display_name"]), w["biblio"], w["primary_location"]
+    doi, title, biblio, place = normalize_doi(F.coalesce(w["ids"]["doi"], w["doi"])), normalize_space(w["display_name"]), w["biblio"], w["primary_location"]
     fields = field_map(
         title=title, abstractNote=inverted_text(w["abstract_inverted_index"]), DOI=doi, date=F.coalesce(w["publication_date"], w["publication_year"]), publicationTitle=place["source"]["display_name"],
         ISSN=F.array_join(place["source"]["issn"], ", "), volume=biblio["volume"], issue=biblio["issue"], pages=compact_pages(biblio["first_page"], biblio["last_page"]),
@@ -145,7 +145,7 @@ def openalex(w: Column, score: float = 1.0) -> Column:
 
 
 def unpaywall(w: Column) -> Column:
-    doi, title, best = normalize_doi(w["doi"]), collapse(w["title"]), w["best_oa_location"]
+    doi, title, best = normalize_doi(w["doi"]), normalize_space(w["title"]), w["best_oa_location"]
     place = lambda p: F.array(_location("unpaywall", p["url_for_pdf"], "pdf"), _location("unpaywall", p["url_for_landing_page"], "landing"), _location("unpaywall", p["url"], "landing"))
     fields = field_map(
         title=title, DOI=doi, date=w["year"], publicationTitle=w["journal_name"], ISSN=w["journal_issns"], publisher=w["publisher"],
@@ -155,9 +155,9 @@ def unpaywall(w: Column) -> Column:
 
 
 def europe_pmc(w: Column, score: float = 1.0) -> Column:
-    doi, pmid, pmcid, title = normalize_doi(w["doi"]), normalize_pmid(w["pmid"]), normalize_pmcid(w["pmcid"]), collapse(w["title"])
+    doi, pmid, pmcid, title = normalize_doi(w["doi"]), normalize_pmid(w["pmid"]), normalize_pmcid(w["pmcid"]), normalize_space(w["title"])
     fields = field_map(
-        title=title, DOI=doi, PMID=pmid, PMCID=pmcid, publicationTitle=w["journalTitle"], date=w["pubYear"], abstractNote=strip_tags(w["abstractText"]), volume=w["journalVolume"], issue=w["issue"],
+        title=title, DOI=doi, PMID=pmid, PMCID=pmcid, publicationTitle=w["journalTitle"], date=w["pubYear"], abstractNote=strip_html(w["abstractText"]), volume=w["journalVolume"], issue=w["issue"],
         pages=w["pageInfo"], libraryCatalog=F.lit("Europe PMC"),
     )
     page = lambda before, x, after="": F.when(x != "", F.concat(F.lit(before), x, F.lit(after)))
@@ -167,12 +167,12 @@ def europe_pmc(w: Column, score: float = 1.0) -> Column:
         _location("pmc_oai", page("https://pmc.ncbi.nlm.nih.gov/api/oai/v1/mh/?verb=GetRecord&identifier=oai:pubmedcentral.nih.gov:", number, "&metadataPrefix=pmc"), "xml", F.lit("application/xml")),
         _location("europe_pmc", page("https://pubmed.ncbi.nlm.nih.gov/", pmid, "/"), "landing"),
     )
-    listed = F.transform(w["fullTextUrlList"]["fullTextUrl"], lambda x: _location("europe_pmc", x["url"], F.coalesce(none_if_blank(F.lower(collapse(x["documentStyle"]))), F.lit("landing"))))
+    listed = F.transform(w["fullTextUrlList"]["fullTextUrl"], lambda x: _location("europe_pmc", x["url"], F.coalesce(none_if_blank(F.lower(normalize_space(x["documentStyle"]))), F.lit("landing"))))
     return candidate("europe_pmc", F.coalesce(*[none_if_blank(c) for c in (doi, pmid, pmcid, title)]), score, fields, _joined(own, listed), (doi != "") | (title != ""))
 
 
 def semantic_scholar(w: Column, score: float = 1.0) -> Column:
-    doi, title, journal = normalize_doi(w["externalIds"]["DOI"]), collapse(w["title"]), w["journal"]
+    doi, title, journal = normalize_doi(w["externalIds"]["DOI"]), normalize_space(w["title"]), w["journal"]
     fields = field_map(
         title=title, abstractNote=w["abstract"], DOI=doi, PMID=normalize_pmid(w["externalIds"]["PubMed"]), date=F.coalesce(w["publicationDate"], w["year"]), publicationTitle=F.coalesce(journal["name"], w["venue"]),
         volume=journal["volume"], pages=journal["pages"], url=w["url"], libraryCatalog=F.lit("Semantic Scholar"),
@@ -186,7 +186,7 @@ def datacite(w: Column) -> Column:
     doi, title = normalize_doi(F.coalesce(a["doi"], w["id"])), first_text(_texts(a["titles"], "title"))
     abstracts = F.filter(a["descriptions"], lambda d: F.lower(blank(d["descriptionType"])).isin("abstract", "description"))
     fields = field_map(
-        title=title, abstractNote=strip_tags(first_text(_texts(abstracts, "description"))), DOI=doi, date=F.coalesce(a["published"], a["publicationYear"]), publisher=a["publisher"], url=a["url"], libraryCatalog=F.lit("DataCite")
+        title=title, abstractNote=strip_html(first_text(_texts(abstracts, "description"))), DOI=doi, date=F.coalesce(a["published"], a["publicationYear"]), publisher=a["publisher"], url=a["url"], libraryCatalog=F.lit("DataCite")
     )
     files = F.transform(a["contentUrl"], lambda u: _location("datacite", u, urls.link_kind(u, F.lit(""))))
     return candidate("datacite", F.coalesce(none_if_blank(doi), title), _both(doi, title), fields, _joined(files, F.array(_location("datacite", a["url"], "landing"))), (doi != "") | (title != ""))
@@ -194,9 +194,9 @@ def datacite(w: Column) -> Column:
 
 def biorxiv(w: Column) -> Column:
     """Preprint servers; the payload names its server."""
-    doi, title, server = normalize_doi(w["doi"]), collapse(w["title"]), F.coalesce(none_if_blank(F.lower(blank(w["server"]))), F.lit("biorxiv"))
+    doi, title, server = normalize_doi(w["doi"]), normalize_space(w["title"]), F.coalesce(none_if_blank(F.lower(blank(w["server"]))), F.lit("biorxiv"))
     page = F.when(doi != "", F.concat(F.lit("https://www."), server, F.lit(".org/content/"), doi))
-    landing, name = F.coalesce(none_if_blank(collapse(w["url"])), page), F.when(server == "biorxiv", "bioRxiv").otherwise("medRxiv")
+    landing, name = F.coalesce(none_if_blank(normalize_space(w["url"])), page), F.when(server == "biorxiv", "bioRxiv").otherwise("medRxiv")
     extra = F.when(blank(w["published"]) != "", F.concat(F.lit("Published DOI: "), normalize_doi(w["published"])))
     fields = field_map(title=title, abstractNote=w["abstract"], DOI=doi, date=w["date"], publicationTitle=name, repository=name, url=landing, libraryCatalog=server, extra=extra)
     places = F.array(_location(server, landing, "html"), _location(server, F.concat(page, F.lit(".full.pdf")), "pdf"))
@@ -204,7 +204,7 @@ def biorxiv(w: Column) -> Column:
 
 
 def core(w: Column, score: float = 1.0) -> Column:
-    doi, title = normalize_doi(w["doi"]), collapse(w["title"])
+    doi, title = normalize_doi(w["doi"]), normalize_space(w["title"])
     links = F.concat(F.array(w["downloadUrl"], w["fullTextLink"]), _texts(w["sourceFulltextUrls"]))
     fields = field_map(title=title, abstractNote=w["abstract"], DOI=doi, date=F.coalesce(w["publishedDate"], w["yearPublished"]), publicationTitle=first_text(_texts(w["journals"], "title")), url=first_text(links), libraryCatalog=F.lit("CORE"))
     return candidate("core", F.coalesce(none_if_blank(doi), title), score, fields, _joined(F.transform(links, lambda u: _location("core", u, urls.link_kind(u, F.lit(""))))), (doi != "") | (title != ""))
@@ -212,7 +212,7 @@ def core(w: Column, score: float = 1.0) -> Column:
 
 def doaj(w: Column, score: float = 1.0) -> Column:
     found = F.filter(w["identifier"], lambda x: F.lower(blank(x["type"])) == "doi")
-    doi, title, journal = normalize_doi(first_text(_texts(found, "id"))), collapse(w["title"]), w["journal"]
+    doi, title, journal = normalize_doi(first_text(_texts(found, "id"))), normalize_space(w["title"]), w["journal"]
     fields = field_map(
         title=title, abstractNote=w["abstract"], DOI=doi, date=F.coalesce(w["year"], w["month"]), publicationTitle=journal["title"], ISSN=F.array_join(journal["issns"], ", "), publisher=journal["publisher"],
         url=first_text(_texts(w["link"], "url")), libraryCatalog=F.lit("DOAJ"),
@@ -223,10 +223,10 @@ def doaj(w: Column, score: float = 1.0) -> Column:
 
 def translator(w: Column, score: float = 0.9) -> Column:
     """Items of a translation service: identifiers that have no field of their own are read from the text."""
-    doi, title = normalize_doi(w["DOI"]), collapse(w["title"])
+    doi, title = normalize_doi(w["DOI"]), normalize_space(w["title"])
     rest = F.concat_ws("\n", w["title"], w["url"], w["extra"], w["abstractNote"])
     fields = field_map(
-        title=title, abstractNote=strip_tags(w["abstractNote"]), date=w["date"], publicationTitle=w["publicationTitle"], DOI=doi, ISSN=w["ISSN"], volume=w["volume"], issue=w["issue"], pages=w["pages"], ISBN=w["ISBN"],
+        title=title, abstractNote=strip_html(w["abstractNote"]), date=w["date"], publicationTitle=w["publicationTitle"], DOI=doi, ISSN=w["ISSN"], volume=w["volume"], issue=w["issue"], pages=w["pages"], ISBN=w["ISBN"],
         url=w["url"], archiveLocation=F.coalesce(none_if_blank(blank(w["archiveLocation"])), extract_arxiv_id(rest)), PMID=F.coalesce(none_if_blank(blank(w["PMID"])), extract_pmid(rest)),
         PMCID=F.coalesce(none_if_blank(blank(w["PMCID"])), extract_pmcid(rest)), extra=w["extra"], libraryCatalog=F.lit("Zotero translators"),
     )
@@ -241,7 +241,7 @@ def openaire(payload: Column) -> Column:
     v = F.try_parse_json(payload)
     at = lambda path: F.coalesce(*[F.try_variant_get(v, f"$.response.results.result{i}.metadata['oaf:entity']['oaf:result']{path}", "string") for i in ("[0]", "")])
     value = lambda name: F.coalesce(at(f".{name}[0]['$']"), at(f".{name}['$']"), at(f".{name}"))
-    doi, title = normalize_doi(value("pid")), collapse(value("title"))
+    doi, title = normalize_doi(value("pid")), normalize_space(value("title"))
     fields = field_map(title=title, abstractNote=value("description"), DOI=doi, date=value("dateofacceptance"), publicationTitle=value("journal"), publisher=value("publisher"), libraryCatalog=F.lit("OpenAIRE"))
     return candidate("openaire", F.coalesce(none_if_blank(doi), title), 1.0, fields, _joined(F.array().cast(f"array<{LOCATION}>")), (doi != "") | (title != ""))
 
@@ -256,8 +256,8 @@ def pubmed(article: Column) -> Column:
     year = F.coalesce(issue["PubDate"]["Year"], F.regexp_substr(issue["PubDate"]["MedlineDate"], F.lit(r"\d{4}")))
     date = F.when(year.isNotNull(), partial_date(year, month_number(issue["PubDate"]["Month"]), issue["PubDate"]["Day"])).otherwise(partial_date(done["Year"], month_number(done["Month"]), done["Day"]))
     parts = F.filter(a["Abstract"]["AbstractText"], lambda p: blank(p["_VALUE"]) != "")
-    abstract = F.array_join(F.transform(parts, lambda p: F.concat(F.when(blank(p["_Label"]) != "", F.concat(collapse(p["_Label"]), F.lit(": "))).otherwise(""), strip_tags(p["_VALUE"]))), "\n")
-    pmid, title = normalize_pmid(cite["PMID"]), collapse(a["ArticleTitle"])
+    abstract = F.array_join(F.transform(parts, lambda p: F.concat(F.when(blank(p["_Label"]) != "", F.concat(normalize_space(p["_Label"]), F.lit(": "))).otherwise(""), strip_html(p["_VALUE"]))), "\n")
+    pmid, title = normalize_pmid(cite["PMID"]), normalize_space(a["ArticleTitle"])
     # Line ends between labelled parts stay, so the abstract joins the map behind the collapsing.
     fields = field_map(
         title=title, date=date, publicationTitle=a["Journal"]["Title"], journalAbbreviation=a["Journal"]["ISOAbbreviation"], volume=issue["Volume"], issue=issue["Issue"], pages=a["Pagination"]["MedlinePgn"], abstractNote=abstract,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import urls
-from .text import blank, collapse, title_match_score, token_hits_suffice
+from .text import blank, collapse, normalize_space, title_match_score, token_hits_suffice
 
 # Schemes, hosts and statuses.
 BLOCKED_SCHEMES = ("file", "ftp", "gopher", "javascript", "data", "mailto")
@@ -101,7 +101,7 @@ def is_pdf_response(final_url: Column, content_type: Column, body: Column) -> Co
 
 def pdf_identity(title: Column, text: Column, least_chars: int = 80, least_score: float = 0.70) -> Column:
     """Whether the text of a PDF's first pages is that of a title, or why not; a null text has no text layer."""
-    tokens = F.slice(F.filter(F.split(F.lower(collapse(title)), " "), lambda t: (F.length(t) >= 5) & t.rlike(r"^\p{ASCII}+$")), 1, 8)
+    tokens = F.slice(F.filter(F.split(F.lower(normalize_space(title)), " "), lambda t: (F.length(t) >= 5) & t.rlike(r"^\p{ASCII}+$")), 1, 8)
     hits = (F.size(tokens) > 0) & token_hits_suffice(tokens, F.lower(text))
     return (
         F.when(blank(title) == "", "no_expected_title").when(text.isNull(), "pdf_text_unavailable").when(F.length(F.trim(text)) < least_chars, "no_text_layer")

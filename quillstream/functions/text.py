@@ -1,15 +1,18 @@
-"""Text normalisation as native columns; one Arrow UDF where Spark has no builtin.
+"""Text normalisation as native columns; Arrow UDFs where Spark has no builtin.
 
 `lower` stands for case folding, which differs outside ASCII for a few letters (such as the German
-sharp s); `casefolded` is the exact form, through Arrow.
+sharp s); `casefolded` is the exact form, through Arrow.  Character references are decoded natively.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 import html
+import html.entities
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +34,56 @@ def none_if_blank(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-@pandas_udf(T.StringType())
-def unescape(values: pd.Series) -> pd.Series:
-    """HTML character references decoded, as HTML5 has them."""
-    return values.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
+#: Named references that count without a semicolon too; and what HTML5 makes of odd numbers.
+_BARE = {name: value for name, value in html.entities.html5.items() if not name.endswith(";")}
+_ODD = {str(n): html.unescape(f"&#{n};") for n in range(0xA0) if html.unescape(f"&#{n};") != chr(n)}
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _looked_up(table: dict[str, str], key: str) -> str:
+    """SQL for the value of a key, null if there is none.
+
+    The table is one text, which a plan holds as one literal; a map would be built anew wherever it stands.
+    """
+    text = _quoted("".join(f"\x01{k}\x02{v}" for k, v in table.items()) + "\x01")
+    return f"if(contains({text}, concat('\x01', {key}, '\x02')), substring_index(substring_index({text}, concat('\x01', {key}, '\x02'), -1), '\x01', 1), NULL)"
+
+
+def _unescaping() -> str:
+    """SQL of a lambda that decodes the references of a text.
+
+    A text is cut at its ampersands; of each piece the reference at its start is decoded: a number, a name
+    with a semicolon, or the longest name that counts without one.  An array of one binds a name to a value.
+    """
+    number = f"""transform(array(if(length(d) > 8, 1114112L, cast(conv(d, base, 10) AS bigint))), c ->
+        CASE WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN '\ufffd' WHEN c < 160 THEN coalesce({_looked_up(_ODD, "string(c)")}, decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'))
+             WHEN c BETWEEN 64976 AND 65007 OR c & 65534 = 65534 THEN '' ELSE decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END)[0]"""
+    digits = lambda group, base: "transform(array(regexp_replace(regexp_extract(r, " + _quoted(group) + f", 1), '^0+(?=.)', '')), d -> {number.replace('base', base)})[0]"
+    common = " ".join(f"WHEN r = '{n};' THEN {_quoted(html.entities.html5[n + ';'])}" for n in ("amp", "lt", "gt", "quot", "nbsp"))
+    longest = ", ".join(f"if(length(r) > {n}, concat({_looked_up(_BARE, f"left(r, {n})")}, substring(r, {n + 1})), NULL)" for n in range(max(map(len, _BARE)), 1, -1))
+    named = f"coalesce(if(r RLIKE '^[A-Za-z0-9]+;?$', {_looked_up(html.entities.html5, 'r')}, NULL), {longest}, concat('&', r))"
+    decoded = f"CASE WHEN r RLIKE '^#[0-9]' THEN {digits('^#([0-9]+)', '10')} WHEN r RLIKE '^#[xX][0-9a-fA-F]' THEN {digits('^#[xX]([0-9a-fA-F]+)', '16')} {common} ELSE {named} END"
+    start = _quoted(r"^(#\d+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+    piece = f"p -> transform(array(regexp_extract(p, {start}, 1)), r -> concat({decoded}, substring(p, length(r) + 1)))[0]"
+    whole = f"transform(array(split(v, '&')), s -> concat(s[0], array_join(transform(slice(s, 2, greatest(size(s) - 1, 0)), {piece}), '')))[0]"
+    return f"v -> CASE WHEN contains(v, '&') THEN {whole} ELSE v END"
+
+
+_UNESCAPING = _unescaping()
+
+
+@functools.lru_cache(maxsize=1)
+def _parsed(context: SparkContext) -> Column:
+    """The lambda as a column: parsed once for each Spark context."""
+    return F.expr(_UNESCAPING)
+
+
+def unescape(value: Column) -> Column:
+    """HTML character references decoded, as HTML5 has them; texts without an ampersand pass by."""
+    return F.get(F.call_function("transform", F.array(value), _parsed(SparkContext.getOrCreate())), F.lit(0))
 
 
 @pandas_udf(T.StringType())
@@ -53,7 +102,7 @@ def normalize_space(value: Column) -> Column:
 
 
 def strip_tags(value: Column) -> Column:
-    """Tags as spaces, white space collapsed; character references stay."""
+    """Tags as spaces, white space collapsed; character references stay (see `strip_html`)."""
     return collapse(F.regexp_replace(blank(value), "<[^>]+>", " "))
 
 
@@ -63,24 +112,24 @@ def strip_html(value: Column) -> Column:
 
 def normalize_title(value: Column) -> Column:
     """Lower-cased ASCII letters and digits, anything else as one space."""
-    return F.trim(F.regexp_replace(F.lower(collapse(value)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(normalize_space(value)), "[^a-z0-9]+", " "))
 
 
 def first_text(values: Column) -> Column:
     """The first value of an array that is not blank; empty if there is none."""
-    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), collapse), lambda v: v != "")
+    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), normalize_space), lambda v: v != "")
     return F.coalesce(F.get(clean, F.lit(0)), F.lit(""))
 
 
 def join_values(values: Column) -> Column:
     """The values of an array that are not blank, joined by a comma and a space."""
-    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), collapse), lambda v: v != "")
+    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), normalize_space), lambda v: v != "")
     return F.array_join(clean, ", ")
 
 
 def split_identifiers(value: Column) -> Column:
     """Parts between semicolons and line ends that are not blank."""
-    return F.filter(F.transform(F.split(blank(value), "[;\n]"), collapse), lambda v: v != "")
+    return F.filter(F.transform(F.split(blank(value), "[;\n]"), normalize_space), lambda v: v != "")
 
 
 def fold_distinct(values: Column) -> Column:

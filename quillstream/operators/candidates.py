@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import blank, collapse, merge_extra
+from ..functions.text import merge_extra, normalize_space
 
 # Trust in providers, and the fields that a patch may set.
 PRIORITY = {"zotero_translation_server_search": 100, "pubmed": 95, "europe_pmc": 90, "arxiv": 88, "crossref": 85, "openalex": 80, "semantic_scholar": 75, "unpaywall": 70, "datacite": 65, "doaj": 60, "core": 55, "openaire": 50}
 PATCHED = (
-    "title abstractNote date language shortTitle archive archiveLocation libraryCatalog rights extra publicationTitle journalAbbreviation DOI ISSN PMID PMCID "
-    "volume issue pages series seriesTitle publisher place ISBN edition numPages numberOfVolumes bookTitle url accessDate institution reportType reportNumber "
-    "conferenceName proceedingsTitle websiteTitle websiteType genre"
-).split()
+    "title", "abstractNote", "date", "language", "shortTitle", "archive", "archiveLocation", "libraryCatalog", "rights", "extra", "publicationTitle", "journalAbbreviation", "DOI", "ISSN", "PMID", "PMCID",
+    "volume", "issue", "pages", "series", "seriesTitle", "publisher", "place", "ISBN", "edition", "numPages", "numberOfVolumes", "bookTitle", "url", "accessDate", "institution", "reportType", "reportNumber",
+    "conferenceName", "proceedingsTitle", "websiteTitle", "websiteType", "genre",
+)
 IDENTIFYING = ("DOI", "PMID", "PMCID", "archiveLocation", "ISBN", "title")
 
 
@@ -41,7 +41,7 @@ def ranked_values(candidates: DataFrame, item: str) -> DataFrame:
     Equal scores go by the provider's priority, then by ordinal.
     """
     exploded = candidates.select(item, "ordinal", "source", "score", F.explode("fields").alias("field", "raw"))
-    valued = exploded.withColumn("value", collapse(F.col("raw"))).filter("value <> ''")
+    valued = exploded.withColumn("value", normalize_space(F.col("raw"))).filter("value <> ''")
     order = Window.partitionBy(item, "field").orderBy(F.col("score").desc(), priority(F.col("source")).desc(), "ordinal")
     return valued.select(item, "field", "value", "source", F.row_number().over(order).alias("rank"))
 
@@ -68,11 +68,14 @@ def merge(candidates: DataFrame, item: str) -> DataFrame:
     return lead.join(fields, item, "left").withColumn("identifier", known).drop("own")
 
 
-def redundant_extra(line: Column, current: Column) -> Column:
-    """Whether a line of `extra` restates an identifier that the item has in its own field."""
-    has = lambda f: F.lower(collapse(F.element_at(current, f)))
+def redundant_extra(line: Column, known: Column) -> Column:
+    """Whether a line of `extra` restates an identifier that the item has in its own field.
+
+    `known` is a map of the item's fields, normalised and in lower case.
+    """
+    has = lambda f: F.coalesce(F.element_at(known, f), F.lit(""))
     got = lambda p: F.lower(F.regexp_extract(line, p, 1))
-    same = lambda p, f: (got(p) != "") & (has(f) != "") & (got(p) == has(f))
+    same = lambda p, f: (has(f) != "") & (got(p) == has(f))
     pmid = F.regexp_extract(line, r"(?i)^PMID\s*:\s*(\d{1,10})\s*$", 1)
     bare = lambda c: F.regexp_replace(c, "^0+", "")
     return (
@@ -86,18 +89,22 @@ def diff(pairs: DataFrame, item: str, candidate: str = "candidate", current: str
     """(item, field, current_text, candidate_text, verdict) for every field of a candidate map.
 
     verdict is patch, or why the field is skipped: field_not_allowed_by_relay, candidate_empty,
-    current_field_not_empty (under emptyFieldsOnly, by the raw value) or unchanged.
+    current_field_not_empty (under emptyFieldsOnly, by the raw value) or unchanged.  Every normalised value
+    is a projection of its own, computed once; fields are normalised before they are exploded.
     """
-    rows = pairs.select(item, F.col(current).alias("_cur"), F.explode(candidate).alias("field", "raw"))
-    text = collapse(F.col("raw"))
-    own = F.element_at("_cur", F.col("field"))
-    extra = F.when(F.coalesce(redundant_extra(text, F.col("_cur")), F.lit(False)), "").otherwise(text)
-    rows = rows.withColumn("_text", F.when(F.col("field") == "extra", extra).otherwise(text))
-    shown = F.when((F.col("field") == "extra") & (F.col("_text") != ""), merge_extra(own, F.col("_text"))).otherwise(F.col("_text"))
-    rows = rows.withColumns({"current_text": collapse(own), "candidate_text": shown})
+    clean = lambda m: F.transform_values(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: normalize_space(v))
+    rows = pairs.select(item, F.col(current).alias("_cur"), clean(F.col(current)).alias("_clean"), clean(F.col(candidate)).alias("_new"))
+    rows = rows.select(item, "_cur", "_clean", F.explode("_new").alias("field", "_text"))
+    empty = lambda m: F.coalesce(F.element_at(m, F.col("field")), F.lit(""))
+    identifiers = F.transform_values(F.map_filter("_clean", lambda k, v: k.isin(*IDENTIFYING)), lambda k, v: F.lower(v))
+    rows = rows.withColumns({"_own": empty("_cur"), "current_text": empty("_clean"), "_known": F.when(F.col("field") == "extra", identifiers)})
+    text = F.when(F.coalesce(redundant_extra(F.col("_text"), F.col("_known")), F.lit(False)), "").otherwise(F.col("_text"))
+    rows = rows.withColumn("_text", F.when(F.col("field") == "extra", text).otherwise(F.col("_text")))
+    shown = F.when((F.col("field") == "extra") & (F.col("_text") != ""), merge_extra(F.col("_own"), F.col("_text"))).otherwise(F.col("_text"))
+    rows = rows.withColumn("candidate_text", shown)
     verdict = (
         F.when(~F.col("field").isin(*PATCHED), "field_not_allowed_by_relay").when(F.col("_text") == "", "candidate_empty")
-        .when(F.lit(policy == "emptyFieldsOnly") & (blank(own) != ""), "current_field_not_empty").when(F.col("current_text") == F.col("candidate_text"), "unchanged").otherwise("patch")
+        .when(F.lit(policy == "emptyFieldsOnly") & (F.col("_own") != ""), "current_field_not_empty").when(F.col("current_text") == F.col("candidate_text"), "unchanged").otherwise("patch")
     )
     return rows.select(item, "field", "current_text", "candidate_text", verdict.alias("verdict"))
 

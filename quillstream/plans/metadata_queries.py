@@ -73,7 +73,7 @@ def part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.lit(i).alias("ordinal"), F.lit(source).alias("source"), (((k() * (i + 3)) % 4) / 4.0).alias("score"), F.concat(F.lit(f"{source}:"), _s(k())).alias("identifier"),
                 F.create_map(
-                    F.lit("title"), F.when(k() % (i + 2) == 0, "  ").otherwise(F.concat(F.col("p_name"), F.lit(f"  {i}"))), F.lit("volume"), _s(k() % 10 + i), F.lit(f"only{i}"), F.lit("x"),
+                    F.lit("title"), F.when(k() % (i + 2) == 0, "  ").otherwise(F.concat(F.col("p_name"), F.lit(f" &amp;&nbsp; {i}&#8211;"))), F.lit("volume"), _s(k() % 10 + i), F.lit(f"only{i}"), F.lit("x"),
                 ).alias("fields"),
             )
             for i, source in enumerate(("crossref", "pubmed", "biorxiv"))
@@ -85,7 +85,7 @@ def part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 CANDIDATES = """
 WITH c AS (
   SELECT p_partkey, i.ordinal, i.source, i.priority, ((p_partkey * (i.ordinal + 3)) % 4) / 4.0 AS score, i.source || ':' || p_partkey AS identifier,
-         CASE WHEN p_partkey % (i.ordinal + 2) = 0 THEN '' ELSE p_name || ' ' || i.ordinal END AS title, CAST(p_partkey % 10 + i.ordinal AS VARCHAR) AS volume
+         CASE WHEN p_partkey % (i.ordinal + 2) = 0 THEN '' ELSE p_name || ' & ' || i.ordinal || '–' END AS title, CAST(p_partkey % 10 + i.ordinal AS VARCHAR) AS volume
   FROM part, (VALUES (0, 'crossref', 85), (1, 'pubmed', 95), (2, 'biorxiv', 0)) i(ordinal, source, priority)
 )
 """
@@ -123,14 +123,14 @@ def candidate_merge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidate = F.create_map(F.lit("title"), F.concat(F.col("p_name"), F.lit("  x")), F.lit("volume"), _s(F.col("p_size")), F.lit("issue"), F.when(k() % 2 == 0, " ").otherwise("7"), F.lit("secret"), F.lit("s"))
+    candidate = F.create_map(F.lit("title"), F.concat(F.col("p_name"), F.lit(" &lt;&#xe9;&gt;  x&ampy")), F.lit("volume"), _s(F.col("p_size")), F.lit("issue"), F.when(k() % 2 == 0, " ").otherwise("7"), F.lit("secret"), F.lit("s"))
     current = F.create_map(F.lit("title"), F.when(k() % 3 == 0, "").otherwise(F.col("p_name")), F.lit("volume"), F.when(k() % 5 == 0, _s(F.col("p_size"))).otherwise(""))
     return load(spark, sf_dir, "part").select("p_partkey", "p_type", candidate.alias("candidate"), current.alias("current"))
 
 
 DIFF = """
 WITH d AS (SELECT p_partkey, f.field, CASE f.field WHEN 'title' THEN CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END WHEN 'volume' THEN CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END ELSE '' END AS current_text,
-  CASE f.field WHEN 'title' THEN p_name || ' x' WHEN 'volume' THEN CAST(p_size AS VARCHAR) WHEN 'issue' THEN CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '7' END ELSE 's' END AS candidate_text
+  CASE f.field WHEN 'title' THEN p_name || ' <é> x&y' WHEN 'volume' THEN CAST(p_size AS VARCHAR) WHEN 'issue' THEN CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '7' END ELSE 's' END AS candidate_text
   FROM part, (VALUES ('title'), ('volume'), ('issue'), ('secret')) f(field))
 """
 
@@ -289,12 +289,12 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "inverted_index_abstract",
-    "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS abstract FROM documents WHERE n_chars < 3000 AND text NOT LIKE '%\t%'",
+    r"""SELECT doc_id, trim(regexp_replace(text, '[ \x09-\x0D]+', ' ', 'g')) AS abstract FROM documents WHERE regexp_matches(text, '[^ \x09-\x0D]')""",
 )
 def inverted_index_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts to inverted indexes (word to places) and back."""
-    d = load(spark, sf_dir, "documents").filter("n_chars < 3000 and not contains(text, '\t')")
-    words = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ")).alias("p", "w"))
+    """Texts to inverted indexes (word to places) and back; texts without words have no index."""
+    d = load(spark, sf_dir, "documents")
+    words = d.select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \x09-\x0D]+"), lambda w: w != "")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("index"))
     return index.select("doc_id", providers.inverted_text(F.col("index")).alias("abstract"))
 

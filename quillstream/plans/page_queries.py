@@ -12,9 +12,11 @@ from ..sources.tables import load
 from .registry import query
 
 COLLAPSE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
-TITLE = COLLAPSE.format("regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]+>', ' ', 'g')")
+#: Decodes the references that the pages hold; a page that was cut off ends in one without its semicolon.
+DECODE = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', chr(1)), '&amp', chr(1)), chr(1), '&')"
+TITLE = COLLAPSE.format(DECODE.format("regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]+>', ' ', 'g')"))
 BARE = "regexp_replace(regexp_replace(regexp_replace(html, '<script\\b[^>]*>.*?</script>', ' ', 'gis'), '<style\\b[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs')"
-TEXT = COLLAPSE.format(f"regexp_replace({BARE}, '<[^>]+>', ' ', 'g')")
+TEXT = COLLAPSE.format(DECODE.format(f"regexp_replace({BARE}, '<[^>]+>', ' ', 'g')"))
 MARKS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(html), '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in html.ARTICLE_MARKERS) + ")"
 SECTIONS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in html.SECTION_MARKERS) + ")"
 FEATURES = f"WITH p AS (SELECT page_id, url, html, {TITLE} AS title, {TEXT} AS text FROM pages), f AS (SELECT page_id, url, html, title, text, length(text) AS text_chars, {MARKS} AS markers, {SECTIONS} AS sections FROM p)"
@@ -32,7 +34,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_title_and_text", FEATURES + " SELECT page_id, title, text, text_chars FROM f")
 def html_title_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and visible text of each page, character references as they are."""
+    """Title and visible text of each page, character references decoded."""
     return features(spark, sf_dir).select("page_id", "title", "text", "text_chars")
 
 
