@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank, normalize_space, strip_html
+from .text import blank, normalize_space, strip_html, unescape
 
 # Marker names with their patterns, over lower-cased HTML or text.
 ARTICLE_MARKERS = (
@@ -126,10 +126,35 @@ def attribute_values(page: Column, tag: str, attribute: str) -> Column:
     return F.regexp_extract_all(blank(page), F.lit(rf"(?is)<{tag}\b[^>]*?\b{attribute}\s*=\s*([\"'])(.*?)\1"), F.lit(2))
 
 
+# Elements whose attribute names a resource.
+RESOURCES = (("img", "src"), ("source", "src"), ("link", "href"), ("script", "src"), ("image", "href"), ("image", "xlink:href"), ("use", "href"), ("use", "xlink:href"))
+
+
 def resource_refs(page: Column) -> Column:
-    """Distinct resources that a page names: images, media, links, scripts and frames."""
-    pairs = (("img", "src"), ("source", "src"), ("video", "src"), ("audio", "src"), ("script", "src"), ("iframe", "src"), ("link", "href"), ("object", "data"))
-    return F.array_distinct(F.concat(*[attribute_values(page, t, a) for t, a in pairs]))
+    """Resources that a page names, in the order of the elements' kinds, the URLs of source sets behind them."""
+    plain = F.concat(*[attribute_values(page, t, a) for t, a in RESOURCES])
+    sets = F.concat(attribute_values(page, "img", "srcset"), attribute_values(page, "source", "srcset"))
+    return F.concat(plain, F.flatten(F.transform(sets, srcset_urls)))
+
+
+def is_remote(ref: Column) -> Column:
+    return F.lower(ref).rlike("^(https?:)?//")
+
+
+def is_local(ref: Column) -> Column:
+    """Whether a reference names a file beside the page."""
+    return (ref != "") & ~F.lower(ref).rlike("^(https?://|//|data:|javascript:|mailto:|#)")
+
+
+def local_path(ref: Column) -> Column:
+    """The file that a local reference names; null for paths that leave the page's folder."""
+    bare = F.substring_index(F.substring_index(ref, "?", 1), "#", 1)
+    return F.when((bare != "") & (F.length(bare) <= 4096) & ~bare.startswith("/") & ~bare.rlike(r"(^|/)\.\.(/|$)"), F.regexp_replace(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), r"^(\./)+", ""))
+
+
+def missing_local(refs: Column, files: Column) -> Column:
+    """Local references whose file is not among `files` (paths below the page's folder)."""
+    return F.filter(refs, lambda r: is_local(r) & ~F.coalesce(F.array_contains(files, local_path(r)), F.lit(False)))
 
 
 def anchors(page: Column) -> Column:
@@ -152,7 +177,8 @@ def css_imports(css: Column) -> Column:
 
 
 def srcset_urls(value: Column) -> Column:
-    parts = F.transform(F.split(blank(value), r",\s+"), lambda p: F.substring_index(F.trim(p), " ", 1))
+    """URLs of a source set: the first word of each part between a comma and white space."""
+    parts = F.transform(F.split(F.trim(unescape(blank(value))), r",\s+"), lambda p: F.regexp_extract(p, r"^\s*(\S+)", 1))
     return F.filter(parts, lambda p: p != "")
 
 
@@ -174,22 +200,104 @@ def document_title(page: Column) -> Column:
     return F.coalesce(*[F.nullif(normalize_space(c), F.lit("")) for c in (meta("citation_title"), meta("og:title"), page_title(page))], F.lit(""))
 
 
+def meta_values(page: Column, name: str) -> Column:
+    """Contents of the meta elements of a name (or property), in page order, blank ones left out."""
+    tags = F.regexp_extract_all(blank(page), F.lit(r"(?is)<meta\b([^>]*)>"), F.lit(1))
+    own = F.filter(tags, lambda t: F.lower(t).rlike(rf"(?s)(?:^|\s)(?:name|property)\s*=\s*[\"']?\s*{name}\s*(?:[\"'\s/]|$)"))
+    contents = F.transform(own, lambda t: F.trim(unescape(F.coalesce(F.regexp_extract(t, r"(?is)(?:^|\s)content\s*=\s*([\"'])(.*?)\1", 2), F.lit("")))))
+    return F.filter(contents, lambda v: v != "")
+
+
+def absolute(base: Column, ref: Column) -> Column:
+    """A reference on a base URL, for references that are absolute, start at the scheme or root, or are a plain path."""
+    from . import urls
+
+    scheme, authority = F.lower(urls.part(base, 1)), urls.part(base, 2)
+    folder = F.regexp_replace(urls.part(base, 3), "[^/]*$", "")
+    root = F.concat(scheme, F.lit("://"), authority)
+    return (
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref)).when(ref.startswith("/"), F.concat(root, ref))
+        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), F.regexp_replace(ref, r"^(\./)+", "")))
+    )
+
+
 def citation_pdf_urls(page: Column, base: Column) -> Column:
-    """PDF URLs that a page's citation fields name, on its base, without supplements and repeats."""
+    """All PDF URLs that a page's citation fields name, on its base, without supplements and repeats."""
     from . import urls
-    from .documents import join_url
 
-    named = F.regexp_extract_all(blank(page), F.lit(r"(?is)<meta\b[^>]*name\s*=\s*[\"']citation_pdf_url[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']"), F.lit(1))
-    first = F.get(F.filter(F.array_distinct(named), lambda u: ~urls.is_supplement_url(u)), F.lit(0))
-    # Few pages name more than one; each further one is a row of an exploded array in `citation_pdf_rows`.
-    return F.when(first.rlike("^https?://"), first).when(first.isNotNull(), join_url(base, first))
+    found = F.array_distinct(F.transform(meta_values(page, "citation_pdf_url"), lambda u: absolute(base, u)))
+    return F.filter(found, lambda u: ~urls.is_supplement_url(u))
 
 
-def citation_pdf_rows(pages: DataFrame, page: str, base: str) -> DataFrame:
-    """One row for each PDF that a page's citation fields name: the page's columns, ordinal and pdf_url."""
+def iop_pdf_url(url: Column) -> Column:
+    """The PDF of an article page of one publisher whose PDFs stand below it; empty for other URLs."""
     from . import urls
-    from .documents import join_url
 
-    named = F.regexp_extract_all(blank(F.col(page)), F.lit(r"(?is)<meta\b[^>]*name\s*=\s*[\"']citation_pdf_url[\"'][^>]*content\s*=\s*[\"'](.*?)[\"']"), F.lit(1))
-    rows = pages.select("*", F.posexplode(F.array_distinct(named)).alias("ordinal", "_u")).withColumn("pdf_url", join_url(F.col(base), F.col("_u"))).drop("_u")
-    return rows.filter(~urls.is_supplement_url(F.col("pdf_url")))
+    path = F.regexp_replace(urls.part(url, 3), "/+$", "")
+    fits = urls.host(url).endswith("iopscience.iop.org") & F.lower(path).startswith("/article/") & ~F.lower(path).endswith("/pdf")
+    return F.when(fits, F.concat(F.lower(urls.part(url, 1)), F.lit("://"), urls.part(url, 2), path, F.lit("/pdf"))).otherwise("")
+
+
+def derived_pdfs(page: Column, base: Column) -> Column:
+    """PDF locations that a page lets derive (url, derivation), the first of each URL."""
+    from . import urls
+
+    cited = F.transform(citation_pdf_urls(page, base), lambda u: F.struct(u.alias("url"), F.lit("citation_pdf_url").alias("derivation")))
+    own = iop_pdf_url(base)
+    rows = F.concat(cited, F.when(own != "", F.array(F.struct(own.alias("url"), F.lit("iop_article_pdf").alias("derivation")))).otherwise(F.array().cast("array<struct<url:string,derivation:string>>")))
+    keys = F.transform(rows, lambda r: urls.normalized_probe_url(r["url"]))
+    return F.filter(rows, lambda r, i: F.array_position(keys, urls.normalized_probe_url(r["url"])) == i + 1)
+
+
+def canonical_article_url(page: Column, base: Column) -> Column:
+    """The full article behind an abstract page of one publisher, by its URL or by a link; empty for other pages."""
+    from . import urls
+
+    path, at = urls.part(base, 3), urls.host(base).endswith("thieme-connect.de")
+    root = F.concat(F.lower(urls.part(base, 1)), F.lit("://"), urls.part(base, 2))
+    link = F.regexp_extract(blank(page), r"(?i)href=[\"']([^\"']*/products/ejournals/html/[^\"']+)[\"']", 1)
+    return (
+        F.when(at & F.contains(path, F.lit("/products/ejournals/abstract/")), F.concat(root, F.regexp_replace(path, "^(.*?)/abstract/", "$1/html/")))
+        .when(at & (link != ""), absolute(base, link)).otherwise("")
+    )
+
+
+def resolved_kind(kind: Column, final_url: Column) -> Column:
+    """The kind of a location once its final URL is known: a full article's page is html."""
+    from . import urls
+
+    open_ = F.lower(kind).isin("landing", "doi", "webpage")
+    return F.when(open_ & urls.is_full_article_url(final_url), "html").otherwise(kind)
+
+
+def landing_rejection(kind: Column, resolved: Column, final_url: Column, title: Column, accepted: Column) -> Column:
+    """Why a landing page is not taken as the article: access_landing, publisher_landing or weak_landing; empty if it may be."""
+    from . import urls
+
+    access, landing = is_access_title(title), F.lower(kind).isin("landing", "doi", "webpage")
+    return (
+        F.when(F.lower(resolved) == "html", F.when(access, "access_landing").otherwise("")).when(~landing, "").when(access, "access_landing")
+        .when(urls.is_abstract_or_chapter_url(final_url), "publisher_landing").when(accepted, "weak_landing").otherwise("")
+    )
+
+
+def valid_preprint_html(page: Column, least: int = 200) -> Column:
+    """ok, reason and text_chars of a fetched preprint page."""
+    from .text import strip_html as stripped
+
+    chars, tagged = F.length(stripped(page)), F.contains(F.lower(F.substring(blank(page), 1, 2000)), F.lit("<html"))
+    reason = F.when(~tagged, "missing_html_tag").when(chars < least, "too_little_text").otherwise("ok")
+    return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), F.when(tagged, chars).otherwise(0).cast("long").alias("text_chars"))
+
+
+def with_title_fit(pages: DataFrame, expected: str, out: str = "title_ok") -> DataFrame:
+    """Adds whether a page with title and text is about an expected title: by likeness of the titles, or by its words.
+
+    The likeness is a column of its own, so only the two titles travel to Python.
+    """
+    from .text import title_match_score, title_tokens, token_hits_suffice
+
+    scored = pages.withColumn("_expected", normalize_space(F.col(expected))).withColumn("_score", title_match_score(F.col("_expected"), F.col("title")))
+    alike = (blank(F.col("title")) != "") & (F.col("_score") >= 0.65)
+    fits = (F.col("_expected") == "") | ((blank(F.col("text")) != "") & (alike | token_hits_suffice(title_tokens(F.col("_expected")), F.lower("text"))))
+    return scored.withColumn(out, fits).drop("_expected", "_score")

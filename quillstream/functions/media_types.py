@@ -14,7 +14,7 @@ HTML_SUFFIX = r"\.(html|htm|mhtml|mht)$"
 PDF_SUFFIX = r"\.pdf$"
 #: Languages in a file name's marker that do not mean source HTML.
 NOT_LANGUAGES = ("ru", "source", "arxiv", "ocr", "fulltext", "pdf", "html")
-SUFFIX_OF_TYPE = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "text/css": ".css"}
+SUFFIX_OF_TYPE = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "text/css": ".css", "font/woff": ".woff", "font/woff2": ".woff2", "application/font-woff": ".woff"}
 
 
 def base_type(content_type: Column) -> Column:

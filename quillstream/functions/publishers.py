@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -175,24 +174,6 @@ def normalize_page(page: pd.Series, kind: pd.Series, url: pd.Series) -> pd.Serie
     return pd.Series([normalize(p or "", k or "", u or "") for p, k, u in zip(page, kind, url)], dtype="object")
 
 
-# Marks of page kinds, tried in order over lower-cased HTML and the host.
-KIND_MARKS = (
-    ("arxiv_latexml", "arxiv.org", "ltx_document|ltx_page_main"), ("pmc_article", "ncbi.nlm.nih.gov", "pmc-article|id=\"mc\"|class=\"pmc"), ("taylor_francis_article", "tandfonline.com", "hlfld-fulltext|tandf"),
-    ("springer_nature_article", "springer.com", "c-article-body|data-article-body"), ("iop_article", "iopscience.iop.org", "wd-jnl-art|itemprop=\"articlebody\""), ("researchgate_page", "researchgate.net", "research-detail|rg-page"),
-)
-
-
-def page_kind(page: Column, url: Column) -> Column:
-    """The kind of a page: preprint abstract, a publisher's article, any article, or unknown."""
-    from .urls import in_domain, is_preprint_landing
-
-    low = F.lower(F.coalesce(page, F.lit("")))
-    out = F.when(is_preprint_landing(url), "arxiv_abs_page")
-    for kind, domain, marks in KIND_MARKS:
-        out = out.when(low.rlike(marks) | (in_domain(url, domain) & F.contains(low, F.lit("<article"))), kind)
-    return out.when(F.contains(F.substring(low, 1, 500_000), F.lit("<article")), "generic_article").otherwise("unknown")
-
-
 #: Kinds that are landing pages and not articles.
 LANDING_KINDS = ("arxiv_abs_page", "sciendo_abstract_page", "ojs_abstract_page", "researchgate_page", "unknown")
 

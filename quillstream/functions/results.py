@@ -128,3 +128,10 @@ def patch_json(payload: Column, changes: dict[str, Column]) -> Column:
     new = F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v.cast("string"))])
     kept = F.map_filter(fields, lambda k, v: ~k.isin(*changes))
     return F.when(fields.isNotNull(), F.to_json(F.map_concat(kept, new)))
+
+
+def failure_count(result: Column) -> Column:
+    """Failed jobs and problem documents of a batch result (JSON), missing ones as 0."""
+    v = F.try_parse_json(result)
+    count = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "long"), F.lit(0))
+    return count("failed") + count("problem_documents")

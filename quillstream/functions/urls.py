@@ -147,3 +147,19 @@ def source_filename(source: Column, url: Column, index: Column, suffix: str = "h
 
     authority = F.coalesce(F.nullif(part(url, 2), F.lit("")), F.lit("url"))
     return F.concat_ws(".", F.lpad(index.cast("string"), 2, "0"), safe_part(F.coalesce(F.nullif(source, F.lit("")), F.lit("source"))), safe_part(authority), F.substring(F.sha1(blank(url)), 1, 10), F.lit(suffix))
+
+
+def looks_like_pdf_download(url: Column) -> Column:
+    """Whether a URL downloads a PDF, by file name, path or query."""
+    way = F.lower(F.coalesce(F.try_url_decode(part(url, 3)), part(url, 3)))
+    query = F.lower(part(url, 4))
+    return way.endswith(".pdf") | F.contains(way, F.lit("download")) | query.rlike("(^|&)format=pdf(&|$)") | query.rlike("(^|&)response-content-disposition=[^&]*attachment")
+
+
+def asset_filename(index: Column, url: Column, content_type: Column) -> Column:
+    """A file name for a page's asset: its place, a digest of its URL, and a suffix by path or media type."""
+    from .media_types import suffix_for
+
+    own = F.lower(F.regexp_extract(path(url), r"[^/.][^/]*(\.[^./]*)$", 1))
+    suffix = F.when((F.length(own) > 1) & (F.length(own) <= 8), own).otherwise(suffix_for(content_type))
+    return F.concat(F.lpad(index.cast("string"), 3, "0"), F.lit("."), F.substring(F.sha1(blank(url)), 1, 12), F.coalesce(F.nullif(suffix, F.lit("")), F.lit(".bin")))

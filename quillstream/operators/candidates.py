@@ -150,3 +150,63 @@ def probe_plan(locations: DataFrame, within: Sequence[str], limit: int) -> DataF
     status = F.when(~F.col("fits"), F.when(F.col("is_pdf"), "skipped_pdf").otherwise("skipped_kind"))
     status = status.when(F.lit(limit > 0) & (place > limit), "skipped_limit").otherwise("probe")
     return rows.withColumns({"place": F.row_number().over(order), "status": status}).drop("fits", "rank", "is_pdf")
+
+
+def pdf_locations(discovered: DataFrame, derived: DataFrame, item: str) -> DataFrame:
+    """Locations of an item and those derived from its pages behind them, the first of each kind and URL.
+
+    Both hold item, ordinal, source, url and kind; blank URLs are left out.
+    """
+    columns = [item, "ordinal", "source", "url", "kind"]
+    both = discovered.select(*columns, F.lit(0).alias("_from")).unionByName(derived.select(*columns, F.lit(1).alias("_from")))
+    order = Window.partitionBy(item, F.lower("kind"), F.trim("url")).orderBy("_from", "ordinal")
+    rows = both.filter(F.trim("url") != "").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(item).orderBy("_from", "ordinal", "url"))).select(columns)
+
+
+def browser_fallbacks(locations: DataFrame, complete: DataFrame, item: str, domain: str) -> DataFrame:
+    """Locations of one sharing site that only a browser can read, for items without a PDF, the first of each URL.
+
+    `complete` holds the items that have a PDF already or got one.
+    """
+    own = locations.filter(urls.in_domain(F.col("url"), domain) & (F.trim("url") != "")).join(complete.select(item).distinct(), item, "left_anti")
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy(item, F.trim("url")).orderBy("ordinal"))).filter("_n = 1")
+    kind = F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("landing"))
+    return first.select(item, "ordinal", F.trim("url").alias("url"), kind.alias("kind"), F.lit("browser_pdf_fallback_available").alias("status"))
+
+
+def landing_preprints(downloads: DataFrame, item: str) -> DataFrame:
+    """(item, preprint_id) of the preprints whose abstract pages an item's downloads hit, each once but for case."""
+    pages = downloads.select(item, "ordinal", F.explode(F.array_compact(F.array("url", "final_url"))).alias("u")).filter(urls.is_preprint_landing(F.col("u")))
+    found = pages.select(item, "ordinal", urls.preprint_id(F.col("u")).alias("preprint_id")).filter("preprint_id <> ''")
+    return found.groupBy(item, F.lower("preprint_id").alias("_key")).agg(F.min_by("preprint_id", "ordinal").alias("preprint_id")).drop("_key")
+
+
+def lookup_text(fields: Column, tags: Column, *more: Column) -> Column:
+    """All that is known of an item as one text: its field values, tags and further texts, a line each."""
+    some = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.array_join(F.concat(some(F.map_values(fields)), some(tags), some(F.array(*more) if more else F.array().cast("array<string>"))), "\n")
+
+
+def lookup_title(title: Column, filename: Column) -> Column:
+    """The title to look an item up by: its own, else its file's name without the suffix."""
+    stem = F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.nullif(normalize_space(title), F.lit("")), normalize_space(stem))
+
+
+def queue_key(version: str, providers: Sequence[str], settings: dict[str, object]) -> str:
+    """The key of a queue's settings: jobs made under other settings are other jobs."""
+    shown = lambda v: str(int(v)) if isinstance(v, bool) else f"{v:.3f}" if isinstance(v, float) else str(v)
+    return "|".join([f"v={version}", f"providers={','.join(providers)}", *(f"{k}={shown(v)}" for k, v in settings.items())])
+
+
+def by_identifier(items: DataFrame, payloads: DataFrame, item: str, least_score: float = 0.0) -> DataFrame:
+    """The best candidate of each item among provider answers: those found by identifier before those by title.
+
+    `payloads` holds item, ordinal, by_title, and the candidate's source, identifier, score and fields; an
+    answer by title counts from a score on, and only where no identifier found any.
+    """
+    fits = payloads.filter(~F.col("by_title") | (F.col("score") >= least_score))
+    order = Window.partitionBy(item).orderBy("by_title", F.col("score").desc(), "ordinal")
+    chosen = fits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "by_title")
+    return items.join(chosen, item, "left")

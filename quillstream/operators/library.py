@@ -17,6 +17,7 @@ from ..functions import media_types
 from ..functions.text import blank
 
 STORAGE = "storage:"
+PDF_FILE, HTML_FILE = r"\.pdf$", r"\.html?$"
 
 
 @dataclass
@@ -73,17 +74,141 @@ def collection_items(library: Library, collection: str) -> DataFrame:
 
 
 def either_join(left: DataFrame, right: DataFrame, left_columns: Sequence[str], key: str) -> DataFrame:
-    """Rows of `left` one of whose columns equals the key: two hash joins instead of a nested loop."""
-    hit = None
-    for c in left_columns:
-        found = left.join(right.select(F.col(key).alias(c)).distinct(), c, "left_semi").select(left.columns)
-        hit = found if hit is None else hit.unionByName(found)
-    return hit.distinct()
+    """Rows of `left` one of whose columns equals a key: hash joins with the distinct keys instead of a nested loop.
 
+    Every row that fits comes once, equal rows as often as they are there.
+    """
+    keys, rows, hit = right.select(F.col(key).alias("_key")).filter("_key is not null").distinct(), left, F.lit(False)
+    for i, c in enumerate(left_columns):
+        rows = rows.join(keys.withColumnRenamed("_key", f"_key{i}"), F.col(c) == F.col(f"_key{i}"), "left")
+        hit = hit | F.col(f"_key{i}").isNotNull()
+    return rows.filter(hit).select(left.columns)
 
-def collection_attachments(library: Library, collection: str) -> DataFrame:
-    """Live attachments that are in a collection themselves or by their parent."""
-    return either_join(attachments(library), collection_items(library, collection), ["itemID", "parentItemID"], "itemID")
+
+def filename(path: Column) -> Column:
+    """The last part of a stored path."""
+    return F.substring_index(F.translate(F.regexp_replace(blank(path), "^storage:", ""), "\\", "/"), "/", -1)
+
+
+def collection_attachments(library: Library, collection: str, kind: Column | None = None, limit: int | None = None, filename_contains: str = "") -> DataFrame:
+    """Live attachments that are in a collection themselves or by their parent, the newest first.
+
+    A kind (such as `is_html_row()`) comes before the limit, a part of the file name behind it.
+    """
+    rows = either_join(attachments(library), collection_items(library, collection), ["itemID", "parentItemID"], "itemID")
+    rows = newest(rows.filter(kind) if kind is not None else rows, limit)
+    return rows.filter(F.contains(F.lower(filename(F.col("path"))), F.lit(filename_contains.lower()))) if filename_contains else rows
+
+
+# --- files behind attachments ----------------------------------------------------------------------
+
+
+def with_files(rows: DataFrame, files: DataFrame, suffix: str, require: bool = True) -> DataFrame:
+    """Attachments with file_path: the stored path below their folder, else the newest file there with a suffix.
+
+    `files` lists key (folder), name, path and mtime.  With `require`, attachments without a file are left
+    out; otherwise they keep null.
+    """
+    here = files.filter(F.lower("name").rlike(suffix))
+    newest_file = here.groupBy(F.col("key").alias("_key")).agg(F.max_by("path", F.struct("mtime", "path")).alias("_newest"))
+    stored = here.select(F.col("key").alias("_k"), F.col("name").alias("_n"), F.col("path").alias("_stored"))
+    out = rows.withColumn("_name", F.when(blank(F.col("path")).startswith(STORAGE), filename(F.col("path"))))
+    out = out.join(stored, (F.col("key") == F.col("_k")) & (F.col("_name") == F.col("_n")), "left").join(newest_file, F.col("key") == F.col("_key"), "left")
+    out = out.withColumn("file_path", F.coalesce("_stored", F.when(F.col("_name").isNull(), F.col("_newest")))).select(*rows.columns, "file_path")
+    return out.filter("file_path is not null") if require else out
+
+
+def stored_file(rows: DataFrame, files: DataFrame, known: DataFrame, suffix: str = PDF_FILE) -> DataFrame:
+    """(key, path) of the newest file with a suffix in folders that no attachment names: a fallback behind the tables.
+
+    `rows` holds the wanted keys; keys in `known` are deleted or inactive attachments and give nothing.
+    """
+    here = files.filter(F.lower("name").rlike(suffix)).join(rows.select("key").distinct(), "key", "left_semi").join(known.select("key"), "key", "left_anti")
+    return here.groupBy("key").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def newest_files(files: DataFrame, suffix: str = PDF_FILE, limit: int | None = None) -> DataFrame:
+    """One file of each folder, the newest; of these the newest `limit`."""
+    one = files.filter(F.lower("name").rlike(suffix)).groupBy("key").agg(F.max_by(F.struct("path", "name", "mtime"), F.struct("mtime", "path")).alias("f")).select("key", "f.*")
+    ordered = one.orderBy(F.col("mtime").desc(), "key")
+    return ordered.limit(limit) if limit else ordered
+
+
+def for_files(paths: DataFrame, rows: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """Attachments of given file paths: the first folder below the root is the key; unknown keys keep the path alone.
+
+    Paths that are no PDF, are outside the root or directly in it give nothing.
+    """
+    clean, base = F.translate(F.col(path), "\\", "/"), root.rstrip("/")
+    below = F.when(clean.startswith(f"{base}/"), F.substring(clean, len(base) + 2, 1 << 30))
+    wanted = paths.select(F.col(path).alias("file_path"), below.alias("_below")).filter(F.lower("file_path").rlike(PDF_FILE) & F.contains("_below", F.lit("/")))
+    return wanted.withColumn("key", F.substring_index("_below", "/", 1)).drop("_below").join(rows, "key", "left")
+
+
+def find_by_filename(wanted: DataFrame, recorded: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, key, origin) of the first attachment with a file name, but for case: recorded ones first, newest first.
+
+    `wanted` holds name and exclude (a key or null); `recorded` name, key and dateModified; `stored` name,
+    key and mtime of files in folders, of which those with a known key are left out.
+    """
+    fold = lambda df, rank, time: df.select(F.lower("name").alias("_name"), "key", F.lit(("library", "storage")[rank]).alias("origin"), F.struct(F.lit(rank).alias("r"), (-F.unix_timestamp(F.col(time).cast("timestamp"))).alias("t"), "key").alias("_order"))
+    both = fold(recorded, 0, "dateModified").unionByName(fold(stored.join(known.select("key"), "key", "left_anti"), 1, "mtime"))
+    found = wanted.withColumn("_name", F.lower("name")).join(both, "_name").filter(F.col("exclude").isNull() | (F.col("key") != F.col("exclude")))
+    return found.groupBy("name").agg(F.min_by(F.struct("key", "origin"), "_order").alias("f")).select("name", "f.key", "f.origin")
+
+
+# --- parents ---------------------------------------------------------------------------------------
+
+
+def parent_keys(rows: DataFrame, library: Library) -> DataFrame:
+    """Attachments with parent_key: their own, else that of their parent item."""
+    parents = library["items"].select(F.col("itemID").alias("_id"), F.col("key").alias("_parent"))
+    own = F.col("parentKey") if "parentKey" in rows.columns else F.lit(None).cast("string")
+    return rows.join(parents, F.col("parentItemID") == F.col("_id"), "left").withColumn("parent_key", F.coalesce(F.nullif(own, F.lit("")), "_parent")).drop("_id", "_parent")
+
+
+def parent_items(rows: DataFrame, library: Library, allow_standalone: bool = False) -> DataFrame:
+    """(key, item_key) and the hydrated item of each attachment: its live parent, or itself if it stands alone and that is allowed."""
+    wanted = parent_keys(rows, library).select("key", F.coalesce("parent_key", F.when(F.lit(allow_standalone), F.col("key"))).alias("item_key")).filter("item_key is not null")
+    items = live(library["items"].join(library["itemTypes"], "itemTypeID", "left"), library["deletedItems"]).withColumnRenamed("key", "item_key")
+    return wanted.join(hydrated(items, library), "item_key")
+
+
+def first_collection_keys(rows: DataFrame, library: Library) -> DataFrame:
+    """(key, collection_key) of the first collection by name, but for case, that holds an attachment or its parent."""
+    members = library["collectionItems"].join(library["collections"].withColumnRenamed("key", "collection_key"), "collectionID")
+    members = members.select("itemID", "collection_key", F.struct(F.lower("collectionName"), F.col("collectionID")).alias("_order"))
+    ids = rows.select("key", F.explode(F.array_compact(F.array("parentItemID", "itemID"))).alias("itemID"))
+    return ids.join(members, "itemID").groupBy("key").agg(F.min_by("collection_key", "_order").alias("collection_key"))
+
+
+def source_pages(library: Library) -> DataFrame:
+    """Attachments that hold a source page, with title and the parent's URL, DOI, archive fields and extra.
+
+    Each field is one pivot of all values and one join, where the storage layer would look up every cell.
+    """
+    maps = field_maps(library)
+    title = maps.select("itemID", F.coalesce(F.element_at("fields", "title"), F.lit("")).alias("title"))
+    names = {"url": "parent_url", "DOI": "parent_doi", "archiveID": "parent_archive_id", "archiveLocation": "parent_archive_location", "extra": "parent_extra"}
+    of_parent = maps.select(F.col("itemID").alias("parentItemID"), *[F.element_at("fields", f).alias(n) for f, n in names.items()])
+    rows = attachments(library).join(title, "itemID", "left").join(of_parent, "parentItemID", "left")
+    rows = rows.withColumns({"title": blank(F.col("title")), **{n: blank(F.col(n)) for n in names.values()}})
+    html = F.lower(blank(F.col("contentType"))).isin("text/html", "application/xhtml+xml")
+    return rows.filter(html & F.contains(F.upper(F.concat_ws(" ", F.col("title"), blank(F.col("path")))), F.lit("SOURCE HTML")))
+
+
+def data_folders(files: DataFrame, roots: Sequence[str], max_depth: int, database: str, path: str = "path") -> DataFrame:
+    """(folder, depth) of the data folders below the roots, up to a depth: those that hold the database, but none inside another one."""
+    found = files.filter(F.col(path).endswith(f"/{database}")).select(F.regexp_replace(path, "/[^/]+$", "").alias("folder")).distinct()
+    depths = []
+    for base in (root.rstrip("/") for root in roots):
+        inside = (F.col("folder") == base) | F.col("folder").startswith(base + "/")
+        depths.append(F.when(inside, F.size(F.split(F.substring(F.col("folder"), len(base) + 1, 1 << 30), "/")) - 1))
+    near = found.withColumn("depth", F.array_min(F.array_compact(F.array(*depths)))).filter(F.col("depth") <= max_depth)
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    nested = near.select("folder", F.explode(above).alias("_above")).join(near.select(F.col("folder").alias("_above")), "_above", "left_semi").select("folder").distinct()
+    return near.join(nested, "folder", "left_anti")
 
 
 def regular_items(library: Library, collection: str | None = None, keys: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import scratch
+
 
 def append_json(rows: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
@@ -36,11 +38,21 @@ def add_tombstones(deleted: DataFrame, keys: DataFrame, key: str = "itemID") ->
 def value_ids(values: DataFrame, dictionary: DataFrame, value: str = "value", number: str = "valueID") -> DataFrame:
     """The dictionary with numbers for new values, in order of the values.
 
-    New numbers follow the largest one; numbering sorts the new values only.
+    New numbers follow the largest one.  The new values are dealt out by range, written, and numbered within
+    their range; a range starts where the ranges before it end, so only one row a range is ordered in a
+    single task.
     """
+    spark = values.sparkSession
     new = values.select(value).filter(F.col(value).isNotNull()).distinct().join(dictionary, value, "left_anti")
+    path = scratch(spark, "new-values")
+    new.repartitionByRange(F.col(value)).select(value, F.spark_partition_id().alias("_range")).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     start = dictionary.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
-    numbered = new.select((F.row_number().over(Window.orderBy(value)) + start).cast("long").alias(number), value)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(value))
+    numbered = dealt.join(sizes, "_range").select((place + F.col("_before") + start).cast("long").alias(number), value)
     return dictionary.select(number, value).unionByName(numbered)
 
 

@@ -102,22 +102,6 @@ def html_best_of_5tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.best_download(accepted, "item", "page_id").select("item", "page_id")
 
 
-@query(
-    "web_kind_classifier",
-    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'arxiv_abs_page' WHEN contains(lower(html), 'ltx_document') THEN 'arxiv_latexml' WHEN contains(lower(html), 'pmc-article') THEN 'pmc_article'
-       WHEN contains(lower(html[:500000]), '<article') THEN 'generic_article' ELSE 'unknown' END AS kind FROM pages""",
-)
-def web_kind_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of each page: by its URL, then by marks, then by an article element."""
-    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://arxiv.org/abs/2101.0"), F.col("page_id"))).otherwise(F.col("url"))
-    low = F.lower("html")
-    kind = (
-        F.when(urls.is_preprint_landing(url), "arxiv_abs_page").when(F.contains(low, F.lit("ltx_document")), "arxiv_latexml").when(F.contains(low, F.lit("pmc-article")), "pmc_article")
-        .when(F.contains(F.substring(low, 1, 500_000), F.lit("<article")), "generic_article").otherwise("unknown")
-    )
-    return load(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
-
-
 @query(
     "unsafe_and_payload_counts",
     """SELECT page_id, len(regexp_extract_all(html, '(?i)<script\\b')) AS scripts, len(regexp_extract_all(html, '(?i)<style\\b')) AS styles, len(regexp_extract_all(html, '(?i)<(?:audio|video|iframe|object|embed)\\b')) AS active_media,

@@ -30,3 +30,4 @@ from . import page_queries  # noqa: E402, F401
 from . import stream_queries  # noqa: E402, F401
 from . import flow_queries  # noqa: E402, F401
 from . import state_queries  # noqa: E402, F401
+from . import audit_queries  # noqa: E402, F401

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.functions import publishers, results
+from quillstream.functions import kinds, publishers, results
 from quillstream.operators import figures
 
 
@@ -29,10 +29,15 @@ def test_publisher_pages():
 
 
 def test_page_kinds(spark):
-    rows = [("https://arxiv.org/abs/1", ""), ("https://x", '<div class="ltx_document">'), ("https://pmc.ncbi.nlm.nih.gov/articles/1", "<article>"), ("https://x", "<ARTICLE>"), ("https://x", "<p>")]
-    df = spark.createDataFrame(rows, "url string, html string")
-    got = [r[0] for r in df.select(publishers.page_kind(F.col("html"), F.col("url"))).collect()]
-    assert got == ["arxiv_abs_page", "arxiv_latexml", "pmc_article", "generic_article", "unknown"]
+    far = "x" * 600_000
+    rows = [
+        ("https://arxiv.org/abs/2101.00001v2", "", "arxiv_abs_page"), ("https://x", '<div class="ltx_page_main ltx_bibliography">', "arxiv_latexml"), ("https://arxiv.org/html/2101.00001", '<div class="ltx_page_main">', "arxiv_latexml"), ("https://x", '<div class="ltx_page_main">', "unknown"),
+        ("https://pmc.ncbi.nlm.nih.gov/articles/1", "<article>", "pmc_article"), ("https://x", "<ARTICLE>", "generic_article"), ("https://x", "<p>", "unknown"), ("https://x", far + "hlfld-fulltext", "taylor_francis_article"), ("https://x", far + "<article>", "unknown"),
+        ("https://x", "c-article-body" + far + "pmc-article", "springer_nature_article"), ("https://iopscience.iop.org/article/1/meta", "<article", "generic_article"), ("https://iopscience.iop.org/article/1", "", "iop_article"), (None, None, "unknown"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, html string, kind string")
+    got = [r[0] for r in df.orderBy("i").select(kinds.page_kind(F.col("html"), F.col("url"))).collect()]
+    assert got == [r[2] for r in rows]
 
 
 def test_contract():
