@@ -53,23 +53,27 @@ def _looked_up(table: dict[str, str], key: str) -> str:
 
 
 def _unescaping() -> str:
-    """SQL of a lambda that decodes the references of a text.
+    """SQL of a lambda that decodes the reference at the start of each piece behind an ampersand.
 
-    A text is cut at its ampersands; of each piece the reference at its start is decoded: a number, a name
-    with a semicolon, or the longest name that counts without one.  An array of one binds a name to a value.
+    That is a number, a name with a semicolon, or the longest name that counts without one.  There is one
+    lambda and none inside it: nested ones as arguments of a Python function do not get through Spark's planner.
     """
-    number = f"""transform(array(if(length(d) > 8, 1114112L, cast(conv(d, base, 10) AS bigint))), c ->
-        CASE WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN '\ufffd' WHEN c < 160 THEN coalesce({_looked_up(_ODD, "string(c)")}, decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'))
-             WHEN c BETWEEN 64976 AND 65007 OR c & 65534 = 65534 THEN '' ELSE decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END)[0]"""
-    digits = lambda group, base: "transform(array(regexp_replace(regexp_extract(r, " + _quoted(group) + f", 1), '^0+(?=.)', '')), d -> {number.replace('base', base)})[0]"
-    common = " ".join(f"WHEN r = '{n};' THEN {_quoted(html.entities.html5[n + ';'])}" for n in ("amp", "lt", "gt", "quot", "nbsp"))
-    longest = ", ".join(f"if(length(r) > {n}, concat({_looked_up(_BARE, f"left(r, {n})")}, substring(r, {n + 1})), NULL)" for n in range(max(map(len, _BARE)), 1, -1))
-    named = f"coalesce(if(r RLIKE '^[A-Za-z0-9]+;?$', {_looked_up(html.entities.html5, 'r')}, NULL), {longest}, concat('&', r))"
-    decoded = f"CASE WHEN r RLIKE '^#[0-9]' THEN {digits('^#([0-9]+)', '10')} WHEN r RLIKE '^#[xX][0-9a-fA-F]' THEN {digits('^#[xX]([0-9a-fA-F]+)', '16')} {common} ELSE {named} END"
-    start = _quoted(r"^(#\d+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
-    piece = f"p -> transform(array(regexp_extract(p, {start}, 1)), r -> concat({decoded}, substring(p, length(r) + 1)))[0]"
-    whole = f"transform(array(split(v, '&')), s -> concat(s[0], array_join(transform(slice(s, 2, greatest(size(s) - 1, 0)), {piece}), '')))[0]"
-    return f"v -> CASE WHEN contains(v, '&') THEN {whole} ELSE v END"
+    r = f"regexp_extract(p, {_quoted(r'^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'f <&#;]{1,32};?)')}, 1)"
+
+    def number(digits: str, base: int) -> str:
+        bare = f"regexp_replace(regexp_extract({r}, {_quoted(digits)}, 1), '^0+(?=.)', '')"
+        code = f"if(length({bare}) > 8, 1114112L, cast(conv({bare}, {base}, 10) AS bigint))"
+        char = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+        return (
+            f"CASE WHEN {code} >= 55296 AND {code} <= 57343 OR {code} > 1114111 THEN '\ufffd' WHEN {code} < 160 THEN coalesce({_looked_up(_ODD, f'string({code})')}, {char})"
+            f" WHEN {code} >= 64976 AND {code} <= 65007 OR {code} & 65534 = 65534 THEN '' ELSE {char} END"
+        )
+
+    common = " ".join(f"WHEN {r} = '{n};' THEN {_quoted(html.entities.html5[n + ';'])}" for n in ("amp", "lt", "gt", "quot", "nbsp"))
+    longest = ", ".join(f"if(length({r}) > {n}, concat({_looked_up(_BARE, f'left({r}, {n})')}, substring({r}, {n + 1})), NULL)" for n in range(max(map(len, _BARE)), 1, -1))
+    named = f"coalesce(if({r} RLIKE '^[A-Za-z0-9]+;?$', {_looked_up(html.entities.html5, r)}, NULL), {longest}, concat('&', {r}))"
+    decoded = f"CASE WHEN {r} = '' THEN '&' WHEN {r} RLIKE '^#[0-9]' THEN {number('^#([0-9]+)', 10)} WHEN {r} RLIKE '^#[xX]' THEN {number('^#[xX]([0-9a-fA-F]+)', 16)} {common} ELSE {named} END"
+    return f"(p, i) -> CASE WHEN i = 0 THEN p ELSE concat({decoded}, substring(p, length({r}) + 1)) END"
 
 
 _UNESCAPING = _unescaping()
@@ -82,8 +86,8 @@ def _parsed(context: SparkContext) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    """HTML character references decoded, as HTML5 has them; texts without an ampersand pass by."""
-    return F.get(F.call_function("transform", F.array(value), _parsed(SparkContext.getOrCreate())), F.lit(0))
+    """HTML character references decoded, as HTML5 has them; a text is cut at its ampersands."""
+    return F.array_join(F.call_function("transform", F.split(value, "&"), _parsed(SparkContext.getOrCreate())), "")
 
 
 @pandas_udf(T.StringType())
