@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,7 +26,6 @@ PDF_FINAL = (
     "attach_invalid_result", "download_artifact_changed", "download_invalid_result", "identity_invalid_result", "identity_mismatch", "item_not_found", "missing_doi", "missing_query", "non_pdf",
     "parent_already_has_pdf", "too_large", "unresolved", "unsafe_url",
 )
-CONFIG_ERRORS = ("WEB_API_NOT_CONFIGURED", "ZOTERO_API_KEY", "ZOTERO_USER_ID", "Parent item version is unavailable", "ZOTERO_RELAY_URL is required")
 RESERVED_NAMES = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
 
 
@@ -109,10 +109,10 @@ def pdf_identity(title: Column, text: Column, least_chars: int = 80, least_score
     )
 
 
-def is_final_error(message: Column) -> Column:
-    """Errors of configuration, which no retry mends."""
+def is_final_error(message: Column, marks: Sequence[str]) -> Column:
+    """Errors that no retry mends, by the marks of a configuration's errors."""
     found = F.lit(False)
-    for mark in CONFIG_ERRORS:
+    for mark in marks:
         found = found | F.contains(blank(message), F.lit(mark))
     return found
 

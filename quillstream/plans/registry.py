@@ -31,3 +31,5 @@ from . import stream_queries  # noqa: E402, F401
 from . import flow_queries  # noqa: E402, F401
 from . import state_queries  # noqa: E402, F401
 from . import audit_queries  # noqa: E402, F401
+from . import store_queries  # noqa: E402, F401
+from . import provider_queries  # noqa: E402, F401

@@ -30,7 +30,7 @@ def test_request_ladder(spark):
 def test_retry_rules(spark):
     assert one(spark, safety.pdf_retryable(F.lit("http_error"), F.lit(503))) and not one(spark, safety.pdf_retryable(F.lit("http_error"), F.lit(404))) and not one(spark, safety.pdf_retryable(F.lit("too_large"), F.lit(None).cast("int")))
     assert not one(spark, safety.browser_retryable(F.lit(" item_not_found "))) and one(spark, safety.browser_retryable(F.lit(None).cast("string")))
-    assert one(spark, safety.is_final_error(F.lit("no ZOTERO_API_KEY set"))) and one(spark, safety.blocked_reason(F.lit(403), F.lit("Just a moment"))) == "metadata_provider_blocked"
+    assert one(spark, safety.is_final_error(F.lit("no API_KEY set"), ["API_KEY"])) and one(spark, safety.blocked_reason(F.lit(403), F.lit("Just a moment"))) == "metadata_provider_blocked"
     now = F.lit("2020-01-01 00:00:00").cast("timestamp")
     assert [one(spark, safety.retry_seconds(F.lit(v), now)) for v in ("12", "Wed, 01 Jan 2020 00:01:00 GMT", "-5", "soon", "")] == [12.0, 60.0, 0.0, None, None]
 
