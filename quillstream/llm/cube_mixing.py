@@ -15,16 +15,18 @@ block.  All draws are keyed by seed, level, source and block: reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import word_count, written
+from .grouping import map_groups
 
 #: Documents in a block of the flight phase, about.
 BLOCK = 2000
@@ -163,22 +165,25 @@ def _spread(prob: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def _level(units: DataFrame, out: T.StructType, blocks: int, level: int, last: bool, seed: int) -> DataFrame:
     """One flight over hash blocks of the sources; at the last level also the landing."""
-
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}/{level}/{key[0]}/{key[1]}"))
-        count = rows["rows"].to_numpy(float)
-        tokens = rows["size"].to_numpy(float) * count
-        order = rng.permutation(len(rows))
-        prob = np.empty(len(rows))
-        start, count, tokens = rows["prob"].to_numpy(float)[order], count[order], tokens[order]
+    names = [f.name for f in out.fields]
+
+    def decide(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("size", "ascending")], null_placement="at_end"))
+        number, block = table.column("number")[0].as_py(), table.column("block")[0].as_py()
+        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}/{level}/{number}/{block}"))
+        count = table.column("rows").to_numpy().astype(float)
+        tokens = table.column("size").to_numpy().astype(float) * count
+        order = rng.permutation(table.num_rows)
+        prob = np.empty(table.num_rows)
+        start, count, tokens = table.column("prob").to_numpy()[order], count[order], tokens[order]
         if last:
             held = _spread(start, tokens)
             moved = flight(np.where(held, 0.0, start), count, tokens, rng)
             prob[order] = landing(np.where(held, start, moved), count, tokens, rng)
         else:
             prob[order] = flight(start, count, tokens, rng)
-        return rows.assign(prob=prob)[[f.name for f in out.fields]]
+        decided = table.set_column(table.column_names.index("prob"), "prob", pa.array(prob, pa.float64()))
+        yield from decided.select(names).combine_chunks().to_batches()
 
     block = F.pmod(F.xxhash64("id", "size", F.lit(level)), F.lit(blocks)).cast("int")
-    return units.withColumn("block", block).groupBy("number", "block").applyInPandas(lambda key, rows: decide(key, rows.drop(columns="block")), out)
+    return map_groups(units.select(*names).withColumn("block", block), ["number", "block"], decide, out)
