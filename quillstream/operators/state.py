@@ -1,7 +1,7 @@
 """State transitions of jobs, runs and problem documents: tables and commands in, new row versions and events out.
 
-A command names a job, an action and who asks.  All commands of a batch are applied by one join on the
-job: at most one command a job and batch, so a caller that has more applies them in rounds, by `rounds`.
+A command names a job, an action and who asks.  `transition` applies one command a job by a join, `replay`
+all commands of a batch in turn.
 Writes are fenced: a command of an owner that no longer holds the lease changes nothing and leaves an
 event.  Nothing here looks at the clock; `now` is a column, so a batch can be run again with equal results.
 
@@ -54,24 +54,21 @@ def later(now: Column, seconds: Column) -> Column:
     return now + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
-def transition(jobs: DataFrame, commands: DataFrame, now: Column, queue: Queue = METADATA) -> tuple[DataFrame, DataFrame]:
-    """The jobs after the commands, and the events (job_id, event, message, created_at) that they leave.
+def _applied(j: Callable[[str], Column], c: Callable[[str], Column], now: Column, queue: Queue) -> tuple[dict[str, Column], Column, Column]:
+    """What a command makes of a job: its new values, the event and the event's message.
 
-    Commands on unknown jobs change nothing and leave no event.
+    `j` and `c` give the columns of the job and of the command.
     """
-    wanted = commands.select("job_id", "action", *[(F.col(c) if c in commands.columns else _null(t)).cast(t).alias(c) for c, t in COMMAND.items()])
-    c = lambda name: F.col(f"c.{name}")
-    j = lambda name: F.col(f"j.{name}")
     action, is_ = c("action"), lambda *names: F.coalesce(c("action").isin(*names), F.lit(False))
     fenced = c("owner").isNotNull() | is_(*HELD)
     holds = (j("status") == "running") & (j("lease_owner") == F.trim(c("owner"))) & (j("leased_until") >= now) & (c("attempt").isNull() | (j("attempts") == c("attempt")))
-    spent = (j("max_attempts") > 0) & (j("attempts") >= j("max_attempts"))
-    done = (
+    spent = F.coalesce((j("max_attempts") > 0) & (j("attempts") >= j("max_attempts")), F.lit(False))
+    done = F.coalesce(
         F.when(is_(*ENDS, *HELD), ~fenced | F.coalesce(holds, F.lit(False)))
         .when(is_("retry"), j("status").isin(*queue.retried) & ~spent).when(is_("reset"), j("status").isin(*queue.retried))
-        .when(is_("cancel"), j("status").isin(*queue.cancelled)).otherwise(False)
+        .when(is_("cancel"), j("status").isin(*queue.cancelled)).otherwise(False),
+        F.lit(False),
     )
-    both = jobs.alias("j").join(wanted.alias("c"), "job_id", "left").withColumn("_done", F.coalesce(done, F.lit(False))).withColumn("_spent", F.coalesce(spent, F.lit(False)))
     ends, again = is_(*ENDS), is_("retry", "reset")
     status = (
         F.when(is_("succeed"), "succeeded").when(is_("skip"), "skipped").when(is_("fail"), failed_status(F.coalesce(c("retryable"), F.lit(False)), j("attempts"), j("max_attempts")))
@@ -91,25 +88,64 @@ def transition(jobs: DataFrame, commands: DataFrame, now: Column, queue: Queue =
         "output_path": F.when(is_("succeed"), F.coalesce(c("output_path"), j("output_path"))).otherwise(j("output_path")),
         "relay_status": relayed, "relay_result": F.when(is_("succeed", "fail", "defer"), c("relay_result")).when(~again, j("relay_result")), "updated_at": now,
     }
-    kept = {name: F.when(F.col("_done"), value).otherwise(j(name)) for name, value in changes.items() if name in jobs.columns}
-    stale = F.when(is_(*ENDS), "stale_completion_discarded").when(is_("progress"), "stale_progress_discarded").when(is_("retry") & F.col("_spent"), "retry_rejected_exhausted")
+    stale = F.when(is_(*ENDS), "stale_completion_discarded").when(is_("progress"), "stale_progress_discarded").when(is_("retry") & spent, "retry_rejected_exhausted")
     event = (
-        F.when(~F.col("_done"), stale).when(ends | is_("cancel"), F.when(is_("cancel"), "cancelled").otherwise(status)).when(is_("retry"), "retry")
+        F.when(~done, stale).when(is_("cancel"), "cancelled").when(ends, status).when(is_("retry"), "retry")
         .when(is_("reset"), "retry_generation_reset").when(is_("progress"), "progress")
     )
+    discarded = F.concat(F.lit(f"Stale {queue.name} job update was discarded: "), F.coalesce(F.concat(F.trim(c("owner")), F.lit(" does not hold the lease.")), F.lit("no lease.")))
     message = (
-        F.when(event.startswith("stale"), F.concat(F.lit(f"Stale {queue.name} job update was discarded: "), F.coalesce(F.concat(F.trim(c("owner")), F.lit(" does not hold the lease.")), F.lit("no lease."))))
-        .when(event == "retry_rejected_exhausted", "The attempt budget is exhausted; a reset starts a new generation.").when(event == "retry", "Returned to queue.")
-        .when(event == "retry_generation_reset", "Started a new retry generation.").when(event == "cancelled", "Cancelled.").otherwise(c("message"))
+        F.when(~done & (ends | is_("progress")), discarded).when(~done, "The attempt budget is exhausted; a reset starts a new generation.").when(is_("retry"), "Returned to queue.")
+        .when(is_("reset"), "Started a new retry generation.").when(is_("cancel"), "Cancelled.").otherwise(c("message"))
     )
-    after = both.select(*[kept.get(name, F.col("job_id") if name == "job_id" else j(name)).alias(name) for name in jobs.columns])
+    return {name: F.when(done, value).otherwise(j(name)) for name, value in changes.items()}, event, message
+
+
+def _asked(commands: DataFrame, *more: str) -> DataFrame:
+    """Commands with all their columns, missing ones as null."""
+    return commands.select("job_id", "action", *[(F.col(c) if c in commands.columns else _null(t)).cast(t).alias(c) for c, t in COMMAND.items()], *more)
+
+
+def transition(jobs: DataFrame, commands: DataFrame, now: Column, queue: Queue = METADATA) -> tuple[DataFrame, DataFrame]:
+    """The jobs after one command each, and the events (job_id, event, message, created_at) that they leave.
+
+    Commands on unknown jobs change nothing and leave no event.
+    """
+    absent = lambda name: F.col(f"j.{name}") if name in jobs.columns else _null(STATE[name])
+    values, event, message = _applied(absent, lambda name: F.col(f"c.{name}"), now, queue)
+    both = jobs.alias("j").join(_asked(commands).alias("c"), "job_id", "left")
+    after = both.select(*[F.col("job_id") if name == "job_id" else values.get(name, F.col(f"j.{name}")).alias(name) for name in jobs.columns])
     events = both.select("job_id", event.alias("event"), message.alias("message"), now.alias("created_at")).filter("event is not null")
     return after, events
 
 
-def rounds(commands: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds `round`, the place of a command among those of its job: each round can be one `transition`."""
-    return commands.withColumn("round", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
+STATE = {
+    "status": "string", "phase": "string", "attempts": "int", "max_attempts": "int", "lease_owner": "string", "leased_until": "timestamp_ntz", "last_error": "string", "result_json": "string",
+    "output_path": "string", "relay_status": "string", "relay_result": "string", "updated_at": "timestamp_ntz",
+}
+
+
+def replay(jobs: DataFrame, commands: DataFrame, now: Column, order: str, queue: Queue = METADATA) -> tuple[DataFrame, DataFrame]:
+    """The jobs after all of their commands in turn, and the events: one join, and one fold over each job's commands.
+
+    The commands of a job come together in one row, so a call takes the commands of a batch, not a history.
+    """
+    fields = [name for name in STATE if name in jobs.columns]
+    kinds = {name: jobs.schema[name].dataType.simpleString() if name in fields else kind for name, kind in STATE.items()}
+    wanted = _asked(commands, order).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), "action", *COMMAND))).alias("_commands"))
+    both = jobs.join(wanted, "job_id", "left")
+    entry = "struct<event:string,message:string>"
+    start = F.struct(*[(F.col(name) if name in fields else _null(kinds[name])).alias(name) for name in STATE], F.array().cast(f"array<{entry}>").alias("events"))
+
+    def one(s: Column, c: Column) -> Column:
+        values, event, message = _applied(lambda name: s[name], lambda name: c[name], now, queue)
+        new = F.when(event.isNotNull(), F.array(F.struct(event.alias("event"), message.alias("message")))).otherwise(F.array().cast(f"array<{entry}>"))
+        return F.struct(*[values.get(name, s[name]).cast(kinds[name]).alias(name) for name in STATE], F.concat(s["events"], new).alias("events"))
+
+    folded = both.withColumn("_s", F.when(F.col("_commands").isNotNull(), F.aggregate("_commands", start, one)))
+    after = folded.select(*[(F.when(F.col("_s").isNotNull(), F.col(f"_s.{name}")).otherwise(F.col(name)) if name in fields else F.col(name)).alias(name) for name in jobs.columns])
+    events = folded.select("job_id", F.posexplode("_s.events").alias("_n", "_e")).select("job_id", "_e.event", "_e.message", now.alias("created_at"))
+    return after, events
 
 
 def lease(jobs: DataFrame, now: Column, owner: str, seconds: int, per: str = "job_type", count: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,16 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def replayed(spark: SparkSession, rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """A table as a stream of so many micro-batches, in its order: each range of the order is a folder of its own."""
+    path = scratch(spark, "replay")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = (high - low) // parts + 1 if low is not None else 1
+    for i in range(parts):  # one write after the other, as a file stream goes by the time of its files
+        rows.filter((F.col(order) >= (low or 0) + i * width) & (F.col(order) < (low or 0) + (i + 1) * width)).coalesce(1).write.parquet(f"{path}/part={i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+
+
 def enqueue(jobs: DataFrame, key: str = "dedupe_key", at: str = "ts", late: str = "365 days") -> DataFrame:
     """The first job of each key; state is dropped once the watermark has passed it."""
     return jobs.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
@@ -92,3 +102,10 @@ def drain(stream: DataFrame, mode: str = "append", apply: Callable[[DataFrame, i
         rows = spark.read.parquet(out)
         return rows.filter(F.col("batch") == last[-1]).drop("batch") if mode == "complete" else rows
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def latest_of(updates: DataFrame, key: str) -> DataFrame:
+    """The last row of each key among the batches of a drained update stream."""
+    columns = [c for c in updates.columns if c not in (key, "batch")]
+    last = updates.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("row"))
+    return last.select(key, "row.*")
