@@ -123,7 +123,7 @@ def article_reason(title_ok: Column, profile: Column, least: Column | None = Non
 
 def attribute_values(page: Column, tag: str, attribute: str) -> Column:
     """All values of an attribute of an element, in page order."""
-    return F.regexp_extract_all(blank(page), F.lit(rf"(?is)<{tag}\b[^>]*?\b{attribute}\s*=\s*([\"'])(.*?)\1"), F.lit(2))
+    return F.regexp_extract_all(blank(page), F.lit(rf"(?is)<{tag}\b[^>]*?(?<![\w:-]){attribute}\s*=\s*([\"'])(.*?)\1"), F.lit(2))
 
 
 # Elements whose attribute names a resource.
