@@ -101,15 +101,23 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         release(start)  # the round before
 
 
-def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarray], Forest], payload: Sequence[str], chunk_rows: int, chunk_bytes: int = 32 << 20, pivots: int = 64) -> DataFrame:
+#: Chunks of stragglers from which on a group is dealt out by finer keys.
+CROWDED = 32
+
+
+def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarray], Forest], payload: Sequence[str], chunk_rows: int, chunk_bytes: int = 32 << 20, pivots: int = 64, finer: DataFrame | None = None, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) that give the components of "similar and in one group", without emitting all pairs.
 
-    `rows` holds group, id, bytes and the payload columns, a written table.  `link(table, comp, probe)`
-    looks at the rows of one chunk: with no probe rows at all pairs whose `comp` differ, else at pairs of a
-    probe row with any row.  A group that fits a chunk is compared whole.  A larger one is dealt into
-    chunks by hash, each with the same few pivots, which joins what is alike across chunks; then the rows
-    outside the largest component of their group are compared with every chunk, so no link between
-    components is missed and no task holds more than two chunks.
+    `rows` holds group, id, bytes and the payload columns, a written table, and comp if some rows are known
+    to be linked.  `link(table, comp, probe)` looks at the rows of one chunk: with no probe rows at all pairs
+    whose `comp` differ, else at pairs of a probe row with any row.  A group that fits a chunk is compared
+    whole.  A larger one is dealt into chunks by hash, each with the same few pivots, which joins what is
+    alike across chunks; then the rows outside the largest component of their group are compared with every
+    chunk, so no link between components is missed and no task holds more than two chunks.
+
+    Where such stragglers fill more than `crowded` chunks, as many unlike texts with a common part do, comparing
+    each with all is left out: `finer` (id, keys) deals the rows of such a group out once more by further
+    keys, of which similar rows share one but for a stated probability, and these groups are worked alike.
     """
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
     sizes = sizes.select("group", "n", F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("total") / chunk_bytes)).cast("int").alias("chunks"))
@@ -124,7 +132,8 @@ def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarra
     def compare(chosen: DataFrame, keys: list[str]) -> DataFrame:
         return map_groups(chosen.select(*keys, "id", *payload, *extra), keys, each, EDGES)
 
-    base = rows.join(sizes, "group").withColumns({"comp": F.col("id"), "probe": F.lit(False)})
+    known = F.col("comp") if "comp" in rows.columns else F.col("id")
+    base = rows.join(sizes, "group").withColumns({"comp": known, "probe": F.lit(False)})
     found = compare(base.filter("chunks = 1"), ["group"])
     large = sizes.filter("chunks > 1")
     if large.isEmpty():
@@ -135,16 +144,31 @@ def link_groups(rows: DataFrame, link: Callable[[pa.Table, np.ndarray, np.ndarra
     chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(F.lit(1), F.floor(F.col("n") / pivots))) == 0
     lead = spread(own.filter(chosen).withColumnRenamed("chunk", "home"), "chunks").filter("chunk <> home").drop("home")
     first = written(compare(own.unionByName(lead), ["group", "chunk"]), "links")
-    comp = components(first)
+    before = own.select(F.col("id").alias("a"), F.col("comp").alias("b")).filter("a <> b")
+    comp = components(first.unionByName(before))
     placed = own.drop("comp").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     placed = written(placed, "group-placed")
     most = placed.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("giant"))
     rest = written(placed.join(written(most, "giants"), "group").filter("comp <> giant").drop("giant"), "stragglers")
+    found = found.unionByName(first)
     if rest.isEmpty():
-        return found.unionByName(first)
+        return found
     parts = rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("parts"))
     parts = written(parts, "parts")
+    if finer is not None:
+        full, parts = parts.filter(F.col("parts") > crowded).select("group"), parts.filter(F.col("parts") <= crowded)
+        if not full.isEmpty():
+            found = found.unionByName(_dealt_finer(placed, rest, full, finer, link, payload, chunk_rows, chunk_bytes, pivots))
     probes = spread(rest.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("id", F.lit(13)), F.col("parts")).cast("int")).drop("chunk"), "chunks").withColumn("probe", F.lit(True))
     hosts = placed.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    last = compare(hosts.unionByName(probes), ["group", "chunk", "part"])
-    return found.unionByName(first).unionByName(last)
+    return found.unionByName(compare(hosts.unionByName(probes), ["group", "chunk", "part"]))
+
+
+def _dealt_finer(placed: DataFrame, rest: DataFrame, full: DataFrame, finer: DataFrame, link: Callable, payload: Sequence[str], chunk_rows: int, chunk_bytes: int, pivots: int) -> DataFrame:
+    """Links among the rows of crowded groups that share a finer key; groups without a straggler, or of one component, are passed over."""
+    marked = placed.join(full, "group").join(rest.select("group", "id", F.lit(True).alias("late")), ["group", "id"], "left")
+    keyed = marked.join(finer, "id").select(F.explode(F.transform("keys", lambda x: F.xxhash64("group", x))).alias("finer"), "id", "comp", "bytes", "late", *payload)
+    keyed = written(keyed, "finer-rows")
+    worth = keyed.groupBy("finer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(F.coalesce("late", F.lit(False))).alias("some")).filter("lo < hi and some").select("finer")
+    rows = keyed.join(written(worth, "finer-groups"), "finer").select(F.col("finer").alias("group"), "id", "comp", "bytes", *payload)
+    return link_groups(written(rows, "finer-chosen"), link, payload, chunk_rows, chunk_bytes, pivots)

@@ -9,7 +9,9 @@ sets decide every link.
 
 Texts with equal sets are one class from the start, so exact copies never meet in a bucket.  Buckets and
 clusters of any size are worked in bounded chunks (`grouping.link_groups`); links between texts that are
-in one component already need no test, so a large group of near copies costs about one test a text.
+in one component already need no test, so a large group of near copies costs about one test a text.  A
+bucket with very many texts that are not alike (a common part that fills a band) is dealt out once more by
+bands of the samples that the first bands leave: it would take time in proportion to its square.
 """
 
 from __future__ import annotations
@@ -118,28 +120,29 @@ def estimate(differing_bits: int) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (16 bytes; null for an empty set), sketch (bytes) and bands of every text."""
+    """id, n_shingles, set_key (16 bytes; null for an empty set), sketch (bytes), bands and finer bands of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                counts, keys, sketches, bands = [], [], [], []
+                counts, keys, sketches, bands, finer = [], [], [], [], []
                 for text in part.column("text"):
                     found = shingles(text.as_py())
                     counts.append(len(found))
                     if not len(found):
-                        keys.append(None), sketches.append(None), bands.append(None)
+                        keys.append(None), sketches.append(None), bands.append(None), finer.append(None)
                         continue
                     samples = minhash(found)
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     sketches.append(odd_sketch(samples).tobytes())
                     bands.append(band_keys(samples))
+                    finer.append(band_keys(samples[BANDS * ROWS :]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "set_key", "sketch", "bands"],
+                    [part.column("id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(finer, pa.list_(pa.int64()))],
+                    names=["id", "n_shingles", "set_key", "sketch", "bands", "finer"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, sketch binary, bands array<long>, finer array<long>")
 
 
 def _by_sketch(most: int):
@@ -199,13 +202,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = written(signatures(docs, id_col, text_col), "signatures")
     usable = signed.filter("set_key is not null and id is not null")
-    classes = written(usable.groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "classes")
+    classes = written(usable.groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), F.any_value("finer").alias("finer")), "classes")
     keyed = classes.select("id", F.explode("bands").alias("group"))
     shared = written(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"), "buckets")
     rows = keyed.join(shared, "group").join(classes.select("id", "sketch"), "id").select("group", "id", "sketch", F.lit(SKETCH_BITS // 8).alias("bytes"))
     rows = written(rows, "bucket-rows")
     most = most_differing_bits(percent / 100)
-    clusters = written(components(link_groups(rows, _by_sketch(most), ["sketch"], chunk_rows=2048)), "clusters")
+    clusters = written(components(link_groups(rows, _by_sketch(most), ["sketch"], chunk_rows=2048, finer=classes.select("id", F.col("finer").alias("keys")))), "clusters")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     members = clusters.select(F.col("node").alias("id"), F.col("root").alias("group")).join(classes.select("id", "sketch"), "id")
     members = texts.join(members, "id").select("group", "id", "text", "sketch", F.octet_length("text").alias("bytes"))

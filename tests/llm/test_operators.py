@@ -18,7 +18,7 @@ from quillstream.llm.html_blocks import main_text
 from quillstream.llm import imatch
 from quillstream.llm.imatch import edited_fingerprints, lexicon
 from quillstream.llm.language_spans import SWITCH, Model, WordScores, held_out, identify, lowered, train, viterbi, words_of
-from quillstream.llm.odd_sketch import _by_sets, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
+from quillstream.llm.odd_sketch import BANDS, ROWS, _by_sets, band_keys, estimate, minhash, most_differing_bits, near_duplicates, odd_sketch, shingles
 from quillstream.llm.queries import QUERIES, model_file
 from quillstream.llm.rp_forest import SPILL, TREES, fit_tree, leaves, near_vectors, unit
 from quillstream.llm.sentencepiece_bpe import PrefixTableEncoder, encoder
@@ -269,6 +269,34 @@ def test_large_groups_are_worked_in_chunks(spark):
     assert [roots.get(i, i) for i in ids] == label
 
 
+def test_crowded_groups_are_dealt_finer(spark):
+    """Many unlike texts with a common part, some of them near copies of each other: with finer keys and without."""
+    rng = random.Random(9)
+    common_part = [f"c{i}" for i in range(30)]
+    texts = []
+    for i in range(240):
+        own = [f"t{i}w{j}" for j in range(60)]
+        texts.append(" ".join(common_part + own))
+        if i % 12 == 0:
+            for _ in range(3):
+                near = list(own)
+                near[rng.randrange(60)] = f"edit{rng.randrange(10**6)}"
+                texts.append(" ".join(common_part + near))
+    rng.shuffle(texts)
+    rows, keys = [], []
+    for i, t in enumerate(texts):
+        samples = minhash(shingles(t))
+        rows.append((1, i, bytearray(odd_sketch(samples).tobytes()), t, len(t)))
+        keys.append((i, [int(x) for x in band_keys(samples[BANDS * ROWS :])]))
+    df = common.written(spark.createDataFrame(rows, "group long, id long, sketch binary, text string, bytes long"), "test")
+    finer = common.written(spark.createDataFrame(keys, "id long, keys array<long>"), "test")
+    _, label = brute_components(texts)
+    assert len(set(label)) == 240
+    for more in ({"finer": finer, "crowded": 3}, {"finer": finer}, {}):
+        roots = {r["node"]: r["root"] for r in components(link_groups(df, _by_sets(75, 512), ["text", "sketch"], chunk_rows=20, pivots=2, **more)).collect()}
+        assert [roots.get(i, i) for i in range(len(texts))] == label
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
