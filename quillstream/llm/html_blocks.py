@@ -29,7 +29,7 @@ STOP_WORDS = frozenset(
 )
 # Elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math canvas object audio video select".split())
+RAW_TEXT = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg canvas object audio video select annotation annotation-xml".split())
 DROPPED = frozenset("head nav footer aside form menu dialog button fieldset datalist map".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import common
 from quillstream.llm.cube_mixing import flight, landing, mix, source_targets
 from quillstream.llm.grouping import components, link_groups
-from quillstream.llm.html_blocks import main_text
+from quillstream.llm.html_blocks import Block, main_text, second_labels
 from quillstream.llm import imatch
 from quillstream.llm.imatch import edited_fingerprints, lexicon
 from quillstream.llm.language_spans import SWITCH, Model, WordScores, held_out, identify, lowered, train, viterbi, words_of
@@ -211,6 +211,38 @@ def test_discussions_longer_than_the_article_are_dropped():
         assert main_text(page) == (good * 3).strip()
 
 
+def test_formulas_stay_in_the_text():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation encoding='application/x-tex'>a+b</annotation></math> is there.</p></article>"
+    assert main_text(page) == "The sum a+b is there."
+
+
+def test_second_pass_equals_brute_force():
+    """Every ambiguous block against all decided ones by distance."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        n = rng.randrange(1, 12)
+        found = [Block("x", 0, rng.random() < 0.2, rng.random() < 0.3) for _ in range(n)]
+        labels = [rng.choice(("good", "bad", "near", "short")) for _ in range(n)]
+        expected = []
+        for i, label in enumerate(labels):
+            decided = sorted((abs(i - j), j < i, j) for j in range(n) if labels[j] in ("good", "bad"))
+            sides = {before: next((j for _, b, j in decided if b == before), None) for before in (True, False)}
+            near = [j for j in sides.values() if j is not None and (not found[i].in_article or found[j].in_article)]
+            if label in ("good", "bad"):
+                expected.append(label == "good")
+            elif "good" not in labels or not near:
+                expected.append(label == "near" or found[i].in_article or "good" not in labels and "near" not in labels)
+            elif len({labels[j] for j in near}) == 1:
+                expected.append(labels[near[0]] == "good" or label == "near" and found[i].in_article)
+            elif found[i].heading:
+                expected.append(labels[sides[False]] == "good")
+            elif i - sides[True] == sides[False] - i:
+                expected.append(label == "near" or found[i].in_article)
+            else:
+                expected.append(labels[min(near, key=lambda j: abs(i - j))] == "good")
+        assert second_labels(found, labels) == expected
+
+
 @pytest.mark.parametrize("page", ['<a title="' * 20000, "<b>" * 20000 + "x" + "</i>" * 20000, "<" * 50000, "<script>" * 20000, "<!--" * 20000, "&amp" * 20000])
 def test_hostile_pages_end(page):
     assert isinstance(main_text(page), str)
@@ -418,6 +450,48 @@ def test_mix_meets_its_targets_and_agrees(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
 
 
+def duck(sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    return con
+
+
+def test_mix_sizes_and_targets_equal_sql(spark, sf_dir):
+    """size and source_size by SQL; targets by raising the water level step by step."""
+    rows = {r["doc_id"]: r for r in QUERIES["op5_cube_mixing"](spark, sf_dir).collect()}
+    words = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
+    found = duck(sf_dir).sql(f"SELECT doc_id, source, {words} AS size, sum({words}) OVER (PARTITION BY source) AS total FROM documents").fetchall()
+    assert {(d, n, t) for d, _, n, t in found} == {(r["doc_id"], r["size"], r["source_size"]) for r in rows.values()}
+    totals = {s: t for _, s, _, t in found}
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, target = 1.5 * sum(totals.values()), dict.fromkeys(names, 0.0)
+    while left > 1e-6:
+        open_ = [s for s in names if target[s] < 2 * totals[s] - 1e-9]
+        step = min([(2 * totals[s] - target[s]) / weights[s] for s in open_] + [left / sum(weights[s] for s in open_)])
+        for s in open_:
+            target[s] += step * weights[s]
+            left -= step * weights[s]
+    assert all(abs(r["target"] - target[r["source"]]) < 1e-3 for r in rows.values())
+
+
+def test_plain_columns_equal_sql(spark, sf_dir):
+    """held_out of the language query, n_chars of the fingerprints, n_shingles of short texts."""
+    con = duck(sf_dir)
+    import binascii
+
+    ids = [r[0] for r in con.sql("SELECT doc_id FROM documents").fetchall()]
+    held = {r["doc_id"]: r["held_out"] for r in QUERIES["op4_language_id"](spark, sf_dir).collect()}
+    assert held == {i: binascii.crc32(str(i).encode()) % 4 == 2 for i in ids}
+    chars = {r["doc_id"]: r["n_chars"] for r in QUERIES["op8_imatch"](spark, sf_dir).collect()}
+    assert chars == dict(con.sql("SELECT doc_id, length(coalesce(text, '')) FROM documents").fetchall())
+    sql = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)
+             SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]))) END FROM w"""
+    assert {r["doc_id"]: r["n_shingles"] for r in QUERIES["op3_odd_sketch"](spark, sf_dir).collect()} == dict(con.sql(sql).fetchall())
+
+
 # --- personal data -------------------------------------------------------------------------------
 
 TEXT = 'Write to Bo.Bst.42@Mail8.example.com or bo.bst.42@mail8.example.com, 152.143.123.131, 4111 1111 1111 1111, +1 (988) 555-2485, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", DE89 3704 0044 0532 0130 00. Mr. John Smith and Mrs Mary Jones; Frau Müller; Госпожа Иванова.'
