@@ -38,8 +38,9 @@ from .grouping import components, map_groups
 SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 TREES = 12
 LEAF = 256
-#: Half-width of the spill zone around a split, in units of vectors of length 1.
-SPILL = 0.012
+#: Half-width of the spill zone around a split, as a share of a random projection's deviation, which is one
+#: over the root of the dimensions for vectors of length 1: so copies and recall hardly depend on them.
+SPILL = 0.1
 #: Sample vectors that make a dense ball, at least.
 BALL = 32
 #: A vector is in a loose group if its cosine to the centre is at least the threshold to this power.
@@ -262,7 +263,7 @@ def _forest(classes: DataFrame, size: int, rows: int, threshold: float, trees: i
             inside = np.flatnonzero(group >= 0)
             keys = np.array([group_key(g) for g in range(len(groups))], dtype=np.int64)
             found = [(inside, keys[group[inside]])]  # before all trees
-            found += [leaves(tree, t, vectors, SPILL) for t, tree in enumerate(forest)]
+            found += [leaves(tree, t, vectors, SPILL / np.sqrt(size)) for t, tree in enumerate(forest)]
             row = np.concatenate([r for r, _ in found])
             key = np.concatenate([k for _, k in found])
             tree = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])

@@ -778,26 +778,25 @@ def test_links_of_a_loose_group_are_whole(spark):
     assert {r["component_id"] for r in got[:5000]} == {0} and not any(r["n_links"] for r in got[5000:])
 
 
-@pytest.mark.parametrize("rows", [10**5, 10**8])
-def test_linked_pairs_share_a_leaf_in_large_tables(rows):
+@pytest.mark.parametrize("size, rows, least", [(64, 10**5, 0.99), (64, 10**8, 0.99), (8, 10**8, 0.95), (256, 10**8, 0.98)])
+def test_linked_pairs_share_a_leaf_in_large_tables(size, rows, least):
     """Share of pairs at the threshold that meet in a leaf of a forest fitted for so many rows."""
     rng = np.random.default_rng(13)
-    size, pairs = 64, 400
+    pairs = 300
     sample = unit(rng.standard_normal((20_000, size)))
     a = unit(rng.standard_normal((pairs, size)))
     side = rng.standard_normal((pairs, size))
     side -= (side * a).sum(axis=1, keepdims=True) * a
-    b = 0.955 * a + np.sqrt(1 - 0.955**2) * unit(side)
+    b = 0.952 * a + np.sqrt(1 - 0.952**2) * unit(side)
     met, copies = np.zeros(pairs, dtype=bool), 0
     for t in range(TREES):
-        row, key = leaves(fit_tree(sample, rows, 5000 + t), t, np.concatenate([a, b]), SPILL)
+        row, key = leaves(fit_tree(sample, rows, 5000 + t), t, np.concatenate([a, b]), SPILL / np.sqrt(size))
         copies += len(row)
         held = collections.defaultdict(set)
         for r, k in zip(row, key):
             held[r].add(k)
         met |= np.array([not held[i].isdisjoint(held[i + pairs]) for i in range(pairs)])
-    print(rows, met.mean(), copies / (2 * pairs))
-    assert met.mean() >= (0.99 if rows < 10**6 else 0.9)
+    assert met.mean() >= least and copies / (2 * pairs * TREES) < 8
 
 
 # --- pipeline ------------------------------------------------------------------------------------
