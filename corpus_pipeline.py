@@ -47,7 +47,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = common.written(near_duplicates(docs), "near-duplicates")
     ids = common.written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("kept").alias("_kept")), "ids")
-    stays = docs.join(ids.filter("not _kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # The ids that go are a share of all, so they are merged and not sent to every task, whatever the size.
+    stays = docs.join(ids.filter("not _kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
     repeated = ids.filter("_n > 1 and _kept").select("doc_id")
     if repeated.isEmpty():
         return stays
