@@ -19,6 +19,12 @@ ARTICLE_MARKERS = (
     ("arxiv_ltx_document", r"\bltx_document\b"), ("arxiv_ltx_abstract", r"\bltx_abstract\b"), ("arxiv_ltx_bibliography", r"\bltx_bibliography\b"),
     ("arxiv_html", "arxiv[^\"'>]{0,40}html"),
 )
+#: What a text must hold for a marker's pattern to fit: a plain search that passes over most patterns.
+NEEDLES = {
+    "article_tag": "<article", "citation_title": "citation_title", "og_article": "og:type", "schema_article": "@type", "fulltext": "full", "figures": "figure", "article_body": "article", "pmc_article": "pmc-article",
+    "arxiv_ltx_document": "ltx_document", "arxiv_ltx_abstract": "ltx_abstract", "arxiv_ltx_bibliography": "ltx_bibliography", "arxiv_html": "arxiv", "methods": "methods", "results": "results", "discussion": "discussion",
+    "conclusion": "conclusion", "abstract": "abstract", "references": "references",
+}
 SECTION_MARKERS = (
     ("abstract", r"\babstract\b"), ("methods", r"\b(methods|materials and methods)\b"), ("results", r"\bresults\b"),
     ("discussion", r"\bdiscussion\b"), ("conclusion", r"\bconclusions?\b"), ("references", r"\breferences\b"),
@@ -52,7 +58,7 @@ def without_payloads(page: Column) -> Column:
 def markers(text: Column, table: tuple[tuple[str, str], ...], lowered: bool = False) -> Column:
     """Names of the patterns that a text shows, in the table's order; `lowered` texts are in lower case already."""
     low = text if lowered else F.lower(blank(text))
-    return F.array_compact(F.array(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in table]))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(NEEDLES[name])) & low.rlike(pattern), F.lit(name)) for name, pattern in table]))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -64,9 +70,14 @@ def is_challenge(title: Column, text: Column) -> Column:
     return _any(F.lower(F.concat_ws("\n", title, F.substring(text, 1, 5000))), CHALLENGES)
 
 
-def is_preview(title: Column, text: Column) -> Column:
-    whole = F.lower(F.concat_ws("\n", title, text))
-    return F.contains(whole, F.lit(PREVIEW)) | (F.contains(whole, F.lit("access this chapter")) & _any(whole, CHAPTER))
+def is_preview(title: Column, text: Column, lowered: bool = False) -> Column:
+    """Whether a page only previews its article; `lowered` texts are in lower case already."""
+    whole = (F.lower(title), text) if lowered else (F.lower(title), F.lower(text))
+    has = lambda mark: F.contains(whole[0], F.lit(mark)) | F.contains(whole[1], F.lit(mark))
+    offered = has(CHAPTER[0])
+    for mark in CHAPTER[1:]:
+        offered = offered | has(mark)
+    return has(PREVIEW) | (has("access this chapter") & offered)
 
 
 def is_access_title(title: Column) -> Column:
@@ -98,7 +109,7 @@ def has_body(found: Column, sections: Column, profile: Column) -> Column:
 
 
 def with_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add title, text, text_chars, markers, section_markers, image_count and link_count."""
+    """Add title, text, text_chars, markers, section_markers, challenge, preview, image_count and link_count."""
     # Each step is a projection of its own: lower-casing and tag stripping run once for all patterns.
     out = pages.withColumns({"_low": F.lower(blank(F.col(html_col))), "title": page_title(F.col(html_col)), "text": visible_text(F.col(html_col))})
     out = out.withColumn("_low_text", F.lower("text"))
@@ -106,6 +117,7 @@ def with_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.withColumns(
         {
             "text_chars": F.length("text").cast("long"), "markers": markers(low, ARTICLE_MARKERS, True), "section_markers": markers(F.col("_low_text"), SECTION_MARKERS, True),
+            "challenge": is_challenge(F.col("title"), F.col("text")), "preview": is_preview(F.col("title"), F.col("_low_text"), True),
             "image_count": F.regexp_count(low, F.lit(r"<img\b")).cast("long"), "link_count": F.regexp_count(low, F.lit(r"\bhref\s*=")).cast("long"),
         }
     ).drop("_low", "_low_text")
@@ -113,9 +125,9 @@ def with_features(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def article_reason(title_ok: Column, profile: Column, least: Column | None = None) -> Column:
     """The verdict over the columns of `with_features`: article_html, or the first reason against it."""
-    title, text, found, sections = (F.col(c) for c in ("title", "text", "markers", "section_markers"))
+    found, sections = F.col("markers"), F.col("section_markers")
     return (
-        F.when(is_challenge(title, text), "challenge_page").when(is_preview(title, text), "limited_access_preview").when(~title_ok, "title_mismatch")
+        F.when(F.col("challenge"), "challenge_page").when(F.col("preview"), "limited_access_preview").when(~title_ok, "title_mismatch")
         .when(F.col("text_chars") < (least_chars(profile) if least is None else least), "short_text").when(~has_structure(found, profile), "article_structure_missing")
         .when(~has_body(found, sections, profile), "article_body_missing").otherwise("article_html")
     )

@@ -40,8 +40,7 @@ def normalize_doi(value: Column) -> Column:
 
 
 def extract_doi(text: Column) -> Column:
-    found = none_if_blank(F.regexp_extract(blank(text), DOI, 1))
-    return F.when(found.isNotNull(), normalize_doi(found))
+    return none_if_blank(normalize_doi(F.regexp_extract(blank(text), DOI, 1)))
 
 
 def normalize_arxiv_id(value: Column) -> Column:
@@ -50,8 +49,7 @@ def normalize_arxiv_id(value: Column) -> Column:
 
 
 def extract_arxiv_id(text: Column) -> Column:
-    found = _first(text, ARXIV)
-    return F.when(found.isNotNull(), normalize_arxiv_id(found))
+    return none_if_blank(normalize_arxiv_id(_first(text, ARXIV)))
 
 
 def normalize_pmid(value: Column) -> Column:
@@ -60,8 +58,7 @@ def normalize_pmid(value: Column) -> Column:
 
 
 def extract_pmid(text: Column) -> Column:
-    found = _first(text, PMID)
-    return F.when(found.isNotNull(), normalize_pmid(found))
+    return none_if_blank(normalize_pmid(_first(text, PMID)))
 
 
 def normalize_pmcid(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import jobs
+from ..operators import jobs, pipelines, state
 from ..sources.tables import load
 from .registry import query
 
@@ -172,8 +172,8 @@ def single_active_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def problem_summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open problems by status, with their total."""
-    open_ = load(spark, sf_dir, "events").filter("event_id % 4 <> 0").select("event_type")
-    return open_.rollup("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("event_type", F.lit("total")).alias("problem_status"), "n")
+    rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("problem_status"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("resolved_at"))
+    return state.problem_summary(rows)
 
 
 @query(
@@ -203,8 +203,7 @@ def oversize_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each event table."""
-    counts = [load(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("events", "conversations", "labels")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return state.counts_of({t: load(spark, sf_dir, t) for t in ("events", "conversations", "labels")})
 
 
 @query(
@@ -246,8 +245,8 @@ def ready_ingest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queues that are ready, in their fixed order, and the first of them."""
     queued = lambda t: (F.col("status") == "queued") & (F.col("job_type") == t)
     q = order_jobs(spark, sf_dir).groupBy("library_id").agg((F.count_if(queued("1-URGENT")) > 0).alias("a"), (F.count_if(queued("2-HIGH")) > 0).alias("b"), (F.count_if(F.col("status") == "running") > 0).alias("c"))
-    actions = F.array_compact(F.array(F.when(F.col("a"), "metadata"), F.when(F.col("b"), "arxiv_html"), F.when(F.col("c"), "full_text")))
-    return q.select("library_id", F.array_join(actions, ",").alias("actions"), F.get(actions, F.lit(0)).alias("next_action"))
+    rows = pipelines.next_action(q, {"metadata": F.col("a"), "arxiv_html": F.col("b"), "full_text": F.col("c")})
+    return rows.select("library_id", F.array_join("actions", ",").alias("actions"), "next_action")
 
 
 @query(

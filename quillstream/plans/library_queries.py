@@ -54,9 +54,9 @@ def live_attachments_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments with parents and without tombstones, newest first, top 500."""
     l, o, s = (load(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))  # noqa: E741
     tombstones = s.filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    rows = l.filter("l_returnflag = 'A' or l_linestatus = 'O'").join(tombstones, "l_suppkey", "left_anti")
-    rows = rows.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "l_shipdate").orderBy(F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey").limit(500)
+    rows = lib.live(l.filter("l_returnflag = 'A' or l_linestatus = 'O'"), tombstones, "l_suppkey")
+    rows = rows.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left").withColumnRenamed("l_shipdate", "dateModified")
+    return lib.newest(rows, 500, "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", F.col("dateModified").alias("l_shipdate"))
 
 
 @query("count_live_pdfs", LINE_ATTACHMENTS + "SELECT count(*) AS n FROM att WHERE is_pdf AND exists_ IS DISTINCT FROM false")
@@ -83,18 +83,23 @@ def distinct_collection_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING' or c_nationkey = 7").select("c_nationkey").distinct()
 
 
-def part_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as entity-attribute-value rows."""
+NAMES = ("name", "brand", "type", "size")
+
+
+def part_values(spark: SparkSession, sf_dir: str) -> lib.Library:
+    """Parts as entity-attribute-value tables."""
     p = load(spark, sf_dir, "part")
-    return p.select("p_partkey", F.explode(F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))).alias("field", "value"))
+    cells = [F.struct(F.lit(i).cast("long").alias("fieldID"), F.col(f"p_{name}").cast("string").alias("value")) for i, name in enumerate(NAMES)]
+    rows = p.select(F.col("p_partkey").alias("itemID"), F.explode(F.array(*cells)).alias("c")).select("itemID", "c.fieldID", (F.col("itemID") * 10 + F.col("c.fieldID")).alias("valueID"), "c.value")
+    fields = spark.createDataFrame(list(enumerate(NAMES)), "fieldID long, fieldName string")
+    return lib.Library({"itemData": rows.select("itemID", "fieldID", "valueID"), "itemDataValues": rows.select("valueID", "value"), "fields": fields})
 
 
 @query("eav_pivot_map", "SELECT p_partkey, p_name AS name, p_brand AS brand, p_type AS type, CAST(p_size AS VARCHAR) AS size, CAST(4 AS INTEGER) AS n_fields FROM part")
 def eav_pivot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute-value rows back to a map for each entity, and columns out of it."""
-    rows = part_values(spark, sf_dir)
-    maps = rows.groupBy("p_partkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("m"))
-    return maps.select("p_partkey", *[F.element_at("m", f).alias(f) for f in ("name", "brand", "type", "size")], F.size("m").alias("n_fields"))
+    maps = lib.field_maps(part_values(spark, sf_dir))
+    return maps.select(F.col("itemID").alias("p_partkey"), *[F.element_at("fields", f).alias(f) for f in NAMES], F.size("fields").alias("n_fields"))
 
 
 @query("ordered_creators_array", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY l_linenumber, l_partkey) AS creators, count(*) AS n FROM lineitem GROUP BY 1")
@@ -110,8 +115,9 @@ def ordered_creators_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nocase_tag_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each group in an order that ignores case."""
-    rows = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.lower("n_name").alias("k"), "n_name"))).alias("t"))
-    return rows.select("n_regionkey", F.array_join(F.transform("t", lambda x: x["n_name"]), "|").alias("tags"), F.size("t").cast("long").alias("n"))
+    n = load(spark, sf_dir, "nation")
+    tagged = lib.Library({"itemTags": n.select(F.col("n_regionkey").alias("itemID"), F.col("n_nationkey").alias("tagID")), "tags": n.select(F.col("n_nationkey").alias("tagID"), F.col("n_name").alias("name"))})
+    return lib.tags(tagged).select(F.col("itemID").alias("n_regionkey"), F.array_join("tags", "|").alias("tags"), F.size("tags").cast("long").alias("n"))
 
 
 @query(
@@ -134,14 +140,15 @@ def first_per_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sibling_by_filename",
-    """SELECT a.l_orderkey, a.l_linenumber AS key, b.l_linenumber AS sibling FROM lineitem a JOIN lineitem b
-       ON a.l_orderkey = b.l_orderkey AND a.l_shipdate = b.l_shipdate AND a.l_linenumber <> b.l_linenumber""",
+    """WITH f AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, min(CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'f' END || l_partkey % 3) AS name FROM lineitem GROUP BY 1, 2)
+       SELECT a.key, b.key AS sibling FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND lower(a.name) = lower(b.name) AND a.key <> b.key""",
 )
 def sibling_by_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs under one parent with equal names."""
-    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", F.col("l_linenumber").alias("key"))  # noqa: E741
-    pairs = l.alias("a").join(l.alias("b"), ["l_orderkey", "l_shipdate"]).filter("a.key <> b.key")
-    return pairs.select("l_orderkey", F.col("a.key").alias("key"), F.col("b.key").alias("sibling"))
+    """Pairs under one parent whose file names are equal but for case."""
+    l = load(spark, sf_dir, "lineitem")  # noqa: E741
+    name = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "F").otherwise("f"), F.col("l_partkey") % 3)
+    rows = l.select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), name.alias("name")).groupBy("l_orderkey", "key").agg(F.min("name").alias("name"))
+    return lib.siblings_by_filename(rows, "l_orderkey", "key", "name")
 
 
 @query("in_list_and_contradiction", "SELECT 'list' AS filter, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'none', count(*) FROM orders")

@@ -57,10 +57,15 @@ def page_article_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("text_chars").alias("text_chars")).orderBy("reason")
 
 
-@query("page_verdict_rows", FEATURES + f" SELECT page_id, {REASON} AS reason FROM f")
+TITLED_REASON = REASON.replace("WHEN text_chars <", "WHEN page_id % 5 = 0 THEN 'title_mismatch' WHEN text_chars <", 1)
+
+
+@query("page_verdict_rows", FEATURES + f" SELECT page_id, {TITLED_REASON} AS reason FROM f")
 def page_verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on each page."""
-    return features(spark, sf_dir).select("page_id", html.article_reason(F.lit(True), F.lit("generic"), F.lit(LEAST)).alias("reason"))
+    """The verdict on each page, with the title that is expected; a fifth of the pages are about something else."""
+    expected = F.when(F.col("page_id") % 5 == 0, "quux zyzzyva frobnicate").otherwise(F.col("title"))
+    rows = html.with_title_fit(features(spark, sf_dir).withColumn("expected", expected), "expected")
+    return rows.select("page_id", html.article_reason(F.col("title_ok"), F.lit("generic"), F.lit(LEAST)).alias("reason"))
 
 
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +121,6 @@ def unsafe_and_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATUS = FEATURES + f""", s AS (SELECT page_id, list_filter([CASE WHEN title = '' THEN 'missing_title' END, CASE WHEN text_chars < {LEAST} THEN 'insufficient_text' END,
-  CASE WHEN regexp_matches(lower(html), '<(script|style)\\b') THEN 'executable_payload_present' END], lambda x: x IS NOT NULL) AS failures FROM f)"""
-
-
-@query("article_status_ladder", STATUS + " SELECT page_id, array_to_string(failures, ',') AS failures, CASE WHEN len(failures) > 0 THEN 'failed' ELSE 'passed' END AS status FROM s")
-def article_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of each article in their order, and its status."""
-    f = features(spark, sf_dir)
-    low = F.lower("html")
-    missing = F.size(F.array_except(html.fragment_links(F.col("html")), html.anchors(F.col("html")))) > 0
-    failures = F.array_compact(F.array(F.when(F.col("title") == "", "missing_title"), F.when(F.col("text_chars") < LEAST, "insufficient_text"), F.when(low.rlike(r"<(script|style)\b"), "executable_payload_present"), F.when(html.unsafe_attributes(F.col("html")) > 0, "unsafe_attributes_present")))
-    status = F.when(F.size("failures") > 0, "failed").when(F.col("missing"), "warning").otherwise("passed")
-    return f.select("page_id", failures.alias("failures"), missing.alias("missing")).select("page_id", F.array_join("failures", ",").alias("failures"), status.alias("status"))
-
-
 @query(
     "page_links_exploded",
     """SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]*)"', 1))) AS link FROM pages)""",
