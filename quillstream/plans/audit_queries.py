@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, kinds, urls
+from ..functions import html, kinds, repairs, urls
 from ..functions import audit as page_audit
 from ..operators import articles, audit
 from ..operators import candidates as cand
@@ -351,3 +351,42 @@ def title_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each page is about the expected title: its own, a foreign one, or none."""
     rows = html.with_features(load(spark, sf_dir, "pages").select("page_id", "html"))
     return html.with_title_fit(rows.withColumn("expected", _title_page(F.col("page_id"))), "expected", "fits").select("page_id", "fits")
+
+
+# --- repairs ---------------------------------------------------------------------------------------
+
+BROKEN = (
+    '<p class="a">x<ul><li>1</li></ul> y</p>', '<p id="i"><img src="a.png"><br></p>', '<button class="ArticleReference" id="B1-button">1</button><i id="b1"></i>', '<a class="ArticleReference" data-event="articleReference-a-B9">2</a>',
+    '<table><tr class="ltx_equation"><td class="ltx_eqn_eqno">1</td><td>E</td></tr></table>', "<p>plain</p>",
+)
+MENDED = (
+    '<p class="a">x</p><ul><li>1</li></ul><p class="a"> y</p>', '<figure id="i" class="standalone-media"><img src="a.png"><br></figure>', '<a class="ArticleReference citation" href="#b1" id="B1-button">1</a><i id="b1"></i>', '<span class="ArticleReference unresolved-reference" data-unresolved-reference="B9">2</span>',
+    '<table><tr class="ltx_equation"><td class="ltx_eqn_eqno">1</td><td class="single-equation-cell">E</td></tr></table>', "<p>plain</p>",
+)
+
+
+@query("page_repairs", f"SELECT page_id, {_list(MENDED)}[page_id % 6 + 1] || '<h1>' || page_id || '</h1>' AS html FROM pages")
+def page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference links, block flow, image paragraphs and equations of pages, mended in one parse."""
+    k = F.col("page_id")
+    return load(spark, sf_dir, "pages").select("page_id", repairs.repaired(F.concat(pick(BROKEN, k % 6), F.lit("<h1>"), k, F.lit("</h1>"))).alias("html"))
+
+
+@query(
+    "inlined_assets",
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<img src="data:image/gif;base64,R0lGODlh" data-source="a.gif">' ELSE '<img src="a.gif">' END || '<img src="b.gif">' || CASE WHEN page_id % 3 < 2 THEN '<style data-source="s.css">p{background:url("data:image/gif;base64,R0lGODlh")}</style>' ELSE '<link rel="stylesheet" href="s.css">' END AS html,
+       CASE page_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS inlined FROM pages""",
+)
+def inlined_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their images and style sheets put in, where there is an asset within the budget."""
+    k = F.col("page_id")
+    pages = load(spark, sf_dir, "pages").select("page_id", F.lit('<img src="a.gif"><img src="b.gif"><link rel="stylesheet" href="s.css">').alias("html"))
+    gif = F.lit(b"GIF89a")
+    css = F.when(k % 3 == 0, 'p{background:url(a.gif)}').otherwise("p{background:url('a2.gif')}").cast("binary")
+    files = F.array(
+        F.struct(F.when(k % 3 == 0, "a.gif").otherwise("a2.gif").alias("path"), gif.alias("content")), F.struct(F.lit("b.gif").alias("path"), F.concat(gif, F.repeat(F.lit("x"), 100).cast("binary")).alias("content")),
+        F.struct(F.when(k % 3 < 2, "s.css").otherwise("t.css").alias("path"), css.alias("content")),
+    )
+    assets = pages.select("page_id", F.explode(files).alias("f")).select("page_id", "f.path", "f.content")
+    made = repairs.embedded(pages, assets, "page_id", most=50)
+    return made.select("page_id", "html", F.col("inlined").cast("int").alias("inlined"))
