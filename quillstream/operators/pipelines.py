@@ -98,4 +98,55 @@ def throttle_gaps(requests: DataFrame, host: str, at: str, least_seconds: float)
     return requests.withColumn("wait_seconds", F.greatest(F.lit(0.0), F.coalesce(F.lit(float(least_seconds)) - gap, F.lit(0.0))))
 
 
-__all__ = ["attach_status", "backlog", "discover", "enrich", "expand_identifiers", "full_text_backlog", "jobs", "next_action", "throttle_gaps"]
+def full_text_commands(leased: DataFrame, downloads: DataFrame) -> DataFrame:
+    """Commands for leased full-text jobs by what was downloaded for them.
+
+    `downloads` holds job_id, kind (html or pdf), accepted and retryable.  A job with an accepted download
+    succeeds; one whose downloads may come later fails for now; one without any is skipped.
+    """
+    found = downloads.groupBy("job_id").agg(
+        F.count_if((F.col("kind") == "html") & F.col("accepted")).alias("html"), F.count_if((F.col("kind") == "pdf") & F.col("accepted")).alias("pdf"), F.bool_or(F.col("retryable") & ~F.col("accepted")).alias("later")
+    )
+    got = F.coalesce(F.col("html") + F.col("pdf"), F.lit(0)) > 0
+    message = F.when((F.col("html") > 0) & (F.col("pdf") > 0), "html_and_pdf_found").when(F.col("html") > 0, "html_found").when(F.col("pdf") > 0, "pdf_found").when(F.col("later"), "sources_unavailable").otherwise("nothing_found")
+    action = F.when(got, "succeed").when(F.coalesce("later", F.lit(False)), "fail").otherwise("skip")
+    return leased.select("job_id", F.col("lease_owner").alias("owner"), F.col("attempts").alias("attempt")).join(found, "job_id", "left").select("job_id", "owner", "attempt", action.alias("action"), message.alias("message"), F.lit(True).alias("retryable"))
+
+
+def preprint_commands(leased: DataFrame, pages: DataFrame, least: int = 200) -> DataFrame:
+    """Commands for leased preprint jobs: those whose page holds enough text succeed, others fail, for now if no page came."""
+    from ..functions.html import valid_preprint_html
+
+    judged = pages.select("job_id", valid_preprint_html(F.col("html"), least).alias("v"))
+    rows = leased.select("job_id", F.col("lease_owner").alias("owner"), F.col("attempts").alias("attempt")).join(judged, "job_id", "left")
+    ok = F.coalesce("v.ok", F.lit(False))
+    return rows.select("job_id", "owner", "attempt", F.when(ok, "succeed").otherwise("fail").alias("action"), F.coalesce("v.reason", F.lit("not_fetched")).alias("message"), F.col("v").isNull().alias("retryable"))
+
+
+def best_preprint(items: DataFrame, hits: DataFrame, item: str, least_score: float = 0.88) -> DataFrame:
+    """The preprint of each item: by its identifier, else the most alike title from a score on, the first of equals.
+
+    `items` holds item and title; `hits` item, ordinal, by_id, preprint_id and title.
+    """
+    from ..functions.text import title_match_score
+
+    both = hits.join(items.select(item, F.col("title").alias("_own")), item).withColumn("score", title_match_score(F.col("_own"), F.col("title")))
+    fits = both.filter(F.col("by_id") | (F.col("score") >= least_score))
+    order = Window.partitionBy(item).orderBy(F.col("by_id").desc(), F.col("score").desc(), "ordinal")
+    return fits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(item, "preprint_id", "by_id", "score")
+
+
+def follow_ups(done: DataFrame, existing: DataFrame) -> DataFrame:
+    """Jobs that ended full-text jobs call for, those that are there already left out.
+
+    `done` holds library_id, key, has_html and needs_ocr: a page is translated, a PDF without text is read.
+    """
+    wanted = F.array_compact(F.array(F.when(F.col("has_html"), "source_html"), F.when(F.col("needs_ocr"), "ocr")))
+    rows = done.select("library_id", "key", F.explode(wanted).alias("job_type"))
+    keyed = rows.withColumn("dedupe_key", jobs.dedupe_key(F.col("job_type"), F.col("library_id"), F.col("key")))
+    return jobs.enqueue(keyed, existing, order="key")
+
+
+__all__ = [
+    "attach_status", "backlog", "best_preprint", "discover", "enrich", "expand_identifiers", "follow_ups", "full_text_backlog", "full_text_commands", "jobs", "next_action", "preprint_commands", "throttle_gaps",
+]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import scratch
@@ -35,25 +35,32 @@ def add_tombstones(deleted: DataFrame, keys: DataFrame, key: str = "itemID") ->
     return deleted.select(key).unionByName(keys.select(key).distinct().join(deleted, key, "left_anti"))
 
 
-def value_ids(values: DataFrame, dictionary: DataFrame, value: str = "value", number: str = "valueID") -> DataFrame:
-    """The dictionary with numbers for new values, in order of the values.
+def numbered(rows: DataFrame, order: str, start: Column, number: str) -> DataFrame:
+    """Rows with numbers behind `start`, in an order without ties.
 
-    New numbers follow the largest one.  The new values are dealt out by range, written, and numbered within
-    their range; a range starts where the ranges before it end, so only one row a range is ordered in a
-    single task.
+    The rows are dealt out by range, written, and numbered within their range; a range starts where the ranges
+    before it end, so only one row a range is ordered in a single task.
     """
-    spark = values.sparkSession
-    new = values.select(value).filter(F.col(value).isNotNull()).distinct().join(dictionary, value, "left_anti")
-    path = scratch(spark, "new-values")
-    new.repartitionByRange(F.col(value)).select(value, F.spark_partition_id().alias("_range")).write.parquet(path)
+    spark = rows.sparkSession
+    path = scratch(spark, "numbered")
+    rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     dealt = spark.read.parquet(path)
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    start = dictionary.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(value))
-    numbered = dealt.join(sizes, "_range").select((place + F.col("_before") + start).cast("long").alias(number), value)
-    return dictionary.select(number, value).unionByName(numbered)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.join(sizes, "_range").withColumn(number, (place + F.col("_before") + start).cast("long")).select(*rows.columns, number)
+
+
+def last_number(table: DataFrame, number: str) -> Column:
+    """The largest number of a table as a scalar subquery, 0 if it is empty."""
+    return table.agg(F.coalesce(F.max(number), F.lit(0))).scalar()
+
+
+def value_ids(values: DataFrame, dictionary: DataFrame, value: str = "value", number: str = "valueID") -> DataFrame:
+    """The dictionary with numbers for new values, in order of the values, behind the largest one."""
+    new = values.select(value).filter(F.col(value).isNotNull()).distinct().join(dictionary, value, "left_anti")
+    return dictionary.select(number, value).unionByName(numbered(new, value, last_number(dictionary, number), number).select(number, value))
 
 
 def upsert_values(current: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pipelines
+from ..operators import batches, pipelines
 from ..operators.jobs import dedupe_key
 from ..sources.tables import load
 from . import metadata_queries as meta
@@ -70,3 +70,56 @@ def discovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def host_throttle_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that come too soon behind the one before to their host."""
     return pipelines.throttle_gaps(load(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", (F.col("wait_seconds") > 0).alias("waits"))
+
+
+@query(
+    "full_text_drain",
+    """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'succeeded' WHEN o_orderkey % 4 = 1 THEN 'failed_retryable' ELSE 'skipped' END AS status, CASE WHEN o_orderkey % 4 > 0 THEN CASE o_orderkey % 4 WHEN 1 THEN 'sources_unavailable' ELSE 'nothing_found' END END AS last_error,
+       1 AS attempts FROM orders""",
+)
+def full_text_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of a drain: all jobs leased, judged by their downloads, and ended."""
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    k = F.col("o_orderkey")
+    none = lambda t: F.lit(None).cast(t)
+    o = load(spark, sf_dir, "orders")
+    queue = o.select(
+        k.alias("job_id"), F.lit("full_text").alias("job_type"), F.lit("queued").alias("status"), F.lit("queued").alias("phase"), F.lit(0).alias("attempts"), F.lit(2).alias("max_attempts"), none("string").alias("lease_owner"), none("timestamp_ntz").alias("leased_until"),
+        none("string").alias("last_error"), none("string").alias("result_json"), none("string").alias("output_path"), none("string").alias("relay_status"), none("string").alias("relay_result"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+    )
+    downloads = o.filter(k % 4 != 2).select(k.alias("job_id"), F.when(k % 8 == 0, "pdf").otherwise("html").alias("kind"), (k % 4 == 0).alias("accepted"), (k % 4 == 1).alias("retryable"))
+    after, _ = batches.drain(queue, now, "w", 900, lambda mine: pipelines.full_text_commands(mine, downloads), count=10**9)
+    return after.select("job_id", "status", "last_error", "attempts")
+
+
+@query("preprint_drain_commands", "SELECT page_id AS job_id, CASE WHEN page_id % 3 = 0 THEN 'succeed' ELSE 'fail' END AS action, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'too_little_text' ELSE 'not_fetched' END AS message, page_id % 3 = 2 AS retryable FROM pages")
+def preprint_drain_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of preprint jobs by the pages that came."""
+    k = F.col("page_id")
+    pages = load(spark, sf_dir, "pages")
+    leased = pages.select(k.alias("job_id"), F.lit("w").alias("lease_owner"), F.lit(1).alias("attempts"))
+    body = F.concat(F.lit("<html>"), F.when(k % 3 == 0, F.concat(F.coalesce("html", F.lit("")), F.repeat(F.lit("word "), 100))).otherwise("few words"))
+    return pipelines.preprint_commands(leased, pages.filter(k % 3 < 2).select(k.alias("job_id"), body.alias("html"))).select("job_id", "action", "message", "retryable")
+
+
+@query("best_preprints", "SELECT p_partkey, 'id' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN 'b' ELSE 'a' END AS preprint_id FROM part WHERE p_partkey % 3 < 2")
+def best_preprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preprint of each item, by identifier or by a title that is alike enough."""
+    k = F.col("p_partkey")
+    p = load(spark, sf_dir, "part")
+    hit = lambda i, by_id, name, title: F.struct(F.lit(i).alias("ordinal"), by_id.alias("by_id"), F.concat(F.lit("id"), k, F.lit(name)).alias("preprint_id"), title.alias("title"))
+    rows = F.array(hit(0, F.lit(False), "a", F.when(k % 3 < 2, F.upper("p_name")).otherwise("quux zyzzyva")), hit(1, k % 3 == 0, "b", F.lit("other words")))
+    hits = p.select("p_partkey", F.explode(rows).alias("h")).select("p_partkey", "h.*")
+    return pipelines.best_preprint(p.select("p_partkey", F.col("p_name").alias("title")), hits, "p_partkey").select("p_partkey", "preprint_id")
+
+
+@query(
+    "follow_up_jobs",
+    """WITH w AS (SELECT 'source_html:1:' || s_suppkey AS dedupe_key FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'ocr:1:' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) SELECT dedupe_key FROM w WHERE dedupe_key NOT IN (SELECT 'ocr:1:' || n_nationkey FROM nation)""",
+)
+def follow_up_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that ended full-text jobs call for."""
+    k = F.col("s_suppkey")
+    done = load(spark, sf_dir, "supplier").select(F.lit("1").alias("library_id"), k.cast("string").alias("key"), (k % 2 == 0).alias("has_html"), (k % 3 == 0).alias("needs_ocr"))
+    existing = load(spark, sf_dir, "nation").select(dedupe_key("ocr", F.lit("1"), F.col("n_nationkey")).alias("dedupe_key"))
+    return pipelines.follow_ups(done, existing).select("dedupe_key")

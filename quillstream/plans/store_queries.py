@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import library as lib
-from ..operators import sinks
+from ..operators import sinks, sync
 from ..sources.tables import load
 from .registry import query
 from .state_queries import pick
@@ -238,3 +238,36 @@ def rows_after_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("version"))
     changes = s.filter("id % 3 > 0").select("id", F.lit("new").alias("name"), F.when(F.col("id") % 3 == 1, F.col("version")).otherwise(F.col("version") - 1).alias("version"))
     return sinks.guarded_update(s, changes, "id", "version", ["name"])
+
+
+# --- tables after a sync ---------------------------------------------------------------------------
+
+
+def synced(spark: SparkSession, sf_dir: str) -> lib.Library:
+    """The library with an attachment for each customer, of which some are there already, applied twice."""
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    rows = c.select(
+        _text("K", k).alias("parent_key"), _text("N", k % 100).alias("key"), _text("f", k % 100, ".pdf").alias("filename"), _text("Title ", k % 100, " &amp; more").alias("title"), F.lit("application/pdf").alias("contentType"), F.lit("2024").alias("dateModified"),
+    ).filter(k < 100)
+    once = sync.attach(star_library(spark, sf_dir), rows)
+    return sync.attach(once, rows)
+
+
+@query("library_after_attach", "SELECT 'N' || c_custkey AS key, o_orderkey AS parent, 'storage:f' || c_custkey || '.pdf' AS path, 'Title ' || c_custkey || ' &amp; more' AS title FROM customer LEFT JOIN orders ON o_orderkey = c_custkey WHERE c_custkey < 100")
+def library_after_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New attachments after a sync that ran twice, with parents and titles."""
+    library = synced(spark, sf_dir)
+    rows = library["items"].filter("key like 'N%'").join(library["itemAttachments"], "itemID").join(lib.field_maps(library), "itemID")
+    return rows.select("key", F.col("parentItemID").alias("parent"), "path", F.element_at("fields", "title").alias("title"))
+
+
+@query("library_after_parents", LIBRARY + "SELECT 'A' || o || '-' || ln || '-' || p AS key, CASE WHEN p % 11 <> 0 THEN 'K' || o ELSE 'P' || p END AS parent FROM a")
+def library_after_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments after parents were made for those that stood alone."""
+    library = star_library(spark, sf_dir)
+    alone = library["items"].join(library["itemAttachments"].filter("parentItemID is null"), "itemID")
+    rows = alone.select("key", F.concat(F.lit("P"), F.regexp_extract("key", "([0-9]+)$", 1)).alias("parent_key"), F.lit("book").alias("item_type"), F.lit("made").alias("title"), F.lit("2024").alias("dateModified"))
+    after = sync.ensure_parents(library, rows)
+    items = after["items"].select("itemID", "key")
+    return after["itemAttachments"].join(items, "itemID").join(items.select(F.col("itemID").alias("parentItemID"), F.col("key").alias("parent")), "parentItemID").select("key", "parent")
