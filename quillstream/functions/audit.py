@@ -44,6 +44,7 @@ STYLE_RULES = {
 }
 _COMPILED = {name: re.compile(p, re.IGNORECASE) for name, p in PATTERNS.items()}
 _IGNORED = re.compile(r"<(?:script|style)\b[^>]*>[\s\S]*?</(?:script|style)>", re.IGNORECASE)
+# Marks of polished pages.
 STYLE_MARK, DOCUMENT_ID, KIND_MARK = ("data-z2m-style", "web-html-polish"), "web-doc", "data-z2m-source-kind"
 
 

@@ -202,7 +202,7 @@ def publisher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", publishers.normalize_page(page, kind, F.when(n % 4 == 3, "https://link.springer.com/article/10.1/x").otherwise("")).alias("html"))
 
 
-@query("semantic_counts", "SELECT page_id, page_id % 3 AS section_total, CASE WHEN page_id % 3 > 0 THEN 1 ELSE 0 END AS section_annotated, 1 AS reference_total FROM pages")
+@query("semantic_counts", "SELECT page_id, CAST(page_id % 3 AS INTEGER) AS section_total, CASE WHEN page_id % 3 > 0 THEN 1 ELSE 0 END AS section_annotated, 1 AS reference_total FROM pages")
 def semantic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections, figures and references of pages, and those with an id."""
     n = F.col("page_id")
