@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,6 +37,12 @@ BLOCK = frozenset(
     "head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot td th".split())
+#: Elements that hold paragraphs of their own, so a block in them ends none outside.
+HOLDERS = frozenset("td th table button article section div li".split())
+GROUPS_OF = {
+    name: tuple(group for group, names in (("/block", BLOCK), ("/cell", ("td", "th")), ("/holder", HOLDERS)) if name in names) for name in BLOCK | HOLDERS
+}
 #: Start tags of these end an open element of the listed names, up to the listed container.
 IMPLIED_END = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -165,6 +172,7 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
     parts: list[str] = []
     linked = 0
     state = {"heading": False}
+    depths: dict[str, list[int]] = {}  # of the open elements, by name and group: no search through the stack
 
     def flush() -> None:
         nonlocal linked
@@ -186,8 +194,15 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
         measure(depth)
         if any(e.name in BLOCK for e in stack[depth:]):
             flush()
+        for e in stack[depth:]:
+            for group in (e.name, *GROUPS_OF.get(e.name, ())):
+                depths[group].pop()
         del stack[depth:]
 
+    def last(group: str) -> int:
+        """The depth of the innermost open element of a name or group; 0 if none is open."""
+        return depths[group][-1] if depths.get(group) else 0
+
     at, size, raw_open = 0, len(page), {}
     while at < size:
         top = stack[-1]
@@ -231,13 +246,10 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
         if page[lt + 1] == "/":
             if name == "br" and parts:
                 parts.append(" ")
-            for depth in range(len(stack) - 1, 0, -1):
-                open_name = stack[depth].name
-                if open_name == name:
-                    close(depth)
-                    break
-                if name not in BLOCK and open_name in BLOCK or open_name in ("td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                    break  # a stray end tag does not reach past a block or out of a cell
+            # A stray end tag does not reach past a block or out of a cell.
+            barrier = max(last("/block") if name not in BLOCK else 0, last("/cell") if name not in TABLE_PARTS else 0)
+            if (depth := last(name)) and depth >= barrier:
+                close(depth)
             continue
         if name in RAW_TEXT:
             if page[at - 2 : at] == "/>" and name in ("svg", "math"):
@@ -262,29 +274,18 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
             continue
         if name in BLOCK:
             flush()
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[depth].name == "p":
-                    close(depth)
-                    break
-                if stack[depth].name in ("td", "th", "table", "button", "article", "section", "div", "li"):
-                    break
+            if last("p") > last("/holder"):  # a block ends an open paragraph
+                close(last("p"))
         if name in IMPLIED_END:
             ends, until = IMPLIED_END[name]
-            cut = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in until:
-                    break
-                if stack[depth].name in ends:
-                    cut = depth
-            if cut:
-                close(cut)
+            container = max(map(last, until))
+            open_ends = [group[i] for group in (depths.get(e, []) for e in ends) if (i := bisect_right(group, container)) < len(group)]
+            if open_ends:
+                close(min(open_ends))
         elif name in HEADINGS and stack[-1].name in HEADINGS:
             close(len(stack) - 1)
-        elif name == "body":
-            for depth in range(1, len(stack)):
-                if stack[depth].name == "head":
-                    close(depth)
-                    break
+        elif name == "body" and last("head"):
+            close(depths["head"][0])
         if page[at - 2 : at] == "/>" and name not in BLOCK and name != "a":
             continue
         top = stack[-1]
@@ -299,6 +300,8 @@ def _blocks(page: str, spare: frozenset[int]) -> tuple[list[Block], frozenset[in
             drop = drop or not words.isdisjoint(CLASS_WORDS)
             header = header or not words.isdisjoint(HEADER_WORDS)
         dropped = top.dropped or drop or header and not top.in_article
+        for group in (name, *GROUPS_OF.get(name, ())):
+            depths.setdefault(group, []).append(len(stack))
         stack.append(_Element(name, dropped, top.headings_only or header and top.in_article, inside, top.link or name == "a", top.heading or name in HEADINGS, hard, lt if marked else -1))
     flush()
     measure(0)
