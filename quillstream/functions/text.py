@@ -13,7 +13,7 @@ import html.entities
 
 import pandas as pd
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -25,6 +25,11 @@ SPACE = r"(?U)\s+"
 TITLE_STOP_WORDS = ("with", "from", "into", "that", "this", "using", "through", "towards", "between", "article")
 
 
+def computed_once(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns computed here: a filter on them is not pushed below and so computes nothing twice."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
+
+
 def blank(value: Column) -> Column:
     """The value, or an empty string for null."""
     return F.coalesce(value.cast("string"), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import documents, html, urls
-from ..functions.text import collapse
+from ..functions.text import collapse, computed_once
 from ..operators import verdicts
 from ..sources.tables import load
 from .registry import query
@@ -103,8 +103,8 @@ def download_verdict_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def html_best_of_5tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best accepted download of each host."""
-    accepted = downloads(spark, sf_dir).filter(verdicts.is_accepted(verdicts.download_reason(800, 400)))
-    return verdicts.best_download(accepted, "item", "page_id").select("item", "page_id")
+    judged = computed_once(downloads(spark, sf_dir).withColumn("reason", verdicts.download_reason(800, 400)).drop("title"))
+    return verdicts.best_download(judged.filter(verdicts.is_accepted(F.col("reason"))), "item", "page_id").select("item", "page_id")
 
 
 @query(
