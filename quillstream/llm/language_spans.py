@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_in_arrow, slices
 
 #: n-gram buckets, as a power of two, and the longest n-gram.
 BITS, LONGEST = 16, 4
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + (", spans array<struct<start:bigint,end:bigint,lang:string>>" if with_spans else "")
     schema += f", `{text_col}` string, kept {chosen.schema['kept'].dataType.simpleString()}" if keep else ""
     names = [id_col, "lang_pred", "score", *(["spans"] if with_spans else []), *([text_col, "kept"] if keep else [])]
-    return chosen.mapInArrow(run, schema)
+    return map_in_arrow(chosen, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import map_in_arrow, slices, written
 from .grouping import Forest, components, link_groups
 
 WORDS = 5
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "n_shingles", "set_key", "sketch", "bands", "finer"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, sketch binary, bands array<long>, finer array<long>")
+    return map_in_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n_shingles long, set_key binary, sketch binary, bands array<long>, finer array<long>")
 
 
 def _by_sketch(most: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import map_in_arrow, written
 
 #: Replace this in production; whoever knows the key can undo the number permutations.
 DEFAULT_KEY = "quillstream-surrogate-key"
@@ -421,7 +421,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if at:
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["id", "kind", "value"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, kind string, value string")
+    return map_in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, kind string, value string")
 
 
 def name_ranks(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
@@ -488,4 +488,4 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             columns += [batch.column("kept")] if keep else []
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return chosen.mapInArrow(run, schema)
+    return map_in_arrow(chosen, run, schema)
