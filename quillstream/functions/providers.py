@@ -246,9 +246,8 @@ def openaire(payload: Column) -> Column:
     return candidate("openaire", F.coalesce(none_if_blank(doi), title), 1.0, fields, _joined(F.array().cast(f"array<{LOCATION}>")), (doi != "") | (title != ""))
 
 
-def pubmed(article: Column) -> Column:
-    """One article element as XML."""
-    w = F.from_xml(article, PUBMED)
+def pubmed_record(w: Column) -> Column:
+    """One parsed article element."""
     cite, a = w["MedlineCitation"], w["MedlineCitation"]["Article"]
     ids = w["PubmedData"]["ArticleIdList"]["ArticleId"]
     of = lambda kind: first_text(_texts(F.filter(ids, lambda x: F.lower(blank(x["_IdType"])) == kind), "_VALUE"))
@@ -266,12 +265,27 @@ def pubmed(article: Column) -> Column:
     return candidate("pubmed", pmid, 1.0, fields, F.array().cast(f"array<{LOCATION}>"), (pmid != "") | (title != ""))
 
 
-def pubmed_authors(article: Column) -> Column:
-    """Authors of an article: a collective name, or first and last name with initials."""
-    rows = F.from_xml(article, PUBMED)["MedlineCitation"]["Article"]["AuthorList"]["Author"]
+def pubmed_record_authors(w: Column) -> Column:
+    """Authors of a parsed article: a collective name, or first and last name with initials."""
+    rows = w["MedlineCitation"]["Article"]["AuthorList"]["Author"]
     return F.transform(rows, lambda x: F.struct(x["CollectiveName"].alias("name"), x["ForeName"].alias("firstName"), x["LastName"].alias("lastName"), x["Initials"].alias("initials")))
 
 
+def pubmed(article: Column) -> Column:
+    """One article element as XML, parsed once: as the value of a lambda it has a name."""
+    return F.get(F.transform(F.array(F.from_xml(article, PUBMED)), pubmed_record), F.lit(0))
+
+
+def pubmed_authors(article: Column) -> Column:
+    return pubmed_record_authors(F.from_xml(article, PUBMED))
+
+
+def with_pubmed(rows: DataFrame, article: str, out: str = "candidate", authors: str = "authors") -> DataFrame:
+    """Add the candidate and the authors of an XML column; the article is parsed once for both, in a projection of its own."""
+    parsed = rows.withColumn("_article", F.from_xml(article, PUBMED))
+    return parsed.withColumns({out: pubmed_record(F.col("_article")), authors: pubmed_record_authors(F.col("_article"))}).drop("_article")
+
+
 def atom_entries(feed: Column) -> Column:
     """Entries of a preprint feed as candidates (an array)."""
     f = F.from_xml(feed, ATOM)
