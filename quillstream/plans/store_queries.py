@@ -20,12 +20,24 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def attachment_number(k: Column, ln: Column, p: Column) -> Column:
+    """The id of a line item as an attachment: no two share one, and order and remainders by 3 and 5 are those of the SQL's id.
+
+    That id gives a line one digit and a part six, so from a million parts on two lines of an order can have the
+    same; the millions of the part, in the last places here, tell them apart.  Keys for which the places do not
+    suffice are an error.
+    """
+    serial = F.lit(10**12) + k * 10**7 + ln * 10**6 + p
+    outside = ~k.between(0, 6 * 10**8) | ~ln.between(0, 9) | ~p.between(0, 10**8 - 1)
+    return F.when(outside, F.raise_error("an order, line or part key is outside the places of an attachment's id").cast("long")).otherwise(serial * 1501 + F.floor(p / 10**6) * 15)
+
+
 def star_library(spark: SparkSession, sf_dir: str) -> lib.Library:
     """Orders are items, line items their attachments, customers creators, nations tags, regions collections."""
     o, line, c, n, r = (load(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "nation", "region"))
     k, p, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     a = line.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_shipdate").alias("d"))
-    number = F.lit(10**12) + k * 10**7 + ln * 10**6 + p
+    number = attachment_number(k, ln, p)
     own = o.select(F.col("o_orderkey").alias("itemID"), (F.col("o_orderkey") % 4 + 1).cast("long").alias("itemTypeID"), F.col("o_orderdate").cast("string").alias("dateModified"), _text("K", F.col("o_orderkey")).alias("key"), F.lit(1).cast("long").alias("version"))
     theirs = a.select(number.alias("itemID"), F.lit(9).cast("long").alias("itemTypeID"), F.col("d").cast("string").alias("dateModified"), _text("A", k, "-", ln, "-", p).alias("key"), F.lit(0).cast("long").alias("version"))
     path = F.when(p % 5 == 0, _text("storage:F", p, ".PDF")).when(p % 5 == 1, "storage:x [Source HTML].html").when(p % 5 == 2, "storage:dir\\y.htm").when(p % 5 == 3, _text("/abs/", p, ".pdf"))
