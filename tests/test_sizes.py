@@ -43,7 +43,7 @@ def rows_of_sql(folder, name, columns):
     return con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
 
 
-@pytest.mark.parametrize("name", ["attachments_for_files", "library_after_parents", "library_html_attachments"])
+@pytest.mark.parametrize("name", ["attachments_for_files", "library_after_parents", "library_html_attachments", "library_parent_items"])
 def test_lines_with_part_keys_from_a_million(name, spark, wide_parts):
     df = QUERIES[name](spark, wide_parts)
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(wide_parts, name, df.columns)))
