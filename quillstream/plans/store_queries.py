@@ -112,9 +112,10 @@ def library_hydrated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("library_parent_items", LIBRARY + "SELECT a.key, coalesce(i.key, a.key) AS item_key, CASE WHEN i.k IS NOT NULL THEN 'Title ' || i.k || ' &amp; more' END AS title FROM att a LEFT JOIN item i ON a.parent = i.k WHERE a.parent IS NULL OR i.k IS NOT NULL")
 def library_parent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live item of each attachment, its own where it stands alone."""
+    """The live item of each attachment, its own where it stands alone; one whose parent no table holds gives nothing."""
     library = star_library(spark, sf_dir)
-    return lib.parent_items(lib.attachments(library), library, allow_standalone=True).select("key", "item_key", F.element_at("fields", "title").alias("title"))
+    rows = lib.attachments(library).filter("parentItemID is null or parentKey is not null")
+    return lib.parent_items(rows, library, allow_standalone=True).select("key", "item_key", F.element_at("fields", "title").alias("title"))
 
 
 @query("library_first_collections", LIBRARY + "SELECT key, collection_key FROM (SELECT a.key, 'C' || r_regionkey AS collection_key, row_number() OVER (PARTITION BY a.key ORDER BY lower(r_name), r_regionkey) AS n FROM att a JOIN member m ON a.parent = m.k JOIN region ON c = r_regionkey) WHERE n = 1")

@@ -49,6 +49,22 @@ def test_lines_with_part_keys_from_a_million(name, spark, wide_parts):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(wide_parts, name, df.columns)))
 
 
+@pytest.fixture(scope="module")
+def missing_orders(sf_dir, tmp_path_factory):
+    """The smallest tables without some of the orders that lines name."""
+    folder, con = tmp_path_factory.mktemp("missing"), duckdb.connect()
+    for name in ("customer", "nation", "region", "lineitem"):
+        con.execute(f"COPY (FROM '{sf_dir}/{name}.parquet') TO '{folder}/{name}.parquet'")
+    con.execute(f"COPY (FROM '{sf_dir}/orders.parquet' WHERE o_orderkey % 7 <> 3) TO '{folder}/orders.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["library_parent_items"])
+def test_lines_of_missing_orders(name, spark, missing_orders):
+    df = QUERIES[name](spark, missing_orders)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(missing_orders, name, df.columns)))
+
+
 def test_numbers_of_attachments(spark):
     lines = spark.createDataFrame([(k, ln, r + 10**6 * m) for k in range(3) for ln in range(10) for m in (0, 1, 2, 9, 10, 99) for r in (0, 1, 999_999)], "k long, ln int, p long")
     rows = lines.select(attachment_number(F.col("k"), F.col("ln"), F.col("p")).alias("id"), F.expr("1000000000000L + k * 10000000L + ln * 1000000L + p").alias("sql")).collect()
