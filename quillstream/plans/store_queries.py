@@ -277,10 +277,12 @@ def library_after_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("library_after_parents", LIBRARY + "SELECT 'A' || o || '-' || ln || '-' || p AS key, CASE WHEN p % 11 <> 0 THEN 'K' || o ELSE 'P' || p END AS parent FROM a")
 def library_after_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attachments after parents were made for those that stood alone."""
+    """Attachments after parents were made for those that stood alone; a parent that no table holds is named by its id."""
     library = star_library(spark, sf_dir)
     alone = library["items"].join(library["itemAttachments"].filter("parentItemID is null"), "itemID")
     rows = alone.select("key", F.concat(F.lit("P"), F.regexp_extract("key", "([0-9]+)$", 1)).alias("parent_key"), F.lit("book").alias("item_type"), F.lit("made").alias("title"), F.lit("2024").alias("dateModified"))
     after = sync.ensure_parents(library, rows)
     items = after["items"].select("itemID", "key")
-    return after["itemAttachments"].join(items, "itemID").join(items.select(F.col("itemID").alias("parentItemID"), F.col("key").alias("parent")), "parentItemID").select("key", "parent")
+    parents = items.select(F.col("itemID").alias("parentItemID"), F.col("key").alias("_parent"))
+    named = F.coalesce("_parent", _text("K", F.col("parentItemID"))).alias("parent")
+    return after["itemAttachments"].join(items, "itemID").join(parents, "parentItemID", "left").select("key", named)

@@ -59,7 +59,7 @@ def missing_orders(sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["library_parent_items"])
+@pytest.mark.parametrize("name", ["library_after_parents", "library_parent_items"])
 def test_lines_of_missing_orders(name, spark, missing_orders):
     df = QUERIES[name](spark, missing_orders)
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(missing_orders, name, df.columns)))
