@@ -176,11 +176,12 @@ def stored_file_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("attachments_for_files", LIBRARY + "SELECT '/data/storage/' || x.key || '/z.PDF' AS file_path, x.key, a.o AS parent FROM (SELECT DISTINCT 'A' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key FROM lineitem) x LEFT JOIN att a USING (key)")
 def attachments_for_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attachments of file paths; deleted ones keep the path alone, paths elsewhere give nothing."""
+    """Attachments of file paths, read without the orders; deleted ones keep the path alone, paths elsewhere give nothing."""
     library = star_library(spark, sf_dir)
     keys = library["items"].filter("itemTypeID = 9").select("key")
     paths = keys.select(_text("/data/storage/", F.col("key"), "/z.PDF").alias("path")).unionByName(keys.select(_text("/elsewhere/", F.col("key"), "/z.pdf").alias("path"))).unionByName(keys.select(_text("/data/storage/", F.col("key"), ".pdf").alias("path")))
-    rows = lib.attachments(library).select("key", F.regexp_extract("key", "^A([0-9]+)-", 1).cast("long").alias("parent"))
+    alone = lib.Library({**library.tables, "items": library["items"].filter("itemTypeID = 9")})
+    rows = lib.attachments(alone).select("key", F.regexp_extract("key", "^A([0-9]+)-", 1).cast("long").alias("parent"))
     return lib.for_files(paths, rows, "/data/storage/").select("file_path", "key", "parent")
 
 

@@ -65,6 +65,15 @@ def test_lines_of_missing_orders(name, spark, missing_orders):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(missing_orders, name, df.columns)))
 
 
+def test_files_of_repeated_orders(spark, sf_dir, tmp_path):
+    con = duckdb.connect()
+    for name in ("customer", "nation", "region", "lineitem"):
+        con.execute(f"COPY (FROM '{sf_dir}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
+    con.execute(f"COPY (FROM '{sf_dir}/orders.parquet' UNION ALL FROM '{sf_dir}/orders.parquet' WHERE o_orderkey % 50 = 7) TO '{tmp_path}/orders.parquet'")
+    df = QUERIES["attachments_for_files"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rows_of_sql(tmp_path, "attachments_for_files", df.columns)))
+
+
 def test_numbers_of_attachments(spark):
     lines = spark.createDataFrame([(k, ln, r + 10**6 * m) for k in range(3) for ln in range(10) for m in (0, 1, 2, 9, 10, 99) for r in (0, 1, 999_999)], "k long, ln int, p long")
     rows = lines.select(attachment_number(F.col("k"), F.col("ln"), F.col("p")).alias("id"), F.expr("1000000000000L + k * 10000000L + ln * 1000000L + p").alias("sql")).collect()
